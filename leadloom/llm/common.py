@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +14,32 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-#: Rows in one Arrow batch, so that a batch of very long texts stays small.
+#: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers where their path does not hold it."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root:
+        return
+    folder = Path(tempfile.mkdtemp(prefix="leadloom-"))
+    with zipfile.ZipFile(folder / "leadloom.zip", "w") as out:
+        for path in sorted((root / "leadloom").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(str(folder / "leadloom.zip"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the texts that one Arrow batch brings into a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from leadloom.llm import chat_format, exact_dedup, mixing, quality_rules
+from leadloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, token_store
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_packing": packing.op2_packing,
+    "op3_token_store": token_store.op3_token_store,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
