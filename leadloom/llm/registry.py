@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from leadloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, token_store
+from leadloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_packing": packing.op2_packing,
     "op3_token_store": token_store.op3_token_store,
+    "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op10_substring_dedup": substring_dedup.ORACLE_SQL,
 }
 
 
