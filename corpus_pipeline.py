@@ -1,8 +1,54 @@
-"""Placeholder until the stages exist."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES: list = []
+Language identification drops what has no language, exact deduplication and
+SimHash near-deduplication keep one document of each group, mixing repeats or
+thins the sources to their target weights, and packing cuts the rest into
+windows of token ids. Each stage works on all that its predecessor kept, written
+as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from leadloom.llm import exact_dedup, language_id, mixing, packing, simhash
+from leadloom.llm.common import table, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_one_of_each(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat_documents(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_words(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("exact", drop_exact_copies),
+    ("near", drop_near_copies),
+    ("mix", mix_sources),
+    ("pack", pack_windows),
+]
+
+#: SQL expresses neither the fingerprints' components nor the tokenizer; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -68,6 +68,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_of(docs: DataFrame, stays: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows whose id is in ``stays`` (doc_id), or that have none; rows repeated whole become one."""
+    keep = stays.select(F.col("doc_id").alias("_stays")).distinct()
+    joined = docs.join(keep, docs[doc_id] == keep["_stays"], "left")
+    return joined.where(docs[doc_id].isNull() | F.col("_stays").isNotNull()).select(*docs.columns).distinct()
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

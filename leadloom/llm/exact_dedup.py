@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import checkpointed, small_batches
+from leadloom.llm.common import checkpointed, rows_of, small_batches, table
 
 #: Bytes of text that a task holds while it combines equal texts.
 LOCAL_BYTES = 32 << 20
@@ -127,14 +127,13 @@ def exact_duplicates(
 
 
 def keep_one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; ``doc_id`` identifies a row."""
-    stays = exact_duplicates(docs, text=text, doc_id=doc_id).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(stays, docs[doc_id].eqNullSafe(F.col("_keep")), "left_semi")
+    """The rows of ``docs`` that stay, with their columns. The id names a row: rows
+    without one all stay, and rows repeated whole become one."""
+    found = exact_duplicates(docs, text=text, doc_id=doc_id)
+    return rows_of(docs, found.where("kept").select("doc_id"), doc_id)
 
 
 def op5_exact_dedup(spark, sf_dir):
-    from leadloom.llm.common import table
-
     return exact_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )

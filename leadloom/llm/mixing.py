@@ -111,10 +111,11 @@ def mix(
 
 
 def repeat_documents(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents of ``docs`` as often as the mix takes them; ``doc_id`` identifies a row."""
-    copies = mix(docs, doc_id=doc_id, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    joined = docs.join(copies, docs[doc_id].eqNullSafe(F.col("_id"))).drop("_id")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them. The id names a row: of rows
+    repeated whole each is taken as often, and rows without an id are not taken."""
+    copies = mix(docs, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    joined = docs.join(copies.where("_copies > 0"), docs[doc_id] == F.col("_id"))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import chat_format, exact_dedup, mixing, packing, quality_rules, simhash, substring_dedup, token_store
+from leadloom.llm import chat_format, exact_dedup, html_extraction, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_token_store": token_store.op3_token_store,
     "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_html_extraction": html_extraction.op6_html_extraction,
+    "op7_language_id": language_id.op7_language_id,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import checkpointed, small_batches, table
+from leadloom.llm.common import checkpointed, rows_of, small_batches, table
 
 BITS = 64
 #: Shingles whose bits are counted at once.
@@ -254,10 +254,10 @@ def near_duplicates(
 
 
 def keep_one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The first document of every component, with its columns; ``doc_id`` identifies a row."""
+    """The first document of every component, with its columns. The id names a row: rows
+    without one all stay, and rows repeated whole become one."""
     found = near_duplicates(docs, text=text, doc_id=doc_id, **options)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"))
-    return docs.join(stays, docs[doc_id].eqNullSafe(F.col("_keep")), "left_semi")
+    return rows_of(docs, found.where("doc_id = component_id").select("doc_id"), doc_id)
 
 
 def op4_simhash(spark, sf_dir):

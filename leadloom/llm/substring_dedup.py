@@ -56,7 +56,7 @@ _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 def squeeze(*columns: np.ndarray) -> bytes:
     """Columns of equal length, byte plane by byte plane, compressed."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
     return _PACK.compress(b"".join(planes))
 
 
