@@ -20,16 +20,17 @@ CACHE_CHUNKS = 250_000
 
 #: A chunk with the blank before it, or white space on its own (byte-level files).
 KEEPS_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: A chunk alone (files that drop white space).
-DROPS_SPACE = re.compile(r"\S+")
-#: Letters with marks behind them; both kinds of file cut between the two
-#: (without U+0130, whose lower case ends in a combining mark).
-TAIL = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
+#: Latin letters (without U+0130, whose lower case ends in a combining mark), and
+#: ASCII marks behind them: both kinds of file cut between the two.
+LETTERS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 _ODD = "\x1c\x1d\x1e\x1f"
+#: Byte-level files write a byte as itself if it is printable, the others as U+0100 and up in turn.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 class Encoder(dict):
-    """Chunk -> its ids as bytes. A chunk that ends in marks is made of its two parts."""
+    """Chunk -> its ids as bytes. Letters go straight to the merges, marks behind them apart."""
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
@@ -37,8 +38,9 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.find = (KEEPS_SPACE if keeps_space else DROPS_SPACE).findall
+        self.find = KEEPS_SPACE.findall if keeps_space else str.split
         self.folds = not keeps_space
+        self.merge = self.tokenizer.model.tokenize
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
@@ -46,15 +48,24 @@ class Encoder(dict):
             self.older = dict(self)
             self.clear()
         if (ids := self.older.get(chunk)) is None:
-            if two := TAIL.fullmatch(chunk):
-                ids = self[two[1]] + self[two[2]]
-            elif self.folds and chunk.isascii() and (low := chunk.lower()) != chunk:
-                ids = self[low]
-            else:
+            if (parts := LETTERS.fullmatch(chunk)) is None:
                 ids = self.whole(chunk)
+            else:
+                core, marks = parts.groups()
+                if self.folds:
+                    core = core.lower()
+                if (ids := self.get(core) or self.older.get(core)) is None:
+                    ids = self[core] = self.letters(core)
+                if marks:
+                    ids += self[marks]
         self[chunk] = ids
         return ids
 
+    def letters(self, core: str) -> bytes:
+        """Ids of a run of letters, which no file cuts further before the merges."""
+        as_bytes = core.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return b"".join([x.id.to_bytes(4, "little") for x in self.merge(as_bytes)])
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
