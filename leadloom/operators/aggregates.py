@@ -41,7 +41,7 @@ def rolling_flow(history: DataFrame, lo: date, hi: date, months: int = 12, *, fi
     def events(col: str, name: str) -> DataFrame:
         first = F.when(F.col(col) == F.trunc(col, "MM"), F.col(col)).otherwise(F.add_months(F.trunc(col, "MM"), 1)).cast("date")
         spread = F.sequence(first, F.add_months(first, months - 1), F.expr("interval 1 month"))
-        rows = history.where(F.col(col).isNotNull()).select(firm, person, F.explode(spread).cast("date").alias("month"))
+        rows = history.where(F.col(col).isNotNull()).select(firm, person, F.explode(spread).alias("month"))
         rows = rows.where(F.col("month").between(F.trunc(F.lit(lo), "MM"), F.lit(hi)))
         return rows.select(firm, "month", F.lit(name).alias("kind"), F.col(person).alias("p"))
 
@@ -202,4 +202,4 @@ def extremes(df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0
             for i, c in enumerate(cols)
         ],
     )
-    return stats.select(F.explode(F.array(*[f"s{i}" for i in range(len(cols))])).alias("s")).select("s.*")
+    return stats.select("n", F.explode(F.array(*[f"s{i}" for i in range(len(cols))])).alias("s")).select("n", "s.*")

@@ -78,7 +78,7 @@ def lookback(left: DataFrame, facts: DataFrame, by: str, left_ts: str, fact_ts:
 
 def like_join(df: DataFrame, patterns: DataFrame, col: str, pattern: str, how: str = "inner") -> DataFrame:
     """Rows whose value is LIKE a row of the (literal, small) pattern table."""
-    return df.join(patterns, F.upper(df[col]).like(F.upper(patterns[pattern])), how)
+    return df.join(patterns, F.like(F.upper(df[col]), F.upper(patterns[pattern])), how)
 
 
 def join_any_key(df: DataFrame, fks: Sequence[str], other: DataFrame, key: str, row_key: str) -> DataFrame:

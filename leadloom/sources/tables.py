@@ -25,7 +25,7 @@ def literal_table(spark: SparkSession, values: Sequence, col: str) -> DataFrame:
 
 def month_spine(spark: SparkSession, start: date, end: date, col: str = "month") -> DataFrame:
     return spark.range(1).select(
-        F.explode(F.sequence(F.trunc(F.lit(start), "MM"), F.trunc(F.lit(end), "MM"), F.expr("interval 1 month"))).cast("date").alias(col)
+        F.explode(F.sequence(F.trunc(F.lit(start), "MM"), F.trunc(F.lit(end), "MM"), F.expr("interval 1 month"))).alias(col)
     )
 
 
