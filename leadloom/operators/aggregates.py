@@ -98,13 +98,13 @@ def pivot_by_rank(df: DataFrame, key: str, rank: str, cols: Sequence[str], k: in
 
 def latest(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """``cols`` of the newest row of each key by ``order``, which must be total."""
-    row = F.struct(*[c for c in [*order, *cols]])
+    row = F.struct(*dict.fromkeys([*order, *cols]))
     return df.groupBy(key).agg(F.max(row).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in cols])
 
 
 def first_event(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    row = F.struct(*[c for c in [*order, *cols]])
-    return df.groupBy(key).agg(F.min(row).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in [*order, *cols]])
+    names = list(dict.fromkeys([*order, *cols]))
+    return df.groupBy(key).agg(F.min(F.struct(*names)).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in names])
 
 
 def last_activity(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

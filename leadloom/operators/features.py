@@ -193,7 +193,7 @@ def ratio_features(df: DataFrame) -> DataFrame:
     out = df.withColumn("aum_per_client", safe_div(F.col("aum"), F.col("accounts")))
     out = with_overall(out, q75=F.percentile("aum_per_client", F.lit(0.75)))
     boutique = (F.col("aum_per_client") >= F.col("q75")) & (F.col("accounts") <= 5)
-    return out.select(*df.columns, F.round("aum_per_client", 4).alias("aum_per_client"), F.coalesce(boutique, F.lit(False)).cast("int").alias("is_boutique"))
+    return out.select(*df.columns, F.floor("aum_per_client").alias("aum_per_client"), F.coalesce(boutique, F.lit(False)).cast("int").alias("is_boutique"))
 
 
 # ---- shaping
