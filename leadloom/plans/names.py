@@ -1 +1,171 @@
-"""Queries."""
+"""Queries: entity resolution, change capture, quality gates."""
+
+from pyspark.sql import functions as F
+
+from leadloom.operators import gates as G
+from leadloom.operators import resolution as R
+from leadloom.plans.joins import ASOF, _asof
+from leadloom.plans.registry import query
+
+
+def _noted(t):
+    """Names with former and trading names written into them."""
+    n = F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    note = F.when(n % 3 == 0, F.concat(F.lit("*"), "name", F.lit(" (f/k/a Old "), "name", F.lit(")"))).when(n % 3 == 1, F.concat("name", F.lit(" d/b/a Shop "), n.cast("string"))).otherwise(F.col("name"))
+    return t.names.select("id", note.alias("noted"), "name", n.alias("n"))
+
+
+NOTED = ", nn as (select id, name, regexp_extract(id, '(\\d+)', 1)::bigint as n from names)"
+
+
+@query("er_parse_names", NOTED + " select id, name as main_name, case when n % 3 = 0 then 'Old ' || name else '' end as former, case when n % 3 = 1 then 'Shop ' || n else '' end as dba from nn")
+def _(t):
+    return R.parse_names(_noted(t), "noted").select("id", "main_name", F.array_join("former_names", "|").alias("former"), F.array_join("dbas", "|").alias("dba"))
+
+
+@query("er_parse_dates", "select lead_id, contacted as joined_on, case when lead_id % 4 = 0 then contacted + 100 end as withdrew_on, lead_id % 4 <> 0 as is_member from leads")
+def _(t):
+    c = F.col("contacted")
+    note = F.concat(F.lit("Joined on "), F.date_format(c, "M/d/yyyy"), F.when(F.col("lead_id") % 4 == 0, F.concat(F.lit("; withdrew: "), F.date_format(F.date_add(c, 100), "yyyy-MM-dd"))).otherwise(""))
+    return R.parse_membership(t.leads.select("lead_id", note.alias("note")), "note").select("lead_id", "joined_on", "withdrew_on", "is_member")
+
+
+@query("er_normalise", "select right_id, trim(regexp_replace(regexp_replace(lower(right_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as norm from edited_names")
+def _(t):
+    return t.edited_names.select("right_id", R.normalise(F.col("right_name")).alias("norm"))
+
+
+@query("er_base_name", "select right_id, regexp_replace(trim(regexp_replace(regexp_replace(lower(right_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+(llc|inc|corp|co|company|ltd)$', '') as base from edited_names")
+def _(t):
+    return t.edited_names.select("right_id", R.base_name(F.col("right_name")).alias("base"))
+
+
+@query("er_variants", NOTED + " select id, 'firm' as kind, name as variant from nn union all select id, 'former', 'Old ' || name from nn where n % 3 = 0 union all select id, 'dba', 'Shop ' || n from nn where n % 3 = 1")
+def _(t):
+    return R.variants(R.parse_names(_noted(t), "noted"), "id")
+
+
+NORM = ", l as (select id, name, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as nrm from names), r as (select right_id, right_name, trim(regexp_replace(regexp_replace(lower(right_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as rn from edited_names)"
+
+
+@query("er_block", NORM + " select id, right_id from l join r on substr(nrm, 1, 2) = substr(rn, 1, 2)")
+def _(t):
+    return R.blocked_pairs(t.names, t.edited_names, "name", "right_name", "first2").select("id", "right_id")
+
+
+CANDS = NORM + """, p as (select id, right_id, round(1 - levenshtein(nrm, rn) / greatest(length(nrm), length(rn))::double, 6) as confidence from l join r on split_part(nrm, ' ', 1) = split_part(rn, ' ', 1)),
+k as (select *, row_number() over (partition by id order by confidence desc, right_id) as place from p)"""
+
+
+@query("er_fuzzy", CANDS + " select id, right_id, confidence from p")
+def _(t):
+    return R.ranked_candidates(t.names, t.edited_names, 1 << 30).select("id", "right_id", "confidence")
+
+
+@query("er_workbench", CANDS + " select * from k where place <= 5")
+def _(t):
+    return R.ranked_candidates(t.names, t.edited_names, 5)
+
+
+@query("er_ambiguity", CANDS + ", a as (select id, max(confidence) filter (where place = 1) as first, max(confidence) filter (where place = 2) as second from k where place <= 2 group by 1) select *, round(first - second, 6) as gap, coalesce(round(first - second, 6) < 0.05, false) or first < 0.9 as needs_review from a")
+def _(t):
+    return R.ambiguity(R.ranked_candidates(t.names, t.edited_names, 2))
+
+
+MATCH = """, l as (select id, name, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as nrm from names), r as (select right_id, right_name, trim(regexp_replace(regexp_replace(lower(right_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as rn from edited_names),
+lb as (select *, regexp_replace(nrm, '\\s+(llc|l l c|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|llp|plc)$', '') as lbase from l), rb as (select *, regexp_replace(rn, '\\s+(llc|l l c|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|llp|plc)$', '') as rbase from r),
+pr as (select l.id, r.right_id, case when trim(name) = trim(right_name) then 1.0::double when nrm = rn then 0.95 when lbase = rbase then 0.85 when split_part(nrm, ' ', 1) = split_part(rn, ' ', 1) then
+    round(greatest(1 - levenshtein(nrm, rn) / greatest(length(nrm), length(rn))::double,
+      1 - levenshtein(array_to_string(list_sort(string_split(nrm, ' ')), ' '), array_to_string(list_sort(string_split(rn, ' ')), ' ')) / greatest(length(nrm), length(rn))::double,
+      len(list_intersect(list_distinct(string_split(nrm, ' ')), list_distinct(string_split(rn, ' ')))) / len(list_distinct(list_concat(string_split(nrm, ' '), string_split(rn, ' '))))::double), 6) end as confidence,
+  case when trim(name) = trim(right_name) then 1 when nrm = rn then 2 when lbase = rbase then 3 else 4 end as ord from lb l join rb r on trim(name) = trim(right_name) or nrm = rn or lbase = rbase or split_part(nrm, ' ', 1) = split_part(rn, ' ', 1)),
+ok as (select * from pr where ord < 4 or confidence >= 0.6),
+rk as (select *, row_number() over (partition by id order by ord, confidence desc, case when ord < 4 then right_id end, case when ord = 4 then right_id end desc) as k from ok),
+mt as (select l.id, right_id, case ord when 1 then 'exact' when 2 then 'normalised' when 3 then 'base' when 4 then 'fuzzy' else 'none' end as tier, coalesce(confidence, 0) as confidence from l left join rk on rk.id = l.id and k = 1)"""
+
+
+@query("er_tier_match", MATCH + " select * from mt")
+def _(t):
+    return R.tier_match(t.names, t.edited_names).select("id", "right_id", "tier", "confidence")
+
+
+@query("er_protect", MATCH + ", e as (select id, right_id as er from mt where confidence >= 0.95 or tier in ('exact', 'manual')), o as (select id, 'manual' as mr from names where id like 's1%') select mt.id, coalesce(mr, er, right_id) as right_id, case when mr is not null then 'manual' when er is not null then 'kept' else 'new' end as source from mt left join o using (id) left join e using (id)")
+def _(t):
+    found = R.tier_match(t.names, t.edited_names)
+    overrides = t.names.where("id like 's1%'").select("id", F.lit("manual").alias("right_id"))
+    return R.protect(found, found, overrides)
+
+
+@query("er_eval", MATCH + ", a as (select id, case when tier in ('exact', 'normalised') then right_id end as a from mt), j as (select id, a, right_id as b from a join mt using (id)) select count(*) as n, round(avg((a is not null)::int), 6) as rate_before, round(avg((b is not null)::int), 6) as rate_after, count(*) filter (where b is not null and a is null) as newly_matched, count(*) filter (where a <> b) as changed, count(*) filter (where a is not null and b is null) as lost from j")
+def _(t):
+    after = R.tier_match(t.names, t.edited_names)
+    before = after.withColumn("right_id", F.when(F.col("tier").isin("exact", "normalised"), F.col("right_id")))
+    return R.compare_runs(before, after)
+
+
+DIFF = """, j as (select coalesce(o.key, n.key) as key, o.key is null as is_new, n.key is null as is_gone, o.name as on_, n.name as nn_, o.brand as ob, n.brand as nb, o.size::varchar as os, n.size::varchar as ns from old_list o full join new_list n on o.key = n.key),
+ch as (select key, 'JOINED' as change, 'name' as field, null as old_value, nn_ as new_value from j where is_new
+ union all select key, 'WITHDREW', 'name', on_, null from j where is_gone
+ union all select key, 'NAME_CHANGED', 'name', on_, nn_ from j where not is_new and not is_gone and on_ is distinct from nn_
+ union all select key, 'INFO_UPDATED', 'brand', ob, nb from j where not is_new and not is_gone and ob is distinct from nb
+ union all select key, 'INFO_UPDATED', 'size', os, ns from j where not is_new and not is_gone and os is distinct from ns
+ union all select key, 'MATCHED', 'name', on_, nn_ from j where not is_new and not is_gone and on_ is not distinct from nn_ and ob is not distinct from nb and os is not distinct from ns)"""
+
+
+@query("cdc_diff", DIFF + " select * from ch")
+def _(t):
+    return R.diff(t.old_list, t.new_list, "key", "name", ["brand", "size"])
+
+
+@query("cdc_merge", "select coalesce(n.key, o.key) as key, case when n.key is null then o.name else n.name end as name, case when n.key is null then o.brand else n.brand end as brand, case when n.key is null then o.size else n.size end as size, case when n.key is null then 'WITHDRAWN' else 'ACTIVE' end as status, case when n.key is not null then 'run-2' end as last_seen from old_list o full join new_list n on o.key = n.key")
+def _(t):
+    return R.apply_changes(t.old_list, t.new_list, "key", "run-2")
+
+
+@query("cdc_history", DIFF + " select key, change, case when old_value is not null then '{\"' || field || '\":\"' || old_value || '\"}' end as old_json, case when new_value is not null then '{\"' || field || '\":\"' || new_value || '\"}' end as new_json, 'run-2' as run from ch where change <> 'MATCHED'")
+def _(t):
+    return R.history(R.diff(t.old_list, t.new_list, "key", "name", ["brand", "size"]), "key", "run-2")
+
+
+METRICS = ", m as (select 'row_count' as metric, count(*)::double as actual from persons union all select 'duplicate_keys', (count(nation_id) - count(distinct nation_id))::double from persons union all select 'forbidden', count(*) filter (where balance < 0)::double from persons union all select 'coverage_title', round(100 * avg((title is not null)::int), 4) from persons)".replace("count(*) filter (where balance < 0)::double", "(count(*) filter (where balance < 0))::double")
+
+
+def _metrics(t):
+    return G.validate_list(t.persons, "nation_id", ["title"], F.col("balance") < 0)
+
+
+@query("qg_metrics", METRICS + " select * from m")
+def _(t):
+    return _metrics(t)
+
+
+@query("qg_gate", METRICS + ", r(id, metric, low, high, blocking) as (values (1, 'row_count', 100.0::double, null::double, true), (2, 'duplicate_keys', null, 0.0, true), (3, 'coverage_title', 75.0, 100.0, false), (4, 'no_such_metric', 0.0, 1.0, false)) select id, r.metric, low, high, actual, coalesce(actual >= coalesce(low, '-inf'::double) and actual <= coalesce(high, 'inf'::double), false) as passed, blocking from r left join m on m.metric = r.metric")
+def _(t):
+    return G.gate(_metrics(t), [G.Rule("row_count", 100), G.Rule("duplicate_keys", None, 0), G.Rule("coverage_title", 75, 100, False), G.Rule("no_such_metric", 0, 1, False)])
+
+
+@query("qg_pit_integrity", ASOF.format("<").replace("select lead_id, contacted, firm_id, month, aum from j where k = 1", ", a as (select * from j where k = 1) select count(*) as rows, count(*) filter (where month > contacted) as future_snapshots, count(*) filter (where day(month) <> 1) as odd_dates, count(*) filter (where contacted - month < 0) as negative_days, count(*) filter (where month is null) as no_snapshot from a"))
+def _(t):
+    return G.pit_checks(_asof(t, True), "contacted", "month")
+
+
+@query("qg_null_and_rows", "select true as rows_kept, 'title' as column_name, round(avg((title is null)::int), 6) as null_rate, round(avg((title is null)::int), 6) <= 0.1 as passed from persons union all select true, 'balance', round(avg((balance is null)::int), 6), round(avg((balance is null)::int), 6) <= 0.1 from persons")
+def _(t):
+    return G.feature_checks(t.raw("customer"), t.persons, ["title", "balance"], 0.1)
+
+
+@query("qg_leakage", "select 'amount' as feature, round(abs(corr(amount, target)), 6) as abs_corr, round(abs(corr(amount, target)), 6) <= 0.7 as passed from outcomes union all select 'converted_at_all', round(abs(corr((converted is not null)::int, target)), 6), round(abs(corr((converted is not null)::int, target)), 6) <= 0.7 from outcomes")
+def _(t):
+    rows = t.outcomes.withColumn("converted_at_all", F.col("converted").isNotNull().cast("int"))
+    return G.leakage_checks(rows, ["amount", "converted_at_all"], "target")
+
+
+@query("qg_recompute", "select 'n_chars' as column_name, count(*) filter (where n_chars is distinct from length(text)) as differs from documents")
+def _(t):
+    docs = t.raw("documents")
+    return G.recomputed(docs.select("doc_id", "n_chars"), docs.select("doc_id", F.length("text").cast("long").alias("again")), "doc_id", {"n_chars": "again"})
+
+
+@query("qg_duplicates", "select p_name, count(*) as n from part group by 1 having count(*) > 1")
+def _(t):
+    return G.duplicates(t.raw("part"), ["p_name"])
