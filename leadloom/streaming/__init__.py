@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Streams: the domain has no streaming operator; batch tables only. Kept for the package layout."""
