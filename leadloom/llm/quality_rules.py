@@ -49,7 +49,7 @@ RULES: tuple[Rule, ...] = (
     Rule("upper_words_share", None, 0.5),
     Rule("letter_words_share", 0.6, None),
     Rule("stop_words_share", 0.02, None),
-    Rule("dup_lines_share", None, 0.3),
+    Rule("dup_lines_share", None, 0.5),
     Rule("bullet_lines_share", None, 0.9),
     Rule("ellipsis_lines_share", None, 0.3),
 )
@@ -174,6 +174,6 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed
        and word_chars / n_words between 2 and 12 and n_symbols / n_words <= 0.1::double and n_pipe / n_words <= 0.1::double
        and n_upper / n_words <= 0.5::double and n_letter / n_words >= 0.6::double and n_stop / n_words >= 0.02::double
-       and n_dup_lines / n_lines <= 0.3::double and n_bullet / n_lines <= 0.9::double and n_dots / n_lines <= 0.3::double as kept
+       and n_dup_lines / n_lines <= 0.5::double and n_bullet / n_lines <= 0.9::double and n_dots / n_lines <= 0.3::double as kept
 from b
 """
