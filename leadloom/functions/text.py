@@ -33,8 +33,9 @@ def yes_no(col: Column) -> Column:
 
 
 def has_word(col: Column, words: Sequence[str]) -> Column:
-    """Any of the words, as whole words, in any case."""
-    return F.lower(col).rlike(r"\b(" + "|".join(re.escape(w.lower()) for w in words) + r")\b")
+    """Any of the words, as whole words of any script, in any case."""
+    found = "|".join(re.escape(w.lower()) for w in words)
+    return F.lower(col).rlike(rf"(^|[^\p{{L}}\p{{N}}_])({found})($|[^\p{{L}}\p{{N}}_])")
 
 
 def ilike_any(col: Column, patterns: Sequence[str]) -> Column:

@@ -75,12 +75,12 @@ def _(t):
     return O.exclude_keys(t.firms, t.raw("lineitem").where("l_quantity > 49.5").select(F.col("l_suppkey").alias("firm_id")), "firm_id")
 
 
-@query("flt_title", "select * from persons where title is null or not regexp_matches(lower(title), '\\b(household|machinery)\\b')")
+@query("flt_title", "select * from persons where title is null or not regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}_])(household|machinery)($|[^\\p{L}\\p{N}_])')")
 def _(t):
     return O.exclude_titles(t.persons, ["household", "machinery"])
 
 
-@query("flt_title_null_dropped", "select * from persons where title is not null and not regexp_matches(lower(title), '\\b(household|machinery)\\b')")
+@query("flt_title_null_dropped", "select * from persons where title is not null and not regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}_])(household|machinery)($|[^\\p{L}\\p{N}_])')")
 def _(t):
     return O.exclude_titles(t.persons, ["household", "machinery"], keep_null_title=False)
 
@@ -181,7 +181,7 @@ def _(t):
     return t.raw("customer").select(F.col("c_custkey").alias("id"), X.strip(F.col("c_name"), "[^0-9]").alias("digits"))
 
 
-@query("fn_regex_contains", "select doc_id, regexp_matches(lower(text), '\\b(the|und)\\b') as hit from documents")
+@query("fn_regex_contains", "select doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(the|und)($|[^\\p{L}\\p{N}_])') as hit from documents")
 def _(t):
     return t.raw("documents").select("doc_id", X.has_word(F.col("text"), ["the", "und"]).alias("hit"))
 

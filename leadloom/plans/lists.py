@@ -157,7 +157,7 @@ def _(t):
     return Y.event_study(events, t.spells)
 
 
-@query("an_event_classify", "select doc_id, case when regexp_matches(lower(text), '\\b(the)\\b') then 'english' when regexp_matches(lower(text), '\\b(und|der)\\b') then 'german' else 'other' end as label from documents")
+@query("an_event_classify", "select doc_id, case when regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(the)($|[^\\p{L}\\p{N}_])') then 'english' when regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(und|der)($|[^\\p{L}\\p{N}_])') then 'german' else 'other' end as label from documents")
 def _(t):
     return Y.classify_text(t.raw("documents"), "text", {"english": ["the"], "german": ["und", "der"]}).select("doc_id", "label")
 

@@ -30,4 +30,7 @@ def rows(frame):
 
 def check(spark, con, query, sql, sf_dir):
     got, want = query(spark, sf_dir).toPandas(), con.sql(sql).df()
-    assert rows(got) == rows(want)
+    (names, mine), (others, theirs) = rows(got), rows(want)
+    if (names, mine) != (others, theirs):
+        odd = [x for x in zip(mine, theirs) if x[0] != x[1]][:3]
+        raise AssertionError(f"{names} {others} {len(mine)} {len(theirs)} {odd}")
