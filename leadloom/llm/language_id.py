@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.common import small_batches, table
 
-DOCS, DOC_CHARS, CHARS, ALL_CHARS = 96, 4000, 40_000, 400_000
-CACHE_WORDS = 200_000
+DOCS, DOC_CHARS, CHARS, ALL_CHARS = 96, 2000, 24_000, 240_000
+CACHE_WORDS = 60_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Bits that hold a language's count in the sum of a text's words.
 FIELD = 48

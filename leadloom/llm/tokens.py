@@ -16,7 +16,7 @@ import numpy as np
 #: Ids are held and summed as little-endian unsigned 32-bit integers.
 ID = np.dtype("<u4")
 #: Chunks in each of the two generations that a worker remembers.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 100_000
 
 #: A chunk with the blank before it, or white space on its own (byte-level files).
 KEEPS_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
