@@ -42,7 +42,7 @@ from leadloom.llm.common import small_batches, table
 
 WIDTH = 20
 #: Words that a task handles at once.
-BATCH_WORDS = 1 << 20
+BATCH_WORDS = 1 << 19
 #: Cells in a row of the sketch at most (one bit each once merged), and in a block of it.
 MAX_CELLS, BLOCK_BITS = 1 << 28, 20
 ROWS = 2
