@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.common import WORD, checkpointed, table
 
-BUCKETS = 16_384
+BUCKETS = 4096
 SEED = "mix-1"
 
 
