@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Language identification drops what has no language, exact deduplication and
-SimHash near-deduplication keep one document of each group, mixing repeats or
-thins the sources to their target weights, and packing cuts the rest into
+near-deduplication (five-word shingles, Jaccard similarity of 0.8 or more) keep
+one document of each group, mixing repeats or thins the sources to their target weights, and packing cuts the rest into
 windows of token ids. Each stage works on all that its predecessor kept, written
 as Parquet and read again.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import exact_dedup, language_id, mixing, packing, simhash
+from leadloom.llm import exact_dedup, language_id, mixing, near_copies, packing
 from leadloom.llm.common import table, written
 
 
@@ -24,7 +24,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_of_each(docs)
+    return near_copies.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ STAGES = [
     ("pack", pack_windows),
 ]
 
-#: SQL expresses neither the fingerprints' components nor the tokenizer; see tests/llm/test_pipeline.py.
+#: SQL expresses neither the components of near-copies nor the tokenizer; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
