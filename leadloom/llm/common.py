@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 4000
 BATCH_BYTES = 16 << 20
 
 
@@ -35,6 +35,17 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(folder / "leadloom.zip"))
 
 
+_HELD: dict = {}
+
+
+def resident(key: tuple, make):
+    """A model that a Python worker keeps between tasks; another one takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the texts that one Arrow batch brings into a Python worker."""
     ship(spark)

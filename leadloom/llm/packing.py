@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import small_batches, table
-from leadloom.llm.tokens import ID, encoder
+from leadloom.llm.tokens import CACHE_CHUNKS, ID, encoder
 
 WINDOW = 4096
 BLOCK_IDS = 4 << 20
@@ -126,10 +126,10 @@ def pack_block(pieces: list, window: int, slack: int) -> tuple[list[list], list]
     return done + full, rest
 
 
-def _packer(path: str, keeps_space: bool, end: int, window: int, block: int, slack: int):
+def _packer(path: str, chunks: int, end: int, window: int, block: int, slack: int):
     def run(batches):
         task, made, out, size = TaskContext.get().partitionId(), 0, [], 0
-        encode = encoder(path, keeps_space).ids
+        encode = encoder(path, chunks).batch
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
@@ -148,8 +148,9 @@ def _packer(path: str, keeps_space: bool, end: int, window: int, block: int, sla
 
         pool, held = [], 0
         for rows in batches:
-            for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                ids = encode(text, end)
+            at, (every, ends) = 0, encode(rows.column(1), end)
+            for doc_id, to in zip(rows.column(0).to_pylist(), ends.tolist(), strict=True):
+                ids, at = every[at:to], to
                 doc, whole = (doc_id, len(ids)), len(ids) - len(ids) % window
                 for start in range(0, whole, window):
                     emit([(doc, start, ids[start : start + window])])
@@ -183,8 +184,8 @@ def pack(
     docs: DataFrame,
     tokenizer: str,
     *,
-    keeps_space: bool,
     end: int,
+    chunks: int = CACHE_CHUNKS,
     window: int = WINDOW,
     block: int = BLOCK_IDS,
     slack: int = SLACK,
@@ -195,14 +196,14 @@ def pack(
     (little-endian unsigned 32-bit). ``tokenizer`` is the path of a tokenizers file."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_packer(tokenizer, keeps_space, end, window, block, slack), SCHEMA)
+    return rows.mapInArrow(_packer(tokenizer, chunks, end, window, block, slack), SCHEMA)
 
 
 def packed_words(docs: DataFrame) -> DataFrame:
     """`pack` as the query and the pipeline use it, with the checksum of each piece."""
     import public_tokenizers
 
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), keeps_space=False, end=2)
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import shared_dir, small_batches, table
-from leadloom.llm.tokens import ID, encoder
+from leadloom.llm.tokens import CACHE_CHUNKS, ID, encoder
 
 MAGIC = b"LBP1"
 CHUNK_IDS = 1 << 16
@@ -106,10 +106,10 @@ def decode_frame(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return doc_ids, np.frombuffer(parts[2], "<u8"), found
 
 
-def _writer(path: str, keeps_space: bool, end: int, bits: bool, chunk: int, frame_ids: int):
+def _writer(path: str, chunks: int, end: int, bits: bool, chunk: int, frame_ids: int):
     def run(batches):
         shard, made = TaskContext.get().partitionId(), 0
-        encode = encoder(path, keeps_space).ids
+        encode = encoder(path, chunks).batch
         docs, parts, held = [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -125,8 +125,9 @@ def _writer(path: str, keeps_space: bool, end: int, bits: bool, chunk: int, fram
             )
 
         for rows in batches:
-            for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                ids = encode(text, end)
+            at, (every, ends) = 0, encode(rows.column(1), end)
+            for doc_id, to in zip(rows.column(0).to_pylist(), ends.tolist(), strict=True):
+                ids, at = every[at:to], to
                 docs.append(doc_id)
                 parts.append(ids)
                 held += len(ids)
@@ -144,8 +145,8 @@ def write_store(
     path: str,
     tokenizer: str,
     *,
-    keeps_space: bool,
     end: int,
+    chunks: int = CACHE_CHUNKS,
     planes: str = "byte",
     chunk: int = CHUNK_IDS,
     frame_ids: int = FRAME_IDS,
@@ -158,7 +159,7 @@ def write_store(
     in_order = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text"
     )
-    frames = in_order.mapInArrow(_writer(tokenizer, keeps_space, end, planes == "bit", chunk, frame_ids), FRAME_SCHEMA)
+    frames = in_order.mapInArrow(_writer(tokenizer, chunks, end, planes == "bit", chunk, frame_ids), FRAME_SCHEMA)
     frames.write.parquet(path)
 
 
@@ -201,6 +202,6 @@ def op3_token_store(spark, sf_dir):
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_store(
-        table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), keeps_space=True, end=0
+        table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end=0
     )
     return read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

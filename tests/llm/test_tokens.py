@@ -1,17 +1,19 @@
 """Packing and the token store against plain encoding of whole texts."""
 
+import json
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from leadloom.llm import packing, token_store
-from leadloom.llm.tokens import ID, encoder
+from leadloom.llm.tokens import ID, Encoder
 
 WORD_FILE, BYTE_FILE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 TEXTS = [
@@ -27,20 +29,47 @@ TEXTS = [
 
 @lru_cache
 def loaded(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache
+def known(path):
+    return Encoder(path, 50)
 
 
 def plain(path, text, end):
     return loaded(path).encode(text or "", add_special_tokens=False).ids + [end]
 
 
+SPECIAL = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|end", "oftext|>", " ", "a", "B.", "'s", "\n"])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(SPECIAL, max_size=8))
+def test_added_tokens_are_encoded_as_the_library_does(parts):
+    test_chunks_encode_like_the_whole_text.hypothesis.inner_test("".join(parts))
+
+
+def test_other_files_get_whole_texts(tmp_path):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        assert Encoder(path).kind == name.split("_")[0]
+        file = json.loads(open(path).read())
+        file["pre_tokenizer"] = {"type": "Whitespace"}
+        (tmp_path / name).write_text(json.dumps(file))
+        other = Encoder(str(tmp_path / name))
+        assert other.kind is None
+        text = "The cat, don't <|endoftext|>"
+        assert other.batch(pa.array([text]), 7)[0].tolist() == Tokenizer.from_file(str(tmp_path / name)).encode(text, add_special_tokens=False).ids + [7]
+
+
 @settings(max_examples=1500, deadline=None)
-@given(st.text(alphabet="aB9é̈ \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 　'stdlmreİıŒßÉǅÞΣ<|>.,*漢​😀", max_size=24))
+@given(st.text(alphabet="a\x00B9é̈ \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 　'stdlmreİıŒßÉǅÞΣ<|>.,*漢​😀", max_size=24))
 def test_chunks_encode_like_the_whole_text(text):
-    for path, keeps in ((WORD_FILE, False), (BYTE_FILE, True)):
-        assert encoder(path, keeps).ids(text, 7).tolist() == plain(path, text, 7)
+    for path in (WORD_FILE, BYTE_FILE):
+        want = plain(path, text, 7)
+        ids, ends = known(path).batch(pa.array([text, None, text, "x " + text]), 7)
+        assert ids.tolist() == [*want, 7, *want, *plain(path, "x " + text, 7)] and ends[:3].tolist() == [len(want), len(want) + 1, 2 * len(want) + 1]
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +79,7 @@ def docs(spark):
 
 
 def test_pack_holds_every_id_once(docs):
-    rows = packing.pack(docs, WORD_FILE, keeps_space=False, end=2, window=64).collect()
+    rows = packing.pack(docs, WORD_FILE, end=2, window=64).collect()
     found, sequences = {}, {}
     for r in rows:
         found.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, np.frombuffer(r.ids, ID).tolist()))
@@ -92,7 +121,7 @@ def test_best_fit_decreasing_against_a_scan_of_all_windows(lengths):
 
 
 def test_pack_of_an_empty_table(docs):
-    assert packing.pack(docs.limit(0), WORD_FILE, keeps_space=False, end=2).count() == 0
+    assert packing.pack(docs.limit(0), WORD_FILE, end=2).count() == 0
 
 
 def test_pack_wastes_little(spark):
@@ -106,7 +135,7 @@ def test_pack_wastes_little(spark):
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_store_round_trip(spark, docs, tmp_path, planes):
     path = str(tmp_path / planes)
-    token_store.write_store(docs, path, BYTE_FILE, keeps_space=True, end=0, planes=planes, chunk=50, frame_ids=300)
+    token_store.write_store(docs, path, BYTE_FILE, end=0, planes=planes, chunk=50, frame_ids=300)
     got = token_store.read_store(spark, path).orderBy("start").collect()
     order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     at = 0
@@ -119,7 +148,7 @@ def test_store_round_trip(spark, docs, tmp_path, planes):
 
 def test_store_of_an_empty_table(spark, docs, tmp_path):
     path = str(tmp_path / "none")
-    token_store.write_store(docs.limit(0), path, BYTE_FILE, keeps_space=True, end=0)
+    token_store.write_store(docs.limit(0), path, BYTE_FILE, end=0)
     assert token_store.read_store(spark, path).count() == 0
 
 
