@@ -1,29 +1,34 @@
-"""Chat formatting: one rendering of a dialogue for every participant.
+"""Chat formatting: one rendering of a whole dialogue for every participant.
 
 In the rendering of a participant, that speaker's turns are the assistant's, all
 other speakers are users under their own names, and system turns stay system
 turns. The mask lists the spans (start:length, in code points of the rendering)
 that count for the loss: the speaker's own words with their closing mark.
 
-A dialogue is cut into parts of ``PART_TURNS`` turn numbers, so that an endless
-one becomes many rows and none grows without bound. Built-in functions only.
+A turn has the same length in all renderings but its speaker's own, so its place
+is a running sum over the dialogue plus the speaker's earlier turns times one
+difference: windows give both, and nothing grows with the square of a dialogue.
+The dialogue is the unit of the output and lies in one row for each participant;
+turns are shuffled once, by conversation. Built-in functions only.
 
 Defined cases: a null text is empty; a null role speaks as ``unknown``; null
-turns follow all others in a last part; equal turns are ordered by role, then
-text; repeated rows all stay; null conversation ids form one conversation; a
-dialogue of system turns alone has no participant and gives no row.
+turns follow all others; equal turns are ordered by role, then text; repeated
+rows all stay; null conversation ids form one conversation; other characters than
+letters, digits, - and _ of a name become _, and names that agree then are told
+apart by #2, #3 ... in the order of their roles; a dialogue of system turns alone
+has no participant and gives no row; an empty table gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import table
 
-PART_TURNS = 256
 LAST = 9_223_372_036_854_775_807
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+OWN = f"{OPEN}assistant\n"
 
 
 def _safe(text: Column) -> Column:
@@ -44,62 +49,42 @@ def perspectives(
     text: str = "text",
     system: str = "system",
 ) -> DataFrame:
-    """One row per conversation, part and participant: rendering, mask and counts."""
-    rows = turns.select(
+    """One row per conversation and participant: rendering, mask and counts."""
+    said = turns.select(
         F.col(conv_id).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn) / F.lit(float(PART_TURNS))), F.lit(LAST)).alias("part"),
-        F.struct(
-            F.coalesce(F.col(turn), F.lit(LAST)).alias("turn"),
-            F.coalesce(F.col(role), F.lit("unknown")).alias("role"),
-            _safe(F.coalesce(F.col(text), F.lit(""))).alias("text"),
-        ).alias("m"),
+        F.coalesce(F.col(turn), F.lit(LAST)).alias("turn"),
+        F.coalesce(F.col(role), F.lit("unknown")).alias("role"),
+        _safe(F.coalesce(F.col(text), F.lit(""))).alias("body"),
+    ).withColumn("name", _name(F.col("role")))
+    alike = Window.partitionBy("conv_id", "name").orderBy("role")
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "body").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("conv_id", "role").orderBy("turn", "body")
+    k = F.dense_rank().over(alike)
+    named = said.repartition("conv_id").withColumn("name", F.when(k > 1, F.concat("name", F.lit("#"), k)).otherwise(F.col("name")))
+    others = F.when(F.col("role") == system, F.lit(f"{OPEN}system\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), "name", F.lit("\n")))
+    placed = (
+        named.withColumn("head", others)
+        .withColumn("at", F.coalesce(F.sum(F.length("head") + F.length("body") + len(CLOSE)).over(before), F.lit(0)))
+        .withColumn("earlier", F.row_number().over(own) - 1)
     )
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    speakers = (
-        rows.where(F.col("m.role") != system)
-        .groupBy(F.col("conv_id").alias("c"))
-        .agg(F.sort_array(F.collect_set("m.role")).alias("speakers"))
+    message = F.struct("turn", "role", "body", "head", "at", "earlier")
+    whole = placed.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(message)).alias("ms"),
+        F.sort_array(F.collect_set(F.when(F.col("role") != system, F.struct("role", "head")))).alias("speakers"),
     )
-    seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).select(
-        "conv_id", "part", "ms", F.explode("speakers").alias("speaker")
-    )
-    head = lambda m: F.concat(
-        F.lit(OPEN),
-        F.when(m["role"] == F.col("speaker"), F.lit("assistant"))
-        .when(m["role"] == system, F.lit("system"))
-        .otherwise(F.concat(F.lit("user name="), _name(m["role"]))),
-        F.lit("\n"),
-    )
-    said = seen.withColumn(
-        "said", F.transform("ms", lambda m: F.struct(head(m).alias("head"), m["text"].alias("body"), (m["role"] == F.col("speaker")).alias("own")))
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
-    walked = F.aggregate(
-        "said",
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["head"]) + F.length(x["body"]) + len(CLOSE)).cast("long").alias("at"),
-            F.when(
-                x["own"],
-                F.concat(
-                    acc["spans"],
-                    F.array(F.concat_ws(":", acc["at"] + F.length(x["head"]), F.length(x["body"]) + len(CLOSE))),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )
-    return said.withColumn("walked", walked).select(
+    seen = whole.select("conv_id", "ms", F.explode("speakers").alias("s")).select("conv_id", "ms", F.col("s.role").alias("speaker"), F.col("s.head").alias("as_user"))
+    mine = F.filter("ms", lambda m: m["role"] == F.col("speaker"))
+    shorter = F.length("as_user") - len(OWN)
+    span = lambda m: F.concat_ws(":", m["at"] - m["earlier"] * shorter + len(OWN), F.length(m["body"]) + len(CLOSE))
+    head = lambda m: F.when(m["role"] == F.col("speaker"), F.lit(OWN)).otherwise(m["head"])
+    return seen.select(
         "conv_id",
-        "part",
         "speaker",
-        F.size("said").cast("long").alias("n_turns"),
-        F.size("walked.spans").cast("long").alias("n_own_turns"),
-        F.col("walked.at").alias("n_chars"),
-        F.array_join("walked.spans", ",").alias("mask"),
-        F.array_join(F.transform("said", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "").alias("rendered"),
-    )
+        F.size("ms").cast("long").alias("n_turns"),
+        F.size(mine).cast("long").alias("n_own_turns"),
+        F.array_join(F.transform(mine, span), ",").alias("mask"),
+        F.array_join(F.transform("ms", lambda m: F.concat(head(m), m["body"], F.lit(CLOSE))), "").alias("rendered"),
+    ).withColumn("n_chars", F.length("rendered").cast("long"))
 
 
 def op1_chat_format(spark, sf_dir):
@@ -107,27 +92,28 @@ def op1_chat_format(spark, sf_dir):
 
 
 ORACLE_SQL = r"""
-with t as (
-  select conv_id, coalesce(floor(turn / 256.0::double)::bigint, 9223372036854775807) as part,
-         coalesce(turn, 9223372036854775807) as turn, coalesce(role, 'unknown') as role,
+with r as (
+  select conv_id, coalesce(turn, 9223372036854775807) as turn, coalesce(role, 'unknown') as role,
          replace(coalesce(text, ''), '<|im_', '<| im_') as body
   from conversations),
+n as (select *, regexp_replace(role, '[^\p{L}\p{N}_-]+', '_', 'g') as name from r),
+t as (select *, dense_rank() over (partition by conv_id, name order by role) as k from n),
 s as (select distinct conv_id, role as speaker from t where role <> 'system'),
 h as (
-  select t.conv_id, part, speaker, turn, role, body, role = speaker as own,
+  select t.conv_id, speaker, turn, role, body, role = speaker as own,
          '<|im_start|>' || case when role = speaker then 'assistant' when role = 'system' then 'system'
-           else 'user name=' || regexp_replace(role, '[^\p{L}\p{N}_-]+', '_', 'g') end || chr(10) as head
+           else 'user name=' || name || case when k > 1 then '#' || cast(k as varchar) else '' end end || chr(10) as head
   from t join s on t.conv_id is not distinct from s.conv_id),
 o as (
   select *, length(head) + length(body) + 11 as n,
          coalesce(sum(length(head) + length(body) + 11) over (
-           partition by conv_id, part, speaker order by turn, role, body
+           partition by conv_id, speaker order by turn, role, body
            rows between unbounded preceding and 1 preceding), 0) as pos
   from h)
-select conv_id, part, speaker, count(*)::bigint as n_turns, cast(count(*) filter (where own) as bigint) as n_own_turns,
-       sum(n)::bigint as n_chars,
+select conv_id, speaker, count(*)::bigint as n_turns, cast(count(*) filter (where own) as bigint) as n_own_turns,
        coalesce(string_agg(cast(cast(pos + length(head) as bigint) as varchar) || ':' || cast(length(body) + 11 as varchar), ','
            order by turn, role, body) filter (where own), '') as mask,
-       string_agg(head || body || '<|im_end|>' || chr(10), '' order by turn, role, body) as rendered
-from o group by conv_id, part, speaker
+       string_agg(head || body || '<|im_end|>' || chr(10), '' order by turn, role, body) as rendered,
+       sum(n)::bigint as n_chars
+from o group by conv_id, speaker
 """
