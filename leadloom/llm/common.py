@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,9 +55,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
+    """The folder that all executors share. A temporary one only on a local master (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="leadloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -79,11 +82,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: Sequence[str], *names: str) -> list[str]:
+    """Each name with as many _ before it as keep it apart from the columns."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def rows_of(docs: DataFrame, stays: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows whose id is in ``stays`` (doc_id), or that have none; rows repeated whole become one."""
-    keep = stays.select(F.col("doc_id").alias("_stays")).distinct()
-    joined = docs.join(keep, docs[doc_id] == keep["_stays"], "left")
-    return joined.where(docs[doc_id].isNull() | F.col("_stays").isNotNull()).select(*docs.columns).distinct()
+    """The rows whose id is in ``stays`` (doc_id); rows of one id repeated whole become one.
+    Rows without an id all stay. Texts are shuffled once, by id."""
+    key, same = fresh(docs.columns, "key", "same")
+    keyed = docs.withColumn(key, F.col(doc_id).cast("long"))
+    named = keyed.where(F.col(key).isNotNull()).join(stays.select(F.col("doc_id").alias(key)), key, "left_semi")
+    has_map = lambda c: "map<" in keyed.schema[c].dataType.simpleString()
+    # equal rows have one id, so a 64-bit hash of the rest tells the rows of that id apart
+    signature = F.xxhash64(*[F.to_json(F.struct(c)) if has_map(c) else F.col(c) for c in docs.columns])
+    once = named.withColumn(same, signature).dropDuplicates([key, same])
+    return once.select(*docs.columns).unionByName(keyed.where(F.col(key).isNull()).select(*docs.columns))
 
 
 def words(text: Column) -> Column:

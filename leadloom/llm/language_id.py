@@ -4,36 +4,41 @@ For each language a suffix automaton of a sample of its labelled text gives the
 longest match from any place of a text, so the text is parsed greedily into the
 fewest phrases that occur in the sample (a character never seen is a phrase of
 its own). Phrases per character estimate the cross entropy; the language with
-the fewest wins. Phrases do not cross the blanks around a word, so a word's
-parse is the same wherever it stands: each distinct word is parsed once for each
-worker, and a text sums the counts of all its words.
+the fewest wins. Phrases run over the whole text, across its words.
 
-The sample is bounded: ``DOCS`` documents a language in expectation, each with a
-stretch of at most ``DOC_CHARS`` at a place its hash picks, cut to ``CHARS`` a
-language and ``ALL_CHARS`` together, of which the workers build the automata.
+Texts are lower-cased and everything but letters becomes one blank. An automaton
+whose states times its alphabet stay within ``TABLE_CELLS`` is laid out as a
+table, and many texts are parsed at once, a character of each at a time; others,
+and the ends of the longest texts, are parsed one by one, to the same counts.
+
+The sample is bounded: some ``DOCS`` documents a language, each with a stretch of
+at most ``DOC_CHARS`` at a place its hash picks, cut to ``CHARS`` a language and
+``ALL_CHARS`` together (with many languages fewer documents and characters each).
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 without labelled rows every text is ``und``; equal counts go to the language
 first in code point order; rows without text or label teach nothing; repeated
-rows are judged alike; an empty table gives no rows.
+rows are judged alike; an empty table gives no rows; names of further columns
+do not matter.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import small_batches, table
+from leadloom.llm.common import fresh, resident, small_batches, table
 
-DOCS, DOC_CHARS, CHARS, ALL_CHARS = 96, 2000, 24_000, 240_000
-CACHE_WORDS = 60_000
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Bits that hold a language's count in the sum of a text's words.
-FIELD = 48
+DOCS, DOC_CHARS, CHARS, ALL_CHARS = 64, 1000, 24_000, 240_000
+#: Labels up to which their counts are broadcast.
+SMALL_COUNTS = 10_000
+TABLE_CELLS = 16 << 20
+#: Characters of text in a slice of a batch, and texts still running below which they are parsed one by one.
+SLICE_CHARS, LEAST_LANES = 2 << 20, 24
 
 
 class SuffixAutomaton:
@@ -66,10 +71,11 @@ class SuffixAutomaton:
                     link[to] = link[state] = copy
             last = state
 
-    def phrases(self, text: str) -> int:
-        """Phrases of the greedy parse by longest matches."""
+    def phrases(self, text: str, state: int = 0) -> int:
+        """Phrases of the greedy parse by longest matches, from a state on; one that ``state``
+        is in the midst of counts."""
         states, root = self.next, self.next[0]
-        at, count = root, 0
+        at, count = states[state], 0
         for char in text:
             if (to := at.get(char)) is None:
                 count += at is not root  # a phrase ends before this character
@@ -81,82 +87,162 @@ class SuffixAutomaton:
         return count + (at is not root)
 
 
-class Parser(dict):
-    """Word -> its phrase counts for all languages, packed into one integer."""
-
-    def __init__(self, samples: tuple[tuple[str, str], ...]):
-        super().__init__()
-        self.languages = [lang for lang, _ in samples]
-        self.automata = [SuffixAutomaton(text) for _, text in samples]
-        self.older: dict[str, int] = {}
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-        if (packed := self.older.get(word)) is None:
-            blank, packed = f" {word} ", 0
-            for k, automaton in enumerate(self.automata):
-                packed |= automaton.phrases(blank) << FIELD * k
-        self[word] = packed
-        return packed
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language, and how much fewer phrases it needs than the next: 0 (as many) to 1."""
-        words = LETTERS.findall(text.lower()) if text and self.languages else []
-        if not words:
-            return "und", 0.0
-        total = sum([self[w] for w in words])
-        counts = [total >> FIELD * k & (1 << FIELD) - 1 for k in range(len(self.languages))]
-        chars = sum(map(len, words)) + len(words)
-        rates = sorted((n / chars, k) for k, n in enumerate(counts))
-        second = rates[1][0] if len(rates) > 1 else 1.0
-        return self.languages[rates[0][1]], max(0.0, 1.0 - rates[0][0] / second) if second else 0.0
-
-
 @lru_cache(maxsize=1)
-def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    """One for each Python worker."""
-    return Parser(samples)
+def _letters() -> np.ndarray:
+    """Code point -> that of its lower case, or of a blank if it is no letter."""
+    found = np.full(0x110000, 32, np.uint32)
+    for c in range(0x110000):
+        char = chr(c)
+        if char.isalpha():
+            found[c] = ord(char.lower()[0])
+    return found
+
+
+def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Normal texts as code points in a row, and the length of each: letters in lower case,
+    one blank between runs of them and at either end; texts without letters are empty."""
+    joined = "\n".join(["", *(t or "" for t in texts), ""])  # a blank before, between and behind
+    found = _letters()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
+    cuts = np.cumsum([0] + [len(t or "") + 1 for t in texts])
+    blank = found == 32
+    keep = ~blank
+    keep[1:] |= blank[1:] & ~blank[:-1]  # the first blank behind a run
+    sizes = np.add.reduceat(keep[1:], cuts[:-1]) if len(texts) else np.empty(0, np.int64)
+    kept = found[1:][keep[1:]]
+    out = np.full(len(kept) + int((sizes > 0).sum()), 32, np.uint32)
+    shift = np.cumsum(sizes > 0)  # one more blank before each text with letters
+    out[np.arange(len(kept)) + np.repeat(shift, sizes)] = kept
+    return out, sizes + (sizes > 0)
 
 
 def normal(text: str) -> str:
-    return " " + " ".join(LETTERS.findall(text.lower())) + " "
+    points, _ = code_points([text])
+    return points.tobytes().decode("utf-32-le")
+
+
+class Language:
+    """The sample of a language, ready to parse texts."""
+
+    def __init__(self, sample: str):
+        self.automaton = SuffixAutomaton(sample)
+        letters = sorted(set(sample))
+        self.table = None
+        if len(self.automaton.next) * (len(letters) + 1) <= TABLE_CELLS:
+            # letters never seen share the last column, which leads nowhere
+            code = {c: k for k, c in enumerate(letters)}
+            self.table = np.full((len(self.automaton.next), len(letters) + 1), -1, np.int32)
+            for state, edges in enumerate(self.automaton.next):
+                for c, to in edges.items():
+                    self.table[state, code[c]] = to
+            self.code = np.full(0x110000, len(letters), np.int32)
+            self.code[[ord(c) for c in letters]] = np.arange(len(letters))
+
+    def counts(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases of each text."""
+        begins = np.cumsum(sizes) - sizes
+        found = np.zeros(len(sizes), np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        texts = lambda i, at: points[begins[i] + at : begins[i] + sizes[i]].tobytes().decode("utf-32-le")
+        if self.table is None:
+            for i in order.tolist():
+                found[i] = self.automaton.phrases(texts(i, 0))
+            return found
+        columns, width = self.code[points], self.table.shape[1]
+        flat, root = self.table.reshape(-1), self.table[0]
+        running = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")  # texts longer than t
+        state = np.zeros(len(sizes), np.int32)
+        count = np.zeros(len(sizes), np.int64)
+        first, t = begins[order], 0
+        for t, n in enumerate(running.tolist()):  # noqa: B007
+            if n < LEAST_LANES:
+                break
+            now, column = state[:n], columns[first[:n] + t]
+            to = flat[now * width + column]
+            dead = np.nonzero(to < 0)[0]
+            again = root[column[dead]]
+            count[dead] += (now[dead] > 0).astype(np.int64) + (again < 0)
+            to[dead] = np.maximum(again, 0)
+            state[:n] = to
+        else:
+            t += 1
+        found[order] = count
+        longer = int((sizes > t).sum()) if len(sizes) else 0
+        ended = order[longer:]
+        found[ended] += state[longer:] > 0
+        for k, i in enumerate(order[:longer].tolist()):
+            found[i] += self.automaton.phrases(texts(i, t), int(state[k]))
+        return found
+
+
+class Parser:
+    def __init__(self, samples: tuple[tuple[str, str], ...]):
+        self.names = [lang for lang, _ in samples]
+        self.languages = [Language(text) for _, text in samples]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language of each, and how much fewer phrases it needs than the next: 0 (as many) to 1."""
+        names, scores, part, held = [], [], [], 0
+        for text in [*texts, ...]:
+            if part and (text is ... or held >= SLICE_CHARS):
+                found = self._predict(part)
+                names += found[0]
+                scores += found[1]
+                part, held = [], 0
+            if text is not ...:
+                part.append(text)
+                held += len(text or "")
+        return names, scores
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        points, sizes = code_points(texts)
+        if not self.names:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        counts = np.stack([x.counts(points, sizes) for x in self.languages])
+        best = counts.argmin(axis=0)
+        fewest = counts.min(axis=0)
+        second = np.partition(counts, 1, axis=0)[1] if len(counts) > 1 else sizes
+        score = np.where(sizes > 0, 1.0 - fewest / np.maximum(second, 1), 0.0)
+        return [self.names[b] if n else "und" for b, n in zip(best.tolist(), sizes.tolist(), strict=True)], np.maximum(score, 0.0).tolist()
 
 
 def learn(labelled: DataFrame, *, docs: int = DOCS, doc_chars: int = DOC_CHARS, chars: int = CHARS, all_chars: int = ALL_CHARS) -> tuple[tuple[str, str], ...]:
     """(language, sample) of (doc_id, text, lang), all not null. The driver gets the bounded sample alone."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    languages = counts.count()
+    if not languages:
         return ()
+    wanted = max(1, min(docs, 2 * all_chars // (languages * doc_chars)))
     place = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, docs / n)))])
-    drawn = labelled.where(F.pmod(place, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     start = 1 + F.pmod(F.shiftright(place, 8), F.greatest(F.lit(1), F.length("text") - doc_chars))
+    known = F.broadcast(counts) if languages <= SMALL_COUNTS else counts
+    drawn = labelled.join(known, "lang").where(F.pmod(place, F.lit(1 << 30)) < F.least(F.lit(1.0), wanted / F.col("rows")) * (1 << 30))
     rows = drawn.select("lang", place.alias("place"), F.substr("text", start, F.lit(doc_chars)).alias("text")).collect()
-    most = min(chars, all_chars // len(counts))
+    most = max(1, min(chars, all_chars // languages))
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["place"], r["text"])):
         if len(samples.setdefault(r["lang"], "")) < most:
             samples[r["lang"]] = (samples[r["lang"]] + normal(r["text"]))[:most]
-    return tuple(sorted(samples.items()))
+    return tuple((k, v) for k, v in sorted(samples.items()) if v)
 
 
-def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` with lang_pred and score of every text."""
+def identify(
+    docs: DataFrame, samples: tuple[tuple[str, str], ...], *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), lang_pred: str = "lang_pred", score: str = "score"
+) -> DataFrame:
+    """The columns of ``keep`` with the language and score of every text, under the names given."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(samples)
-    named = docs.select(*keep, F.col(text).cast("string").alias("_whole_text"))
+    (whole,) = fresh([*docs.columns, *keep], "whole")
+    named = docs.select(*keep, F.col(text).cast("string").alias(whole))
 
     def run(batches):
-        model = parser(shared.value)
+        model = resident(("languages", shared.value), lambda: Parser(shared.value))
         for rows in batches:
-            found = [model.predict(t) for t in rows.column(len(keep)).to_pylist()]
-            made = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *made], [*keep, "lang_pred", "score"])
+            names, scores = model.predict(rows.column(len(keep)).to_pylist())
+            made = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *made], [*keep, lang_pred, score])
 
-    schema = named.drop("_whole_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = named.drop(whole).schema.add(lang_pred, "string").add(score, "double")
     return named.mapInArrow(run, schema)
 
 
@@ -165,21 +251,28 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def labelled_rows(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataFrame:
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return rows.where((fold(F.col("doc_id")) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+
+
 def predict_languages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score; learns from the other folds of ``docs`` itself."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    labelled = rows.where((fold(F.col("doc_id")) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    samples = learn(labelled)
+    samples = learn(labelled_rows(docs, text, doc_id, lang))
     target = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(fold(F.col(doc_id)) == 2, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     return identify(target, samples, keep=("doc_id", "held_out"))
 
 
-def keep_identified(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """The documents with a language, with their columns as they are."""
-    rows = docs.select("doc_id", "text", "lang")
-    labelled = rows.where((fold(F.col("doc_id")) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    found = identify(docs, learn(labelled), text=text, keep=tuple(docs.columns))
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+def keep_identified(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """The documents with a language; a missing label becomes the predicted one, all other
+    columns stay. Where no row is labelled, those with a letter stay, without a label."""
+    samples = learn(labelled_rows(docs, text, doc_id, lang))
+    if not samples:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    pred, score = fresh(docs.columns, "lang_pred", "score")
+    found = identify(docs, samples, text=text, keep=tuple(docs.columns), lang_pred=pred, score=score)
+    label = F.coalesce(F.col(lang), F.col(pred)).alias(lang)
+    return found.where(F.col(pred) != "und").select(*[label if c == lang else c for c in docs.columns])
 
 
 def op7_language_id(spark, sf_dir):

@@ -1,23 +1,84 @@
-"""Language identification: exact parse, and accuracy on the held-out fold."""
+"""Language identification: exact parse, the query by brute force, and accuracy on the held-out fold."""
 
+import re
+
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from leadloom.llm import language_id
 
 SF = "/root/testdata/sf0.01"
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("abc", max_size=40), st.text("abcd", max_size=30))
-def test_parse_against_search(sample, text):
+def plain_phrases(sample, text):
+    """Longest matches by search in the sample."""
     count, at = 0, 0
     while at < len(text):
         size = 1
         while at + size < len(text) and text[at : at + size + 1] in sample:
             size += 1
         count, at = count + 1, at + size
-    assert language_id.SuffixAutomaton(sample).phrases(text) == count
+    return count
+
+
+def plain_normal(text):
+    runs = re.findall(r"[^\W\d_]+", text or "")
+    return " " + " ".join("".join(c.lower()[0] for c in r) for r in runs) + " " if runs else ""
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=40), st.text("abcd", max_size=30))
+def test_parse_against_search(sample, text):
+    assert language_id.SuffixAutomaton(sample).phrases(text) == plain_phrases(sample, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB éÉßİ1_-\n漢Σ", max_size=12)), max_size=6))
+def test_normal_texts(texts):
+    texts = [t if not t or all(c.isalpha() or not re.match(r"[^\W\d_]", c) for c in t) else "" for t in texts]
+    points, sizes = language_id.code_points(texts)
+    at, found = 0, []
+    for n in sizes.tolist():
+        found.append(points[at : at + n].tobytes().decode("utf-32-le"))
+        at += n
+    assert found == [plain_normal(t) for t in texts] and at == len(points)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc ", min_size=1, max_size=60), st.lists(st.text("abcd ", max_size=40), max_size=70), st.integers(1, 80))
+def test_many_texts_at_once(sample, texts, lanes):
+    language, before = language_id.Language(sample), language_id.LEAST_LANES
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    want = [plain_phrases(sample, t) for t in texts]
+    try:
+        language_id.LEAST_LANES = lanes
+        assert language.counts(points, sizes).tolist() == want
+        language.table = None  # as with alphabets too large for one
+        assert language.counts(points, sizes).tolist() == want
+    finally:
+        language_id.LEAST_LANES = before
+
+
+def test_query_by_brute_force(spark):
+    """Phrases of the whole running text by search; parsing word by word gives other counts."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    samples = language_id.learn(language_id.labelled_rows(docs, "text", "doc_id", "lang"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    by_word = 0
+    for r in language_id.op7_language_id(spark, sf).collect():
+        text = plain_normal(texts[r.doc_id])
+        if not text:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        counts = sorted((plain_phrases(s, text), lang) for lang, s in samples)
+        assert r.lang_pred == counts[0][1] and abs(r.score - (1 - counts[0][0] / counts[1][0])) < 1e-12
+        words = [f" {w} " for w in text.split()]
+        by_word += sum(plain_phrases(samples[0][1], w) for w in words) != plain_phrases(samples[0][1], text)
+    assert by_word > 100
 
 
 def test_held_out_accuracy(spark):
@@ -33,11 +94,15 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges(spark):
-    rows = [(1, "the cat and the dog", "en", 1), (5, "the dog is here " * 5000, "en", 1), (6, None, "en", 1), (7, "12 34 --", None, 1), (None, "the cat", "en", 1), (8, "", "en", 1)]
+    rows = [(1, "the cat and the dog", "en", 1), (5, "the dog is here " * 5000, "en", 1), (6, None, "en", 1), (7, "12 34 --", None, 1), (None, "the cat", "en", 1), (8, "", "en", 1), (9, "the cat", None, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out int")
     found = {r.doc_id: r.lang_pred for r in language_id.predict_languages(docs).collect()}
-    assert found == {1: "en", 5: "en", 6: "und", 7: "und", None: "en", 8: "und"}
+    assert found == {1: "en", 5: "en", 6: "und", 7: "und", None: "en", 8: "und", 9: "en"}
     assert language_id.predict_languages(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in language_id.predict_languages(docs.where("doc_id = 7")).collect()} == {"und"}
     kept = language_id.keep_identified(docs)
-    assert kept.columns == docs.columns and kept.count() == 3
+    assert kept.columns == docs.columns and {r.doc_id: r.lang for r in kept.collect()} == {1: "en", 5: "en", None: "en", 9: "en"}
+    clash = docs.selectExpr("*", "'x' as lang_pred", "1 as score", "map('a', 1) as whole")
+    assert language_id.keep_identified(clash).count() == 4
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_identified(unlabelled).count() == 4
