@@ -2,19 +2,26 @@
 
 The target of a source is its share, by weight, of all words, but at most
 ``cap`` times its own size; what is cut off there is shared again by weight.
-With r = target / size, every document is certain of floor(r) whole copies. The
-rest is a Pareto order sample: with inclusion probability p = r - floor(r) and a
-random number u of the document, documents are ranked by the odds u / (1 - u)
-divided by the odds p / (1 - p), and the sample takes them in that order to the
-fixed size in words that is left of the target (a document is taken while its
-middle lies within). u comes from a hash of the id, so reruns agree.
-
-The running size is kept in two levels: u deals each source's documents to
-``buckets`` ranges, whose sizes are summed first; then each (source, bucket) is
-ranked alone. A source with a third of all rows is spread over all its buckets.
+With r = target / size, every document is certain of floor(r) whole copies.
+
+The words still wanted come from a Pareto order sample with unequal inclusion
+probabilities. A document's weight is its size class, the number of binary digits
+of its size, so a text of a thousand words has twice the chance of one of thirty.
+Its inclusion probability p is c times its class, at most 1, and c is such that
+the expected words are those wanted; documents whose p reaches 1 are all taken
+and c is found again for the rest. The others are ranked by the odds u / (1 - u)
+of a random number divided by the odds p / (1 - p), and taken in that order to
+the fixed size in words (a document is taken while its middle lies within). u
+comes from a hash of the id, so reruns agree.
+
+c needs one row for each source and class only. The running size is kept in two
+levels: a source's ranks are cut into ``buckets`` ranges, evenly by the rank's odds
+against those of the source as a whole; their sizes are summed first, then each
+(source, range) is ranked alone. A source with a third of all rows is spread over
+all its ranges.
 
 Defined cases: null text has size 0; a null source is a source of its own, last
-in order; equal u are ordered by doc_id, null first; an empty table gives none.
+in order; equal odds are ordered by doc_id, null first; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,10 +31,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import WORD, checkpointed, table
+from leadloom.llm.common import WORD, checkpointed, fresh, table
 
 BUCKETS = 4096
 SEED = "mix-1"
+#: Rows of the plan, one a source and class, up to which it is broadcast.
+SMALL_PLAN = 100_000
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -64,6 +73,37 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], cap: float) -> Data
     )
 
 
+def size_class(size: Column) -> Column:
+    """Binary digits of the size: 0 for none, at most 63."""
+    return F.when(size > 0, F.length(F.regexp_replace(F.conv(size.cast("string"), 10, 2), "^0+", ""))).otherwise(0).cast("long")
+
+
+def inclusion(classes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per source and class: whole copies, the inclusion probability p, and the words (need)
+    that its source wants of documents that are not certain."""
+    planned = (
+        targets.withColumn("r", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
+        .withColumn("whole", F.floor("r"))
+        .withColumn("share", F.col("r") - F.col("whole"))
+        .withColumn("want", F.col("share") * F.col("source_size"))
+        .select(F.col("source").alias("s"), "source_size", "target", "whole", "share", "want")
+    )
+    joined = classes.select("source", F.col("class").alias("k"), "class_size").join(planned, F.col("source").eqNullSafe(F.col("s")))
+    # from the largest class down; a source has at most 64
+    larger = Window.partitionBy("s").orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("s").orderBy(F.col("k").desc()).rowsBetween(0, Window.unboundedFollowing)
+    every = Window.partitionBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heavy = F.sum(F.col("k").cast("decimal(20,0)") * F.col("class_size")).over(rest).cast("double")
+    solved = joined.withColumn("left", F.col("want") - F.coalesce(F.sum("class_size").over(larger), F.lit(0))).withColumn("c", F.try_divide("left", heavy))
+    # the first class, from the top, that c does not lift to 1: all above it are certain
+    first = F.max(F.when(F.col("c") * F.col("k") < 1, F.col("k"))).over(every)
+    found = solved.withColumn("first", F.coalesce(first, F.lit(-1))).withColumn("at", F.col("k") == F.col("first"))
+    held = found.withColumn("c", F.max(F.when(F.col("at"), F.col("c"))).over(every)).withColumn("need", F.max(F.when(F.col("at"), F.col("left"))).over(every))
+    p = F.when(F.col("k") > F.col("first"), F.lit(1.0)).otherwise(F.col("c") * F.col("k"))
+    even = F.when((F.col("share") > 0) & (F.col("share") < 1), F.col("share") / (1 - F.col("share"))).otherwise(1.0)
+    return held.select("s", "k", "source_size", "target", "whole", p.alias("p"), "need", even.alias("even"))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -82,40 +122,42 @@ def mix(
             F.col(source).alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             uniform(F.col(doc_id), seed).alias("u"),
-        ).withColumn("bucket", F.floor(F.col("u") * buckets).cast("int"))
+        ).withColumn("class", size_class(F.col("size")))
+    )
+    classes = checkpointed(sized.groupBy("source", "class").agg(F.sum("size").alias("class_size")))
+    targets = source_targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")), weights, cap)
+    plan = checkpointed(inclusion(classes, targets))
+    drawn = sized.join(F.broadcast(plan) if plan.count() <= SMALL_PLAN else plan, sized["source"].eqNullSafe(plan["s"]) & (sized["class"] == plan["k"]))
+    odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p")))
+    even = odds * F.col("even")
+    ranked = checkpointed(
+        drawn.withColumn("odds", F.when((F.col("p") > 0) & (F.col("p") < 1), odds))
+        .withColumn("bucket", F.when(F.col("odds").isNotNull(), F.floor(F.lit(buckets) * (even / (1 + even))).cast("int")))
+        .select("doc_id", "source", "size", "source_size", "target", "whole", "p", "need", "odds", "bucket")
     )
-    ranges = checkpointed(sized.groupBy("source", "bucket").agg(F.sum("size").alias("range_size")))
-    targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, cap)
-    ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    ranges = ranked.where("bucket is not null").groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
     # a source has at most `buckets` ranges
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = ranges.select(
         F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("range_size").over(order), F.lit(0)).alias("before")
     )
-    plan = checkpointed(
-        targets.withColumn("r", ratio)
-        .withColumn("whole", F.floor("r"))
-        .withColumn("p", F.col("r") - F.col("whole"))
-        .withColumn("need", F.col("p") * F.col("source_size"))
-        .join(before, F.col("source").eqNullSafe(F.col("s")))
-        .drop("source")
-    )
-    rows = sized.join(plan, sized["source"].eqNullSafe(plan["s"]) & (sized["bucket"] == plan["b"]))
-    odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p")))
-    within = Window.partitionBy("s", "b").orderBy(odds, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rest = ranked.where("bucket is not null").join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    within = Window.partitionBy("s", "b").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2
-    copies = F.col("whole") + F.when((F.col("p") > 0) & (reached <= F.col("need")), 1).otherwise(0)
-    return rows.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    columns = ["doc_id", "source", "size", "source_size", "target"]
+    found = rest.select(*columns, (F.col("whole") + F.when(reached <= F.col("need"), 1).otherwise(0)).alias("copies")).unionByName(
+        ranked.where("bucket is null").select(*columns, (F.col("whole") + F.when(F.col("p") >= 1, 1).otherwise(0)).alias("copies"))
     )
+    return found.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def repeat_documents(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them. The id names a row: of rows
     repeated whole each is taken as often, and rows without an id are not taken."""
-    copies = mix(docs, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies.where("_copies > 0"), docs[doc_id] == F.col("_id"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    key, times, copy = fresh(docs.columns, "key", "times", "copy")
+    copies = mix(docs, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
+    joined = docs.withColumn(key, F.col(doc_id)).join(copies.where(F.col(times) > 0), key)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir):
@@ -144,13 +186,27 @@ t as (
               else weight * max(case when k = open_k then rate end) over () end as target
   from f),
 r as (select *, coalesce(target / nullif(source_size, 0)::double, 0.0::double) as r from t),
-p as (select *, floor(r) as whole, r - floor(r) as p, (r - floor(r)) * source_size as need from r),
+g as (
+  select d.*, t.source_size, t.target, r, floor(r) as whole, (r - floor(r)) * t.source_size as want,
+         case when size = 0 then 0 else length(bin(size)) end as k
+  from d join (select *, coalesce(target / nullif(source_size, 0)::double, 0.0::double) as r from t) t on d.source is not distinct from t.source),
+b as (select source, k, any_value(want) as want, sum(size)::bigint as class_size from g group by source, k),
+v as (
+  select *, want - coalesce(sum(class_size) over (partition by source order by k desc rows between unbounded preceding and 1 preceding), 0) as rest,
+         (sum(k::hugeint * class_size) over (partition by source order by k desc rows between current row and unbounded following))::double as heavy
+  from b),
+y as (select *, rest / nullif(heavy, 0) as c from v),
+x as (select source, max(k) as k from y where c * k < 1 group by source),
+z as (select y.source, y.k as first, y.c, y.rest as need from y join x on y.source is not distinct from x.source and y.k = x.k),
+q as (
+  select g.*, z.need, case when z.first is null or g.k > z.first then 1.0::double else z.c * g.k end as p
+  from g left join z on g.source is not distinct from z.source),
+o as (select *, case when p > 0 and p < 1 then (u / (1 - u)) / (p / (1 - p)) end as odds from q),
 c as (
-  select d.*, p.source_size, p.target, p.whole, p.p, p.need,
-         coalesce(sum(size) over (partition by d.source order by u, doc_id, size
-                  rows between unbounded preceding and 1 preceding), 0) + size / 2.0::double as reached
-  from d join p on d.source is not distinct from p.source)
+  select *, coalesce(sum(size) over (partition by source, odds is null order by odds, doc_id, size
+                     rows between unbounded preceding and 1 preceding), 0) + size / 2.0::double as reached
+  from o)
 select doc_id, size, source_size, target,
-       ((whole + case when p > 0 and reached <= need then 1 else 0 end) * size)::bigint as taken
+       ((whole + case when odds is null then (case when p >= 1 then 1 else 0 end) when reached <= need then 1 else 0 end) * size)::bigint as taken
 from c
 """
