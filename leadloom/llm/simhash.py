@@ -5,16 +5,22 @@ fingerprint is the majority of that bit over the XXH64 hashes of its shingles.
 Distinct fingerprints are linked when they differ in at most ``budget`` bits.
 
 The self-join walks a binary trie of fingerprints as pairs of nodes, adds up the
-bits in which the two branches differ and drops a pair once the budget is spent.
+bits in which the two differ and drops a pair once the budget is spent. A node
+without a branch is passed over, so a node stands for the bits that all its
+fingerprints share, and a leaf is one fingerprint; a pair of nodes is judged by
+the bits known of both. Subtrees that already hang together are not paired again,
+so a group of near copies costs about its size, not its pairs, and gives the
+edges of a spanning forest.
+
 To deal the work out, one walk is made for each of budget + 1 rotations, which
 puts another stretch of the bits at the top: two fingerprints within the budget
 agree in at least one stretch, so in one of the rotations their paths coincide
-down to the node where that stretch ends. The nodes there are Spark's groups;
-below, each group is walked in its task. A node far larger than the mean (many
-near copies) is cut into blocks, and each pair of blocks is a task of its own.
-A group gives the edges of a spanning forest, never all its pairs, and the
-components come from Spark rounds that hook each fingerprint to its smallest
-neighbour until nothing moves. Copies of one fingerprint are one node.
+down to the node where that stretch ends. The nodes there are Spark's groups, and
+each is walked in its task down to the leaves. A node of more than ``GROUP``
+fingerprints, if that is far more than the mean, is cut into blocks, and each pair
+of blocks is a group of its own. The components come from Spark rounds that hook
+each fingerprint to its smallest neighbour until nothing moves. Copies of one
+fingerprint are one node.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero,
 linked like any other; fewer words than a shingle form one shingle; repeated
@@ -24,6 +30,7 @@ ids are null; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +46,7 @@ BITS = 64
 #: Shingles whose bits are counted at once.
 STEP = 1 << 15
 #: Nodes up to this size, or up to LARGE times the mean, are one task's group.
-GROUP, LARGE = 256, 4
-#: Pairs of nodes up to this product are compared directly.
-LEAF = 1 << 14
+GROUP, LARGE = 50_000, 4
 
 
 def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
@@ -77,52 +82,70 @@ def fingerprints(
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-class TrieJoin:
-    """Pairs of positions of sorted distinct unsigned fingerprints within the budget."""
+class Node:
+    """A trie node: the fingerprints that share all but the lowest ``open`` bits of ``value``."""
 
-    def __init__(self, values: np.ndarray, budget: int):
-        self.values, self.budget = values, budget
-        self.pairs: list[np.ndarray] = []
-        self.walk(0, len(values), 0, len(values), BITS - 1, 0)
+    __slots__ = ("open", "value", "zero", "one", "at", "whole")
 
-    def split(self, lo: int, hi: int, bit: int) -> int:
-        """Where the branch of ones begins in a node of sorted values."""
-        one = (self.values[lo] >> np.uint64(bit) | np.uint64(1)) << np.uint64(bit)
-        return lo + int(np.searchsorted(self.values[lo:hi], one))
+    def __init__(self, values: list[int], lo: int, hi: int):
+        self.value, self.at = values[lo], lo
+        self.open = (values[lo] ^ values[hi - 1]).bit_length()
+        self.zero = self.one = None
+        self.whole = hi - lo == 1  # all its fingerprints hang together
+        if not self.whole:
+            low = self.open - 1
+            cut = bisect_left(values, values[hi - 1] >> low << low, lo, hi)
+            self.zero, self.one = Node(values, lo, cut), Node(values, cut, hi)
 
-    def walk(self, a: int, b: int, c: int, d: int, bit: int, spent: int) -> None:
-        """Nodes [a, b) and [c, d) differ in ``spent`` of the bits above ``bit``."""
-        if a == b or c == d or spent > self.budget:
+
+class TrieJoin:
+    """A spanning forest of the links among sorted distinct unsigned fingerprints: ``edges``
+    are pairs of positions, and ``seen`` is how many pairs of nodes were met."""
+
+    def __init__(self, values: list[int], budget: int):
+        self.budget, self.edges, self.seen = budget, [], 0
+        self.root = list(range(len(values)))
+        if len(values) > 1:
+            self.within(Node(values, 0, len(values)))
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def within(self, node: Node) -> None:
+        """All links in a node."""
+        if node.zero is not None:
+            self.within(node.zero)
+            self.within(node.one)
+            self.between(node.zero, node.one)
+            node.whole = node.zero.whole and node.one.whole and self.find(node.zero.at) == self.find(node.one.at)
+
+    def between(self, a: Node, b: Node) -> None:
+        """Links between two nodes, as many as join what they can join."""
+        self.seen += 1
+        still = max(a.open, b.open)
+        if ((a.value ^ b.value) >> still).bit_count() > self.budget:
             return
-        if (b - a) * (d - c) <= LEAF or bit < 0:
-            near = np.bitwise_count(self.values[a:b, None] ^ self.values[None, c:d]) <= self.budget
-            i, j = np.nonzero(near)
-            pairs = np.stack([i + a, j + c])
-            self.pairs.append(pairs[:, pairs[0] < pairs[1]])
+        if a.whole and b.whole and self.find(a.at) == self.find(b.at):
             return
-        m, n = self.split(a, b, bit), self.split(c, d, bit)
-        self.walk(a, m, c, n, bit - 1, spent)
-        self.walk(m, b, n, d, bit - 1, spent)
-        self.walk(a, m, n, d, bit - 1, spent + 1)
-        if (a, b) != (c, d):
-            self.walk(m, b, c, n, bit - 1, spent + 1)
+        if not still:
+            i, j = self.find(a.at), self.find(b.at)
+            self.root[max(i, j)] = min(i, j)
+            self.edges.append((a.at, b.at))
+        elif a.open >= b.open:
+            self.between(a.zero, b)
+            self.between(a.one, b)
+        else:
+            self.between(a, b.zero)
+            self.between(a, b.one)
 
 
 def forest(values: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join each value to the smallest position of its component."""
-    pairs = TrieJoin(values, budget).pairs
-    i, j = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
-    root = np.arange(len(values))
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    child = np.nonzero(root != np.arange(len(values)))[0]
-    return values[child], values[root[child]]
+    """Edges of a spanning forest of the links among distinct sorted values."""
+    edges = np.array(TrieJoin(values.tolist(), budget).edges, np.int64).reshape(-1, 2)
+    return values[edges[:, 0]], values[edges[:, 1]]
 
 
 def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:

@@ -54,7 +54,7 @@ def test_edge_rows(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.integers(0, 2**32), st.integers(2, 700))
+@given(st.integers(0, 2**32), st.integers(2, 350))
 def test_trie_join_finds_every_pair(seed, n):
     r = random.Random(seed)
     centres = [r.getrandbits(64) for _ in range(max(1, n // 40))]
@@ -64,11 +64,33 @@ def test_trie_join_finds_every_pair(seed, n):
         for _ in range(r.randint(0, 6)):
             x ^= 1 << r.randrange(64)
         values.add(x)
-    v = np.array(sorted(values), np.uint64)
-    got = {tuple(p) for block in simhash.TrieJoin(v, 3).pairs for p in block.T.tolist()}
-    near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 3
-    want = {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
-    assert got == want
+    v = sorted(values)
+    join = simhash.TrieJoin(v, 3)
+    assert len(join.edges) < n and all((v[i] ^ v[j]).bit_count() <= 3 for i, j in join.edges)
+    want = plain_components(dict(enumerate(v)))
+    assert [join.find(i) for i in range(n)] == [join.find(want[i]) for i in range(n)]
+    assert len({join.find(i) for i in range(n)}) == len(set(want.values()))
+    bits = np.array(v, np.uint64)
+    assert not n > 300 or join.seen < n * n / 3 or np.bitwise_count(bits[:, None] ^ bits[None, :]).mean() < 25
+
+
+def test_the_trie_is_walked_and_pruned(spark):
+    """Of random fingerprints that share a stretch, most pairs are dropped above the leaves; a
+    group of near copies costs about its size."""
+    r = random.Random(2)
+    v = sorted({r.getrandbits(40) for _ in range(4000)})
+    assert 4000 < simhash.TrieJoin(v, 3).seen < 4000 * 4000 / 8
+    centre = r.getrandbits(64)
+    near = sorted({centre ^ sum(1 << b for b in set(r.choices(range(64), k=2))) for _ in range(4000)})
+    join = simhash.TrieJoin(near, 3)
+    assert len(join.edges) == len(near) - 1 and join.seen < 20 * len(near)
+    # the groups of a table are walked down to their leaves
+    nodes = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("fp").distinct()
+    fps = np.array([x.fp for x in nodes.collect()], np.int64).view(np.uint64)
+    by = {}
+    for x in fps.tolist():
+        by.setdefault(x >> 48, []).append(x)
+    assert sum(simhash.TrieJoin(sorted(g), 3).seen for g in by.values()) > len(fps) / 20
 
 
 def test_links_and_components_with_split_nodes(spark, monkeypatch):
