@@ -8,8 +8,10 @@ the fewest wins. Phrases run over the whole text, across its words.
 
 Texts are lower-cased and everything but letters becomes one blank. An automaton
 whose states times its alphabet stay within ``TABLE_CELLS`` is laid out as a
-table, and many texts are parsed at once, a character of each at a time; others,
-and the ends of the longest texts, are parsed one by one, to the same counts.
+table, and many texts are parsed at once, a character of each at a time. For that
+long texts are cut into stretches; where one begins in the midst of a phrase, it is
+parsed again until both parses are in one state, so the counts are those of the
+whole text. Larger automata parse text by text.
 
 The sample is bounded: some ``DOCS`` documents a language, each with a stretch of
 at most ``DOC_CHARS`` at a place its hash picks, cut to ``CHARS`` a language and
@@ -37,8 +39,8 @@ DOCS, DOC_CHARS, CHARS, ALL_CHARS = 64, 1000, 24_000, 240_000
 #: Labels up to which their counts are broadcast.
 SMALL_COUNTS = 10_000
 TABLE_CELLS = 16 << 20
-#: Characters of text in a slice of a batch, and texts still running below which they are parsed one by one.
-SLICE_CHARS, LEAST_LANES = 2 << 20, 24
+#: Characters of text in a slice of a batch, and in a stretch.
+SLICE_CHARS, STRETCH = 6 << 20, 4096
 
 
 class SuffixAutomaton:
@@ -71,11 +73,17 @@ class SuffixAutomaton:
                     link[to] = link[state] = copy
             last = state
 
-    def phrases(self, text: str, state: int = 0) -> int:
-        """Phrases of the greedy parse by longest matches, from a state on; one that ``state``
-        is in the midst of counts."""
+    def step(self, state: int, char: str) -> tuple[int, int]:
+        """The state behind a character, and how many phrases end before or with it."""
+        if (to := self.next[state].get(char)) is not None:
+            return to, 0
+        to = self.next[0].get(char)
+        return to or 0, (state != 0) + (to is None)
+
+    def phrases(self, text: str) -> int:
+        """Phrases of the greedy parse by longest matches."""
         states, root = self.next, self.next[0]
-        at, count = states[state], 0
+        at, count = root, 0
         for char in text:
             if (to := at.get(char)) is None:
                 count += at is not root  # a phrase ends before this character
@@ -120,64 +128,86 @@ def normal(text: str) -> str:
     return points.tobytes().decode("utf-32-le")
 
 
-class Language:
-    """The sample of a language, ready to parse texts."""
+class Parser:
+    """The automata of all languages, those with small alphabets laid out as one table."""
 
-    def __init__(self, sample: str):
-        self.automaton = SuffixAutomaton(sample)
-        letters = sorted(set(sample))
-        self.table = None
-        if len(self.automaton.next) * (len(letters) + 1) <= TABLE_CELLS:
-            # letters never seen share the last column, which leads nowhere
-            code = {c: k for k, c in enumerate(letters)}
-            self.table = np.full((len(self.automaton.next), len(letters) + 1), -1, np.int32)
-            for state, edges in enumerate(self.automaton.next):
+    def __init__(self, samples: tuple[tuple[str, str], ...]):
+        self.names = [lang for lang, _ in samples]
+        self.automata = [SuffixAutomaton(text) for _, text in samples]
+        alphabets = [sorted(set(text)) for _, text in samples]
+        cells = [len(x.next) * (len(y) + 1) for x, y in zip(self.automata, alphabets, strict=True)]
+        self.tabled = [k for k, n in enumerate(cells) if n <= TABLE_CELLS and len(alphabets[k]) < 1 << 16]
+        self.others = [k for k in range(len(cells)) if k not in self.tabled]
+        # a state is the place of its row in the table of its language, which holds such places
+        self.root = np.cumsum([0] + [cells[k] for k in self.tabled])[:-1].astype(np.int64)
+        self.table = np.full(sum(cells[k] for k in self.tabled), -1, np.int32)
+        self.width = np.array([len(alphabets[k]) + 1 for k in self.tabled], np.int64)
+        code = np.uint8 if len(self.width) and self.width.max() <= 256 else np.uint16
+        self.code = np.empty((len(self.tabled), 0x110000), code)
+        for i, k in enumerate(self.tabled):
+            letters = {c: j for j, c in enumerate(alphabets[k])}
+            self.code[i] = len(letters)  # letters never seen share the last column, which leads nowhere
+            self.code[i, [ord(c) for c in letters]] = np.arange(len(letters))
+            base, width = int(self.root[i]), int(self.width[i])
+            for state, edges in enumerate(self.automata[k].next):
                 for c, to in edges.items():
-                    self.table[state, code[c]] = to
-            self.code = np.full(0x110000, len(letters), np.int32)
-            self.code[[ord(c) for c in letters]] = np.arange(len(letters))
+                    self.table[base + state * width + letters[c]] = base + to * width
 
     def counts(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each text."""
-        begins = np.cumsum(sizes) - sizes
-        found = np.zeros(len(sizes), np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        texts = lambda i, at: points[begins[i] + at : begins[i] + sizes[i]].tobytes().decode("utf-32-le")
-        if self.table is None:
-            for i in order.tolist():
-                found[i] = self.automaton.phrases(texts(i, 0))
+        """Phrases of each text (column) for each language (row)."""
+        found = np.zeros((len(self.names), len(sizes)), np.int64)
+        begins, order = np.cumsum(sizes) - sizes, np.argsort(-sizes, kind="stable")
+        text = lambda i, at: points[begins[i] + at : begins[i] + sizes[i]].tobytes().decode("utf-32-le")
+        for k in self.others:
+            found[k] = [self.automata[k].phrases(text(i, 0)) for i in range(len(sizes))]
+        if not self.tabled or not len(sizes):
             return found
-        columns, width = self.code[points], self.table.shape[1]
-        flat, root = self.table.reshape(-1), self.table[0]
-        running = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")  # texts longer than t
-        state = np.zeros(len(sizes), np.int32)
-        count = np.zeros(len(sizes), np.int64)
-        first, t = begins[order], 0
-        for t, n in enumerate(running.tolist()):  # noqa: B007
-            if n < LEAST_LANES:
-                break
-            now, column = state[:n], columns[first[:n] + t]
-            to = flat[now * width + column]
-            dead = np.nonzero(to < 0)[0]
-            again = root[column[dead]]
-            count[dead] += (now[dead] > 0).astype(np.int64) + (again < 0)
-            to[dead] = np.maximum(again, 0)
-            state[:n] = to
-        else:
-            t += 1
-        found[order] = count
-        longer = int((sizes > t).sum()) if len(sizes) else 0
-        ended = order[longer:]
-        found[ended] += state[longer:] > 0
-        for k, i in enumerate(order[:longer].tolist()):
-            found[i] += self.automaton.phrases(texts(i, t), int(state[k]))
+        # texts are cut into stretches, all parsed from the start of a phrase
+        pieces = np.maximum(1, -(-sizes // STRETCH))
+        of = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        length = np.minimum(STRETCH, sizes[of] - nth * STRETCH)
+        count, state = self._together(points, begins[of] + nth * STRETCH, length)
+        for row, k in enumerate(self.tabled):
+            total, at = np.zeros(len(sizes), np.int64), state[:, row].copy()
+            np.add.at(total, of, count[:, row])
+            for j in np.nonzero(nth > 0)[0].tolist():  # where a phrase ran on from the stretch before
+                mine, theirs, begin = int(at[j - 1]), 0, begins[of[j]] + nth[j] * STRETCH
+                if mine:
+                    for char in points[begin : begin + length[j]].tolist():
+                        mine, more = self.automata[k].step(mine, chr(char))
+                        theirs, fewer = self.automata[k].step(theirs, chr(char))
+                        total[of[j]] += more - fewer
+                        if mine == theirs:  # from here on both go the same way
+                            break
+                    else:
+                        at[j] = mine
+            found[k] = total + (at[np.cumsum(pieces) - 1] != 0)
         return found
 
-
-class Parser:
-    def __init__(self, samples: tuple[tuple[str, str], ...]):
-        self.names = [lang for lang, _ in samples]
-        self.languages = [Language(text) for _, text in samples]
+    def _together(self, points: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases ended, and the state reached, of each stretch (row) for each tabled language."""
+        n, width = len(sizes), len(self.tabled)
+        order = np.argsort(-sizes, kind="stable")
+        running = np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), "left")  # stretches longer than t
+        columns = np.stack([code[points] for code in self.code], axis=1)
+        root = np.tile(self.root.astype(np.int32), n)
+        now, count, first = root.copy(), np.zeros(n * width, np.int32), begins[order]
+        for t, lanes in enumerate(running.tolist()):
+            m = lanes * width
+            column = columns.take(first[:lanes] + t, axis=0).reshape(-1)
+            to = self.table.take(now[:m] + column)
+            dead = np.flatnonzero(to < 0)  # phrases that end before this character
+            start = root.take(dead)
+            again = self.table.take(start + column.take(dead))
+            unseen = again < 0
+            count[dead] += (now.take(dead) != start).view(np.int8) + unseen.view(np.int8)
+            to[dead] = np.where(unseen, start, again)
+            now[:m] = to
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        state = (now - root).reshape(n, width)[back] // self.width
+        return count.reshape(n, width)[back], state
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each, and how much fewer phrases it needs than the next: 0 (as many) to 1."""
@@ -197,9 +227,8 @@ class Parser:
         points, sizes = code_points(texts)
         if not self.names:
             return ["und"] * len(texts), [0.0] * len(texts)
-        counts = np.stack([x.counts(points, sizes) for x in self.languages])
-        best = counts.argmin(axis=0)
-        fewest = counts.min(axis=0)
+        counts = self.counts(points, sizes)
+        best, fewest = counts.argmin(axis=0), counts.min(axis=0)
         second = np.partition(counts, 1, axis=0)[1] if len(counts) > 1 else sizes
         score = np.where(sizes > 0, 1.0 - fewest / np.maximum(second, 1), 0.0)
         return [self.names[b] if n else "und" for b, n in zip(best.tolist(), sizes.tolist(), strict=True)], np.maximum(score, 0.0).tolist()

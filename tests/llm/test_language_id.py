@@ -49,17 +49,17 @@ def test_normal_texts(texts):
 @settings(max_examples=100, deadline=None)
 @given(st.text("abc ", min_size=1, max_size=60), st.lists(st.text("abcd ", max_size=40), max_size=70), st.integers(1, 80))
 def test_many_texts_at_once(sample, texts, lanes):
-    language, before = language_id.Language(sample), language_id.LEAST_LANES
+    samples = (("a", sample), ("b", sample[::-1] + "d"))
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
-    want = [plain_phrases(sample, t) for t in texts]
+    want = [[plain_phrases(s, t) for t in texts] for _, s in samples]
+    before = language_id.STRETCH, language_id.TABLE_CELLS
     try:
-        language_id.LEAST_LANES = lanes
-        assert language.counts(points, sizes).tolist() == want
-        language.table = None  # as with alphabets too large for one
-        assert language.counts(points, sizes).tolist() == want
+        for stretch, cells in ((lanes, before[1]), (1, before[1]), before, (lanes, 0), (lanes, 4 * len(sample))):  # the last two as with large alphabets
+            language_id.STRETCH, language_id.TABLE_CELLS = stretch, cells
+            assert language_id.Parser(samples).counts(points, sizes).tolist() == want
     finally:
-        language_id.LEAST_LANES = before
+        language_id.STRETCH, language_id.TABLE_CELLS = before
 
 
 def test_query_by_brute_force(spark):
