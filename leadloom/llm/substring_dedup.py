@@ -4,22 +4,24 @@ A window is ``width`` consecutive words of one document. A word goes when some
 window over it has a word sequence that also starts earlier: in a document of
 smaller id, or earlier in the same one. Windows are judged on the input.
 
-1. Each task counts its windows in a count-min sketch of two rows and sends the
-   cells it met once and those it met more often; the sketches are merged block
-   by block. A count is never too low, so a window whose two cells do not both
-   reach two is unique, and no repeated window is lost.
-2. The tasks read the documents again and keep the windows estimated repeated,
-   by 96 bits of two independent hashes of the word sequence. Equal windows of a
-   batch meet there: the earliest goes on, the others are settled. The earliest
-   of all batches meet in hash buckets, where all but the first are settled.
-3. The settled starts go back to their documents, which drop the covered words.
+1. Documents are dealt to homes, by id; each home counts its windows in a
+   count-min sketch of two rows and sends the cells it met, block by block, with a
+   mark on those it met more often. A block of the sketch is merged in one group,
+   which tells every home which of its cells were met twice or more in all. A
+   count is never too low, so a window whose two cells do not both reach two is
+   unique, and no repeated window is lost.
+2. The homes keep the windows estimated repeated, by 128 bits of two independent
+   hashes of the word sequence. Equal windows of a home meet there: the earliest
+   goes on, the others are settled. The earliest of all homes meet in hash buckets,
+   where all but the first are settled.
+3. The settled starts go back to the homes, which drop the covered words.
 
 A window that a third of all documents share reaches its bucket once for each
-batch. Records travel as compressed columns of many windows, so a shuffle row is
-a block, not a window. The sketch has two cells or so for each window up to
-``MAX_CELLS`` in a row; that bound on the broadcast is the parameter, and beyond
-it the filter lets more unique windows pass, which costs time and changes no
-result. Memory is bounded by a batch, a block, a bucket and the longest text.
+home. Records travel as compressed columns of many windows, so a shuffle row is a
+block, not a window. The sketch has two cells or so for each window at every size
+of the input; it is never held whole, by the driver or a task: memory is bounded by
+a home, a block, a bucket and the longest text. The documents' shuffle by home is
+written once and read by all three steps.
 
 Defined cases: a null text has no words; fewer words than a window are kept;
 white space is not kept, words are joined by one space; rows without an id are
@@ -41,13 +43,12 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import small_batches, table
 
 WIDTH = 20
-#: Words that a task handles at once.
-BATCH_WORDS = 1 << 19
-#: Cells in a row of the sketch at most (one bit each once merged), and in a block of it.
-MAX_CELLS, BLOCK_BITS = 1 << 28, 20
+#: log2 of the cells in a block of the sketch (a bit each once merged): the blocks of a row stay
+#: near 2 to the BLOCKS, within these bounds.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 20, 26, 13
 ROWS = 2
-#: Bytes of text that a bucket of documents or windows stands for.
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 512
+#: Bytes of text that a home of documents, or a bucket of windows, stands for.
+HOME_BYTES, LEAST_HOMES = 4 << 20, 512
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -71,6 +72,14 @@ def unsqueeze(data: bytes, *kinds: str) -> list[np.ndarray]:
     return found
 
 
+def squeeze_bits(bits: np.ndarray) -> bytes:
+    return _PACK.compress(np.packbits(bits).tobytes())
+
+
+def unsqueeze_bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(_UNPACK.decompress(data), np.uint8), count=n).view(bool)
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Two 64-bit hashes (rows) of every run of ``width`` words, from two of each word."""
     found = []
@@ -95,21 +104,11 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return np.stack(found)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[list[bytes]]]]:
-    """ids and words of about BATCH_WORDS words of documents that have an id."""
-    ids, docs, held = [], [], 0
-    for rows in batches:
-        for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-            if doc_id is None or not text:
-                continue
-            ids.append(doc_id)
-            docs.append(text.split())  # bytes: U+0020 and U+0009 to U+000D
-            held += len(docs[-1])
-            if held >= BATCH_WORDS:
-                yield np.array(ids, np.int64), docs
-                ids, docs, held = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), docs
+def _documents(rows: pa.Table) -> tuple[np.ndarray, list[list[bytes]]]:
+    """ids and words of the documents with text; bytes.split cuts at U+0020 and U+0009 to U+000D."""
+    pairs = zip(rows["doc_id"].to_pylist(), rows["content"].to_pylist(), strict=True)
+    found = [(i, text.split()) for i, text in pairs if text]
+    return np.array([i for i, _ in found], np.int64), [words for _, words in found]
 
 
 def _windows(ids: np.ndarray, docs: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,59 +127,63 @@ def _windows(ids: np.ndarray, docs: list[list[bytes]], width: int) -> tuple[np.n
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (hashes[row] >> np.uint64(64 - bits)).astype(np.uint32)
-
-
-def _sketch(width: int, bits: int):
-    def run(batches):
-        for ids, docs in _batches(batches):
-            hashes, _, _ = _windows(ids, docs, width)
-            if not hashes.shape[1]:
-                continue
-            out = []
-            for row in range(ROWS):
-                cells = np.sort(_cells(hashes, row, bits))
-                first = np.nonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))[0]
-                more = np.diff(first, append=len(cells)) > 1
-                cells = cells[first]
-                ends = np.searchsorted(cells, np.arange(1, (1 << (bits - BLOCK_BITS)) + 1, dtype=np.uint64) << np.uint64(BLOCK_BITS))
-                for block, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                    if a < b:
-                        gaps = np.diff(cells[a:b], prepend=np.uint32(block << BLOCK_BITS)).astype(np.uint32)
-                        out.append((row, block, squeeze(gaps, more[a:b])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                ["row", "block", "cells"],
-            )
+    return hashes[row] >> np.uint64(64 - bits)
+
+
+def _sketch(width: int, bits: int, block_bits: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """The cells that a home met in each block, as gaps, and whether it met them more than once."""
+        hashes, _, _ = _windows(*_documents(rows), width)
+        out = []
+        for row in range(ROWS):
+            cells = np.sort(_cells(hashes, row, bits))
+            first = np.nonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))[0] if len(cells) else np.empty(0, np.int64)
+            more = np.diff(first, append=len(cells)) > 1
+            cells = cells[first]
+            for block, (local, twice) in _split((cells >> np.uint64(block_bits)).astype(np.int64), cells, more):
+                gaps = np.diff(local, prepend=np.uint64(block << block_bits)).astype("<u4")
+                out.append((row, block, key[0].as_py(), squeeze(gaps, twice)))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["row", "block", "home", "cells"])
 
     return run
 
 
-def _merge(key: tuple, rows: pa.Table) -> pa.Table:
-    """One bit for each cell of a block: set if it was met twice or more."""
-    once, twice = np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
-    for data in rows["cells"].to_pylist():
-        gaps, more = unsqueeze(data, "<u4", "?")
-        cells = np.cumsum(gaps, dtype=np.int64)
-        twice[cells[once[cells] | more]] = True
-        once[cells] = True
-    bits = np.packbits(twice, bitorder="little").tobytes()
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([bits], pa.binary())], ["row", "block", "bits"])
-
-
-def repeated_cells(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """The merged sketch as bits, a row for each hash: at most ROWS * MAX_CELLS / 8 bytes."""
-    counted = docs.mapInArrow(_sketch(width, bits), "row int, block int, cells binary")
-    merged = counted.groupBy("row", "block").applyInArrow(_merge, "row int, block int, bits binary")
-    found = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
-    size = (1 << BLOCK_BITS) // 8
-    for r in merged.toArrow().to_batches():
-        for row, block, data in zip(*(c.to_pylist() for c in r.columns), strict=True):
-            found[row, block * size : (block + 1) * size] = np.frombuffer(data, np.uint8)
-    return found
+def _merge(block_bits: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """For each home, a bit for each of its cells: whether all homes together met it twice or more."""
+        once, twice = np.zeros(1 << block_bits, bool), np.zeros(1 << block_bits, bool)
+
+        def parts():
+            for data in rows["cells"]:
+                gaps, more = unsqueeze(data.as_py(), "<u4", "?")
+                yield np.cumsum(gaps, dtype=np.int64), more
 
+        for cells, more in parts():
+            twice[cells[once[cells] | more]] = True
+            once[cells] = True
+        bits = [squeeze_bits(twice[cells]) for cells, _ in parts()]
+        n = len(bits)
+        return pa.table([rows["home"], pa.array([key[0].as_py()] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int64()), pa.array(bits, pa.binary())], ["home", "row", "block", "bits"])
 
-RECORD = ("<u8", "<u4", "<i8", "<i4")  # hash, more of it, document, start
+    return run
+
+
+def repeated(hashes: np.ndarray, marks: pa.Table, bits: int, block_bits: int) -> np.ndarray:
+    """Which windows of a home are estimated repeated, by the bits that came back for its cells."""
+    keep = np.ones(hashes.shape[1], bool)
+    if not len(keep):
+        return keep
+    came = {(r, b): data for r, b, data in zip(*(marks[c].to_pylist() for c in ("row", "block", "bits")), strict=True)}
+    for row in range(ROWS):
+        cells, back = np.unique(_cells(hashes, row, bits), return_inverse=True)
+        blocks = _split((cells >> np.uint64(block_bits)).astype(np.int64), cells)
+        keep &= np.concatenate([unsqueeze_bits(came[row, block], len(x[0])) for block, x in blocks])[back]
+    return keep
+
+
+RECORD = ("<u8", "<u8", "<i8", "<i4")  # two hashes, document, start
 SETTLED = ("<i8", "<i4")
 
 
@@ -218,27 +221,18 @@ def _blocks_of_settled(ids: np.ndarray, starts: np.ndarray, buckets: int) -> lis
     return [(k, squeeze(*columns)) for k, columns in parts]
 
 
-def _candidates(width: int, bits: int, buckets: int, sketch):
-    def run(batches):
-        cells = sketch.value
-        for ids, docs in _batches(batches):
-            hashes, doc, start = _windows(ids, docs, width)
-            keep = np.ones(hashes.shape[1], bool)
-            for row in range(ROWS):
-                c = _cells(hashes, row, bits)
-                keep &= (cells[row][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 == 1
-            columns, new, later = _first_and_later(
-                hashes[0][keep], (hashes[1][keep] & np.uint64(0xFFFFFFFF)).astype("<u4"), doc[keep], start[keep].astype("<i4")
-            )
-            h, g, doc, start = (c[new] for c in columns)
-            shift = np.uint64(64 - (buckets.bit_length() - 1))
-            out = [(k, False, squeeze(*part)) for k, part in _split((h >> shift).astype(np.int64), h, g, doc, start)]
-            out += [(k, True, data) for k, data in _blocks_of_settled(columns[2][later], columns[3][later], buckets)]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.binary()), strict=True)],
-                    ["bucket", "settled", "data"],
-                )
+def _candidates(width: int, bits: int, block_bits: int, buckets: int):
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+
+    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        hashes, doc, start = _windows(*_documents(docs), width)
+        keep = repeated(hashes, marks, bits, block_bits)
+        columns, new, later = _first_and_later(hashes[0][keep], hashes[1][keep], doc[keep], start[keep].astype("<i4"))
+        h, g, doc, start = (c[new] for c in columns)
+        out = [(k, False, squeeze(*part)) for k, part in _split((h >> shift).astype(np.int64), h, g, doc, start)]
+        out += [(k, True, data) for k, data in _blocks_of_settled(columns[2][later], columns[3][later], buckets)]
+        kinds = (pa.int64(), pa.bool_(), pa.binary())
+        return pa.table([pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [[]] * 3, kinds, strict=True)], ["bucket", "settled", "data"])
 
     return run
 
@@ -295,27 +289,37 @@ def _cut(width: int):
     return run
 
 
-def drop_repeated(
-    docs: DataFrame, *, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", max_cells: int = MAX_CELLS
-) -> DataFrame:
+def _unchanged(batches):
+    """Rows without an id keep all their words."""
+    for rows in batches:
+        words = [(x or b"").split() for x in rows.column(1).to_pylist()]
+        counts = pa.array([len(w) for w in words], pa.int64())
+        texts = pa.array([b" ".join(w) for w in words], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([rows.column(0), counts, pa.array([0] * len(words), pa.int64()), texts], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+
+RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
+
+
+def drop_repeated(docs: DataFrame, *, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", home_bytes: int = HOME_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("content"))
     size = rows.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    bits = max(BLOCK_BITS, min(max(1, size // 4 - 1).bit_length(), max_cells.bit_length() - 1))
-    buckets = 1 << max(LEAST_BUCKETS - 1, size // BUCKET_BYTES).bit_length()
-    sketch = spark.sparkContext.broadcast(repeated_cells(rows, width, bits))
-    found = rows.mapInArrow(_candidates(width, bits, buckets, sketch), "bucket long, settled boolean, data binary")
-    settled = (
-        found.groupBy("bucket").applyInArrow(_resolve(buckets), "home long, data binary")
-        # blocks settled before the buckets went through them under the number of their home
-        .groupBy("home")
-    )
-    placed = rows.withColumn("home", F.pmod(F.coalesce("doc_id", F.xxhash64("content")), F.lit(homes(buckets)).cast("long")))
-    return placed.groupBy("home").cogroup(settled).applyInArrow(
-        _cut(width), "doc_id long, n_words long, n_removed long, kept_text string"
+    bits = max(LEAST_BLOCK, max(1, size // 4 - 1).bit_length())
+    block_bits = min(MOST_BLOCK, max(LEAST_BLOCK, bits - BLOCKS))
+    buckets = 1 << max(LEAST_HOMES - 1, size // home_bytes).bit_length()
+    named = rows.where("doc_id is not null")
+    placed = named.withColumn("home", F.pmod("doc_id", F.lit(homes(buckets)).cast("long"))).repartition("home")
+    met = placed.groupBy("home").applyInArrow(_sketch(width, bits, block_bits), "row int, block long, home long, cells binary")
+    marks = met.groupBy("row", "block").applyInArrow(_merge(block_bits), "home long, row int, block long, bits binary")
+    found = placed.groupBy("home").cogroup(marks.groupBy("home")).applyInArrow(
+        _candidates(width, bits, block_bits, buckets), "bucket long, settled boolean, data binary"
     )
+    # blocks settled before the buckets go through them under the number of their home
+    settled = found.groupBy("bucket").applyInArrow(_resolve(buckets), "home long, data binary")
+    kept = placed.groupBy("home").cogroup(settled.groupBy("home")).applyInArrow(_cut(width), RESULT)
+    return kept.unionByName(rows.where("doc_id is null").mapInArrow(_unchanged, RESULT))
 
 
 def op10_substring_dedup(spark, sf_dir):

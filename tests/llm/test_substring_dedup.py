@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,13 +45,30 @@ def test_against_brute_force(spark):
 
 
 def test_a_full_sketch_loses_nothing(spark, monkeypatch):
-    full = np.full((substring_dedup.ROWS, 1 << (substring_dedup.BLOCK_BITS - 3)), 255, np.uint8)
-    monkeypatch.setattr(substring_dedup, "repeated_cells", lambda *_: full)
+    monkeypatch.setattr(substring_dedup, "LEAST_BLOCK", 3)
+    monkeypatch.setattr(substring_dedup, "MOST_BLOCK", 3)
     r = random.Random(9)
     rows = [(i, " ".join(r.choice("abcd") for _ in range(30))) for i in range(30)]
     assert run(spark, rows, 4) == brute(rows, 4)
 
 
+def test_sketch_and_bits_of_one_home():
+    """Windows met twice keep their bits; nearly all others lose them."""
+    r = random.Random(1)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(400)) for _ in range(50)]
+    texts += texts[:5]
+    rows = pa.table([pa.array(range(55), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["doc_id", "content"])
+    met = substring_dedup._sketch(20, 22, 20)((pa.scalar(7),), rows).to_pylist()
+    marks = []
+    for row, block in {(x["row"], x["block"]) for x in met}:
+        part = pa.Table.from_pylist([x for x in met if (x["row"], x["block"]) == (row, block)])
+        marks.append(substring_dedup._merge(20)((pa.scalar(row), pa.scalar(block)), part))
+    hashes, doc, _ = substring_dedup._windows(*substring_dedup._documents(rows), 20)
+    keep = substring_dedup.repeated(hashes, pa.concat_tables(marks), 22, 20)
+    copied = (doc < 5) | (doc >= 50)
+    assert keep[copied].all() and keep[~copied].mean() < 0.001
+
+
 def test_empty_table(spark):
     assert run(spark, [], 20) == []
 
