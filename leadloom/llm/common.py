@@ -82,6 +82,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete what `written` wrote, once nothing reads it any more."""
+    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def fresh(columns: Sequence[str], *names: str) -> list[str]:
     """Each name with as many _ before it as keep it apart from the columns."""
     taken, found = {c.lower() for c in columns}, []

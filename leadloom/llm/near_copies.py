@@ -1,19 +1,28 @@
-"""Near-copies by the Jaccard similarity of word shingles.
+"""Near-copies: SimHash links, completed and checked by Jaccard similarity.
 
 Two texts are near-copies when the sets of their shingles of five words (A-Z
-lower-cased) have a Jaccard similarity of at least 0.8. Candidates share one of
-``BANDS`` bands of ``ROWS`` MinHash values each, so a pair of similarity 0.8 is
-missed with a probability of 1.2e-7; every candidate that counts is then checked
-exactly, on the texts themselves, by a join on pairs of documents.
+lower-cased) have a Jaccard similarity of at least 0.8. SimHash alone cannot find
+them all: at 0.8 some 10 of 64 bits differ. So candidates come from two sides:
 
-A group of many near-copies gives no pairs of all its members. The rows of a band
-are sorted by bucket and hash over the tasks, and only neighbours are candidates:
-first those of some bands, then those of all bands that are not yet linked. What
-then still lies apart in a bucket is compared in full, the documents outside the
-bucket's largest component with all others.
+* the SimHash trie self-join (`simhash.links`) over fingerprints of five-word
+  shingles, which finds the close ones;
+* ``BANDS`` bands of ``ROWS`` MinHash values for the others: a pair of similarity
+  0.8 shares no band with a probability of 1.2e-7. A sketch of a byte of each
+  value drops pairs that agree in fewer than ``AGREE`` of them, which one of
+  similarity 0.8 does with a probability below 1e-11. Four bytes of each band's key
+  tell which band a pair shares first.
+
+Every candidate is then checked exactly, on the 64-bit hashes of all shingles.
+
+A bucket of many near-copies gives no pairs of all its members. The rows of all
+buckets are sorted over the tasks, and each meets the ``REACH`` rows behind it;
+smaller buckets are then done. In a larger one whose members still lie in several
+components, those outside its largest one meet all others, in blocks of bounded
+size, so no pair is left out. A pair is told once, in the first band it shares.
 
 Defined cases: texts with fewer words than a shingle are one shingle, those
-without words the empty one; rows without an id are no near-copies of any row.
+without words equal one another; rows without an id are no near-copies of any
+row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,146 +30,200 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import checkpointed, rows_of, small_batches
-from leadloom.llm.simhash import components
+from leadloom.llm.simhash import components, links, majority, shingle_hashes
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
-BANDS, ROWS = 40, 5
-#: Bands whose neighbours are compared first.
-FIRST_BANDS = 8
+BANDS, ROWS, AGREE = 40, 5, 115
+#: Rows of a bucket that each row meets, and rows of a block of a larger bucket.
+REACH, BLOCK = 8, 1000
+#: Rows up to which a bucket stays in one partition.
+SPREAD = 10_000
 #: Shingles that are hashed by all functions at once.
 STEP = 1 << 12
 
 
-def shingles(text: bytes | None, size: int = SHINGLE) -> set[bytes]:
-    """bytes.split cuts at U+0020 and U+0009 to U+000D alone."""
-    found = (text or b"").lower().split()
-    return {b" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))}
+def hashes_of(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles as bytes, and those of the distinct ones, ascending."""
+    grid = shingle_hashes(text, SHINGLE, SEED)
+    return grid, np.unique(grid.view(">u8").reshape(-1).astype(np.uint64))
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(SEED)
-    draw = lambda: r.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-    return draw(), draw() | np.uint64(1)
+    draw = lambda: r.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+    return draw() | np.uint32(1), draw()
 
 
-def band_keys(found: set[bytes], functions: tuple[np.ndarray, np.ndarray]) -> list[int]:
-    """One signed key for each band of the MinHash values."""
-    xor, odd = functions
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in found]), np.uint64)
-    least = np.full(len(odd), np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), STEP):
-        mixed = (hashes[at : at + STEP, None] ^ xor) * odd
-        np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(axis=0), out=least)
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64)
+def min_values(distinct: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    odd, add = functions
+    short = (distinct >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(odd), np.iinfo(np.uint32).max)
+    for at in range(0, len(short), STEP):
+        np.minimum(least, (short[at : at + STEP, None] * odd + add).min(axis=0), out=least)
+    return least
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (its distinct shingles) and the keys of its bands."""
+    """doc_id, n (its distinct shingles), SimHash, the keys of its bands and the sketch."""
 
     def run(batches):
         functions = _functions()
+        weights = np.random.default_rng(SEED + 1).integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
         for rows in batches:
-            sets = [shingles(x) for x in rows.column(1).to_pylist()]
-            keys = np.concatenate([band_keys(s, functions) for s in sets]) if sets else np.empty(0, np.int64)
-            ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-            columns = [rows.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(keys))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "keys"])
+            found = [hashes_of(x) for x in rows.column(1).to_pylist()]
+            least = np.array([min_values(x, functions) for _, x in found], np.uint32).reshape(-1, BANDS, ROWS)
+            keys = (least * weights).sum(axis=2, dtype=np.uint64)
+            keys ^= keys >> np.uint64(29)
+            sketch = (least & np.uint32(255)).astype(np.uint8).reshape(len(found), BANDS * ROWS)
+            tags = (keys >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(len(found), 4 * BANDS)
+            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0),
+                    pa.array([len(x) for _, x in found], pa.int32()),
+                    pa.array(np.array([majority(grid) for grid, _ in found], np.uint64).view(np.int64)),
+                    pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64))),
+                    pa.array([x.tobytes() for x in np.concatenate([sketch, tags], axis=1)], pa.binary()),
+                ],
+                ["doc_id", "n", "fp", "keys", "sketch"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, n int, fp long, keys array<long>, sketch binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, n int, keys array<long>")
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BANDS * (ROWS + 4))
 
 
-def _alike(n, m):
-    """Sets of these sizes can reach the similarity."""
-    return F.least(n, m) >= F.greatest(n, m) * LEAST
+def _alike(x: np.ndarray, y: np.ndarray, band: np.ndarray | int) -> np.ndarray:
+    """Which pairs of sketches can reach the similarity and share ``band`` first."""
+    agree, n = (x == y), BANDS * ROWS
+    shared = agree[..., n:].reshape(*agree.shape[:-1], BANDS, 4).all(axis=-1)
+    return (agree[..., :n].sum(axis=-1) >= AGREE) & (shared.argmax(axis=-1) == band)
 
 
-def _neighbours(members: DataFrame) -> DataFrame:
-    """Pairs of rows that follow one another in a bucket and lie in different components."""
+def _sliding(members: DataFrame) -> DataFrame:
+    """Pairs of rows that lie close to one another in a bucket."""
 
     def run(frames):
-        last = None
+        held = None
         for frame in frames:
-            rows = frame if last is None else pd.concat([last, frame])
-            a, b = rows.iloc[:-1], rows.iloc[1:]
-            key, doc, n, root = ((a[c].to_numpy(), b[c].to_numpy()) for c in ("key", "doc_id", "n", "root"))
-            keep = (key[0] == key[1]) & (root[0] != root[1]) & (np.minimum(*n) >= np.maximum(*n) * LEAST)
-            yield pd.DataFrame({"a": np.minimum(*doc)[keep], "b": np.maximum(*doc)[keep]})
-            last = rows.iloc[-1:]
+            rows = frame if held is None else pd.concat([held, frame])
+            key, doc, n, band = (rows[c].to_numpy() for c in ("key", "doc_id", "n", "band"))
+            sketch, old, out = _sketches(rows["sketch"]), 0 if held is None else len(held), []
+            for lag in range(1, min(REACH, len(rows) - 1) + 1):
+                # pairs whose later row is new
+                i = np.arange(max(0, old - lag), len(rows) - lag)
+                j = i + lag
+                near = (key[i] == key[j]) & (np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j]))
+                i, j = i[near], j[near]
+                near = _alike(sketch[i], sketch[j], band[i])
+                out.append(np.stack([doc[i[near]], doc[j[near]]]))
+            if out:
+                a, b = np.concatenate(out, axis=1)
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            held = rows.iloc[-REACH:]
 
     order = F.xxhash64("doc_id", "key")
-    laid = members.select("key", order.alias("o"), "doc_id", "n", "root").repartitionByRange("key", "o")
-    return laid.sortWithinPartitions("key", "o").mapInPandas(run, "a long, b long").distinct()
-
-
-def _apart(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket in different components; members of its largest one meet only the others."""
-    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rows = members.join(mixed.select("key", "main"), "key")
-    x = rows.where("root <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
-    y = rows.select("key", F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), "main")
-    meet = (F.col("xr") != F.col("yr")) & ((F.col("yr") == F.col("main")) | (F.col("x") < F.col("y"))) & _alike(F.col("xn"), F.col("yn"))
-    met = x.withColumnRenamed("key", "k").join(y, (F.col("k") == F.col("key")) & meet)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs with ``near``: whether their Jaccard similarity reaches the least."""
+    # only a very large bucket is cut where partitions meet; those pairs are left to _apart
+    spread = F.when(F.col("rows") > SPREAD, order).otherwise(0)
+    laid = members.select("key", spread.alias("spread"), order.alias("o"), "band", "doc_id", "n", "sketch").repartitionByRange("key", "spread")
+    return laid.sortWithinPartitions("key", "o").mapInPandas(run, "a long, b long")
+
+
+def _apart(members: DataFrame, hooked: DataFrame) -> DataFrame:
+    """The pairs of larger buckets that lie in different components."""
+    roots = hooked.select(F.col("child").alias("doc_id"), F.col("parent").alias("root"))
+    rooted = members.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    of_key = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("rows"))
+    mixed = of_key.where((F.col("parts") > 1) & (F.col("rows") > REACH + 1)).select(
+        F.col("key"),
+        F.col("main.root").alias("main"),
+        F.ceil(F.col("rows") / BLOCK).alias("blocks"),
+        F.ceil((F.col("rows") - F.col("main.size")) / BLOCK).alias("asking"),
+    )
+    rows = rooted.join(mixed, "key").withColumn("asks", F.col("root") != F.col("main"))
+    spread = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("doc_id", "key"), F.col(n))
+    columns = ["key", "band", "doc_id", "n", "root", "sketch"]
+    asked = rows.select(*columns, "asks", F.lit(False).alias("query"), own("blocks").alias("m"), F.explode(spread("asking")).alias("q"))
+    asking = rows.where("asks").select(*columns, "asks", F.lit(True).alias("query"), F.explode(spread("blocks")).alias("m"), own("asking").alias("q"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame[frame["query"]], frame[~frame["query"]]
+        doc, n, root, asks, sketch = (y[c].to_numpy() for c in ("doc_id", "n", "root", "asks", "sketch"))
+        sketch, out = _sketches(sketch), [np.empty((2, 0), np.int64)]
+        for d, m, r, band, s in zip(x["doc_id"], x["n"], x["root"], x["band"], _sketches(x["sketch"]), strict=True):
+            near = np.nonzero((root != r) & (~asks | (doc > d)) & (np.minimum(n, m) >= LEAST * np.maximum(n, m)))[0]
+            near = near[_alike(sketch[near], s, band)]
+            out.append(np.stack([np.full(len(near), d), doc[near]]))
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return asked.unionByName(asking).groupBy("key", "m", "q").applyInPandas(run, "a long, b long")
+
+
+def _checked(pairs: DataFrame, source: DataFrame) -> DataFrame:
+    """Those of the pairs whose Jaccard similarity reaches the least."""
+
+    def hashed(batches):
+        for rows in batches:
+            found = [hashes_of(x)[1].tobytes() for x in rows.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.binary())], ["doc_id", "hashes"])
 
-    def run(batches):
+    def compared(batches):
         for rows in batches:
             near = []
             for s, t in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                x, y = shingles(s), shingles(t)
-                both = len(x & y)
+                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= LEAST * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
-    found = both.mapInArrow(run, "a long, b long, near boolean")
-    return checkpointed(found.groupBy("a", "b").agg(F.max("near").alias("near")))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # rows of one id count as one document: any of them stands for it
+    sets = source.join(needed, "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+    sets = checkpointed(sets)
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_hashes", "b_hashes")
+    return checkpointed(both.mapInArrow(compared, "a long, b long"))
 
 
-def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", budget: int = 3) -> DataFrame:
     """(child, parent): each document with a smaller one in its component, and the smallest."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null")
     signed = checkpointed(signatures(source))
-    banded = signed.select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    members = checkpointed(banded.join(shared, "key"))
-    texts = checkpointed(source.join(members.select("doc_id").distinct(), "doc_id"))
-    checked = hooked = None
-
-    def rooted(rows: DataFrame) -> DataFrame:
-        if hooked is None:
-            return rows.withColumn("root", F.col("doc_id"))
-        roots = hooked.select(F.col("child").alias("doc_id"), F.col("parent").alias("root"))
-        return rows.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-
-    for step in (lambda m: _neighbours(m.where(F.col("band") < FIRST_BANDS)), _neighbours, _apart):
-        pairs = step(rooted(members))
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        if checked is not None and pairs.isEmpty():
-            continue
-        now = _checked(pairs, texts)
-        checked = now if checked is None else checked.unionByName(now)
-        hooked = components(checked.where("near").select("a", "b"))
-    return hooked
+
+    # SimHash: documents of one fingerprint, and those of linked fingerprints
+    nodes = checkpointed(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    same = signed.join(nodes, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    first = lambda c: nodes.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    linked = links(nodes, budget).join(first("a"), "a").join(first("b"), "b")
+    close = same.unionByName(linked.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b")))
+
+    # MinHash: rows of buckets of two or more
+    banded = signed.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    members = checkpointed(banded.join(shared, "key").join(signed.select("doc_id", "n", "sketch"), "doc_id"))
+
+    pairs = checkpointed(_sliding(members).unionByName(close).distinct())
+    found = _checked(pairs, source)
+    hooked = components(found)
+    left = checkpointed(_apart(members, hooked).distinct().join(pairs, ["a", "b"], "left_anti"))
+    if left.isEmpty():
+        return hooked
+    return components(found.unionByName(_checked(left, source)))
 
 
 def keep_one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The first document of every component, with its columns. The id names a row: rows
     without one all stay, and rows repeated whole become one."""
-    gone = near_copies(docs, text=text, doc_id=doc_id).select(F.col("child").alias("_gone"))
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
-    return rows_of(docs, ids.join(gone, ids["doc_id"] == gone["_gone"], "left_anti"), doc_id)
+    gone = near_copies(docs, text=text, doc_id=doc_id).select(F.col("child").alias("doc_id"))
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
+    return rows_of(docs, ids.join(gone, "doc_id", "left_anti"), doc_id)

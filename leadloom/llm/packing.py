@@ -199,14 +199,13 @@ def pack(
     return rows.mapInArrow(_packer(tokenizer, chunks, end, window, block, slack), SCHEMA)
 
 
-def packed_words(docs: DataFrame) -> DataFrame:
-    """`pack` as the query and the pipeline use it, with the checksum of each piece."""
+def packed_words(docs: DataFrame, *, with_ids: bool = False) -> DataFrame:
+    """`pack` as the query and the pipeline use it, with the checksum of each piece, and its ids if wanted."""
     import public_tokenizers
 
     pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
-    return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    columns = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    return pieces.select(*columns, *(["ids"] if with_ids else []))
 
 
 def op2_packing(spark, sf_dir):

@@ -49,24 +49,32 @@ STEP = 1 << 15
 GROUP, LARGE = 50_000, 4
 
 
-def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
-    """Unsigned; bytes.split cuts at U+0020 and U+0009 to U+000D alone."""
+def shingle_hashes(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
+    """A row of 8 bytes, highest first, for each shingle; bytes.split cuts at U+0020 and U+0009
+    to U+000D alone, and fewer words than a shingle are one."""
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return np.empty((0, 8), np.uint8)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     last = ends[min(shingle, len(found)) - 1 :].tolist()
     first = [0, *(ends[: len(last) - 1] + 1).tolist()]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)])
-    grid = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)]), np.uint8).reshape(-1, 8)
+
+
+def majority(grid: np.ndarray) -> int:
+    """The bits set in over half of the rows, as an unsigned number; zero without rows."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(grid), STEP):
         counts += np.unpackbits(grid[at : at + STEP], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(grid)).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(
     docs: DataFrame, *, shingle: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:

@@ -63,10 +63,28 @@ def test_large_group_and_chains(spark):
     assert kept(docs) == Counter(i for i, root in plain_roots(texts).items() if i == root)
 
 
+def test_a_family_without_links_and_one_with_bridges(spark):
+    """Buckets larger than the reach, with members that no neighbour links."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    texts = {}
+    for i in range(60):  # each 0.84 or so from the base, hardly any from one another
+        x = list(base)
+        x[r.randrange(5, 95)] = f"x{i}"
+        x[r.randrange(5, 95)] = f"y{i}"
+        texts[i + 1] = " ".join(x)
+    assert len(set(plain_roots(texts).values())) > 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert kept(docs) == Counter(i for i, root in plain_roots(texts).items() if i == root)
+    texts[0] = " ".join(base)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert kept(docs) == Counter(i for i, root in plain_roots(texts).items() if i == root)
+
+
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (6, "É é\x1cx y z"), (6, "É é\x1cx y z"), (None, "One two"), (None, "One two"), (9, "w " * 70000), (10, "one two three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert kept(docs) == {1: 1, 4: 1, 6: 1, 9: 1, 10: 1, None: 1}
+    assert kept(docs) == {1: 1, 4: 1, 6: 1, 9: 1, 10: 1, None: 2}
     assert near_copies.keep_one_of_each(docs.limit(0)).count() == 0
 
 
@@ -82,6 +100,7 @@ def test_pipeline_stages_against_brute_force(spark):
     got, documents = docs, None
     for name, stage in corpus_pipeline.STAGES:
         documents, got = got, corpus_pipeline.written(stage(spark, got, SF), f"near-{name}")
+        assert name == "pack" or got.columns == docs.columns
         if name == "near":
             kept = got.toPandas()
             assert Counter(kept.doc_id) == Counter(list(rows))

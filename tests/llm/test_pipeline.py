@@ -2,11 +2,9 @@
 
 from collections import Counter
 
-import duckdb
+import numpy as np
 
 import corpus_pipeline
-from leadloom.llm import mixing
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,34 +13,6 @@ def low(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def test_stages_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r.doc_id: r for r in docs.collect()}
-    rows = {i: r for i, r in rows.items() if any(c.isalpha() for c in r.text or "")}
-    last = {}
-    for i, r in rows.items():
-        last[low(r.text)] = max(i, last.get(low(r.text), i))
-    rows = {i: rows[i] for i in last.values()}
-    roots = plain_components({i: plain_fingerprint(r.text) for i, r in rows.items()})
-    rows = {i: r for i, r in rows.items() if roots[i] == i}
-    got, documents = docs, None
-    for name, stage in corpus_pipeline.STAGES:
-        documents, got = got, corpus_pipeline.written(stage(spark, got, SF), f"test-{name}")
-        assert name == "pack" or got.columns == docs.columns
-        if name == "near":
-            kept = got.toPandas()
-            assert Counter(kept.doc_id) == Counter(list(rows)) and set(kept.text) == {r.text for r in rows.values()}
-    want = duckdb.connect().execute(mixing.ORACLE_SQL.replace("from documents", "from kept")).df()
-    copies = Counter(r.doc_id for r in documents.collect())
-    assert {i: n * rows[i].text.split().__len__() for i, n in copies.items()} == {i: t for i, t in zip(want.doc_id, want.taken) if t}
-    pieces = got.collect()
-    covered = Counter()
-    for p in pieces:
-        covered[p.doc_id, p.doc_tokens] += p.length
-    assert {i: n // size for (i, size), n in covered.items()} == dict(copies)
-    assert all(n % size == 0 for (_, size), n in covered.items())
-
-
 def test_stages_with_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, "the cat is here", "en", "a", 1), (1, "the cat is here", "en", "a", 1), (2, "THE cat is here", None, None, None), (3, None, "en", "a", 1), (4, "", "en", "b", 1), (None, "without an id", "en", "b", 1), (5, "word " * 30000, "en", "b", 9)]
@@ -54,3 +24,21 @@ def test_stages_with_odd_rows(spark):
                 ids = Counter(r.doc_id for r in docs.collect())
                 assert not ids or ids == {2: 1, 5: 1, None: 1}
     assert docs.count() == 0
+
+
+def test_run_packs_the_ids_and_leaves_only_its_result(spark):
+    import glob
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/pipeline-*"))
+    got = corpus_pipeline.run(spark, SF)
+    made = set(glob.glob(f"{folder}/pipeline-*")) - before
+    assert len(made) == 1 and "pipeline-pack-" in made.pop()
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in got.limit(50).collect():
+        ids = plain.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.start : r.start + r.length]
