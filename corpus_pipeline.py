@@ -1,10 +1,11 @@
 """From raw documents to packed training sequences, in five stages.
 
-Language identification drops what has no language, exact deduplication and
-near-deduplication (five-word shingles, Jaccard similarity of 0.8 or more) keep
-one document of each group, mixing repeats or thins the sources to their target weights, and packing cuts the rest into
-windows of token ids. Each stage works on all that its predecessor kept, written
-as Parquet and read again.
+Language identification drops what has no language and fills missing labels, exact
+deduplication and near-deduplication (SimHash links and MinHash candidates, all
+checked: five-word shingles, Jaccard similarity of 0.8 or more) keep one document
+of each group, mixing repeats or thins the sources to their target weights, and
+packing cuts the rest into windows of token ids, which its rows hold. Each stage
+works on all that its predecessor kept, written as Parquet and read again.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.llm import exact_dedup, language_id, mixing, near_copies, packing
-from leadloom.llm.common import table, written
+from leadloom.llm.common import forget, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_words(docs)
+    return packing.packed_words(docs, with_ids=True)
 
 
 STAGES = [
@@ -48,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
