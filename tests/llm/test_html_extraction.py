@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from leadloom.llm import html_extraction as H
+from tests.llm import labelled_pages
 
 
 def article(page):
@@ -51,7 +52,7 @@ def test_a_page_with_everything():
 
 
 def test_edges(spark):
-    assert H.main_text(None) == H.main_text("") == H.main_text("<<>><p") == H.main_text("<nav>a</nav>") == ""
+    assert H.main_text(None) == H.main_text("") == H.main_text("<p") == H.main_text("<nav>a</nav>") == ""
     long = "<article>" + "<p>Some words, here and there.</p>" * 3000 + "</article>"
     assert H.main_text(long).count("\n") == 2999
     rows = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "u", "<p>Words, and more words follow here.", 2)], "page_id long, url string, html string, text int")
@@ -59,6 +60,50 @@ def test_edges(spark):
     assert H.extract(rows.limit(0)).count() == 0
 
 
+def test_weights_are_those_that_fit_finds():
+    assert H.fit(labelled_pages.labelled(range(400))) == H.WEIGHTS.of
+
+
+def test_labelled_pages_and_what_the_edges_change():
+    """The cut on pages that the fit has not seen, against the sign of the classifier alone."""
+    alone = H.Weights(H.WEIGHTS.of, 0.0, 0.0)
+    right, signs, changed, n = 0, 0, 0, 0
+    for blocks, want in labelled_pages.labelled(range(1000, 1300)):
+        got, sign = H.label(blocks), H.label(blocks, alone)
+        assert sign == [x > 0 for x in H.log_odds(blocks)]
+        right += sum(x == y for x, y in zip(got, want))
+        signs += sum(x == y for x, y in zip(sign, want))
+        changed += sum(x != y for x, y in zip(got, sign))
+        n += len(want)
+    assert changed > 20 and right > signs + 10 and right / n > 0.99
+
+
+def test_no_text_is_lost():
+    cases = {
+        "<article><p>First one.</p><button>Go<p>Second paragraph.</article>": "First one.\nSecond paragraph.",
+        "<article><p>Before <button>Go</button> and after.</article>": "Before and after.",
+        "<article><p>Area is <math><mi>x</mi></math> wide.</article>": "Area is x wide.",
+        "<article><p>One.<svg><text>Label</text></svg> Two.<object>Three.</article>": "One.Label Two.Three.",
+        "<article><p hidden>Hidden words.<p style='display:none'>More.<p aria-hidden=true>Most.</article>": "Hidden words.\nMore.\nMost.",
+        '<article><div class="social text"><p>A paragraph of the article.</div></article>': "A paragraph of the article.",
+        "<article><select><option>a<option>b<p>Behind the options.</article>": "Behind the options.",
+        "<article><p>Open <script>var a = '<p>'": "Open",
+        "<article><ul><li>One<li>Two <b>bold<li>Three</ul><dl><dt>T<dd>D</dl><table><tr><td>a<td>b<tr><td>c</table></article>": "One\nTwo bold\nThree\nT\nD\na\nb\nc",
+    }
+    for page, want in cases.items():
+        assert H.main_text(page) == want, page
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    for tag in ("div", "b", "p", "li", "a", "section"):
+        began = time.process_time()
+        page = "<article>" + f"<{tag}>x" * 50_000 + "</article>"
+        assert sum(len(b.text) for b in H.blocks_of(page)) >= 50_000
+        assert time.process_time() - began < 4, tag
+
+
 @settings(max_examples=200, deadline=None)
 @given(
     st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=6),
