@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.numbers import clamp, safe_div
+from leadloom.operators.windows import cumulative, quantile_values
 
 
 def headcount(people: DataFrame, firm: str, person: str, min_reps: int = 1) -> DataFrame:
@@ -64,10 +65,28 @@ def net_flow(heads: DataFrame, gone: DataFrame, come: DataFrame, firm: str = "fi
 
 
 def headcount_at(history: DataFrame, at: DataFrame, *, firm: str = "firm_id", date_col: str = "at_date", person: str = "person_id", start: str = "start_date", end: str = "end_date") -> DataFrame:
-    """Distinct people active at each firm's date of ``at`` (firm, date)."""
-    h = history.select(F.col(firm).alias("_f"), person, start, end)
-    on = (at[firm] == F.col("_f")) & (F.col(start) <= at[date_col]) & (F.col(end).isNull() | (F.col(end) >= at[date_col]))
-    return at.join(h, on, "left").groupBy(at[firm], at[date_col]).agg(F.countDistinct(person).alias("headcount"))
+    """Distinct people active at each firm's date of ``at`` (firm, date).
+
+    A person's overlapping spells at a firm become one; the count at a date is then the
+    starts so far less the ends before it: one sorted pass, no pairs of dates and spells.
+    """
+    never = F.lit("9999-12-31").cast("date")
+    h = history.where(F.col(firm).isNotNull() & F.col(start).isNotNull() & F.col(person).isNotNull()).select(F.col(firm).alias("f"), F.col(person).alias("p"), F.col(start).alias("s"), F.coalesce(F.col(end), never).alias("e"))
+    h = h.where("e >= s")
+    own = Window.partitionBy("f", "p").orderBy("s", "e")
+    reached = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    parts = h.withColumn("new", F.coalesce(F.col("s") > reached, F.lit(True)).cast("int")).withColumn("i", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    spells = parts.groupBy("f", "p", "i").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    asked = at.select(F.col(firm).alias("f"), F.col(date_col).alias("d")).distinct()
+    none = F.lit(0).cast("long")
+    events = (
+        spells.select("f", F.col("s").alias("d"), F.lit(1).cast("long").alias("step"), F.lit(False).alias("asked"))
+        .unionByName(spells.where(F.col("e") < never).select("f", F.date_add("e", 1).alias("d"), F.lit(-1).cast("long").alias("step"), F.lit(False).alias("asked")))
+        .unionByName(asked.select("f", "d", none.alias("step"), F.lit(True).alias("asked")))
+    )
+    by_day = events.groupBy("f", "d").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    run = cumulative(by_day, "d", ["step"], groups=["f"])
+    return run.where("asked").select(F.col("f").alias(firm), F.col("d").alias(date_col), F.col("step_cum").alias("headcount"))
 
 
 def count_distinct_if(cond: Column, col: Column) -> Column:
@@ -143,8 +162,10 @@ def ratios(df: DataFrame, parts: Sequence[str], whole: str, focus: float = 0.5)
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), *, exact: bool = True) -> DataFrame:
-    f = (lambda p: F.percentile(col, F.lit(p))) if exact else (lambda p: F.percentile_approx(col, p))
-    return df.groupBy(*by).agg(*[f(p).alias(f"p{round(100 * p)}") for p in probs])
+    names = {f"p{round(100 * p)}": p for p in probs}
+    if exact:
+        return quantile_values(df, col, names, by)
+    return df.groupBy(*by).agg(*[F.percentile_approx(col, p).alias(name) for name, p in names.items()])
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -187,7 +208,9 @@ def segment_report(df: DataFrame, segments: Mapping[str, Column], target: str) -
 
 def extremes(df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Fences, share of zeros and nulls, and rows beyond the fences, one row a column."""
-    fences = df.agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(c) for c in cols]).first()
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*")
+    found = {r["c"]: (r["lo"], r["hi"]) for r in quantile_values(values, "v", {"lo": lo, "hi": hi}, ["c"]).collect()}  # a row a column
+    fences = {c: found.get(c, (None, None)) for c in cols}
     stats = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[

@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.operators.windows import cumulative, ntile
+from leadloom.operators.windows import cumulative, ntile, quantile_values
 
 # ---- splits
 
@@ -25,7 +25,7 @@ def pct_split(df: DataFrame, by: str, shares: tuple[float, float], gap: int) ->
     """Boundary dates at the shares of the rows; rows within ``gap`` days after one are GAP."""
     day = F.datediff(by, F.lit(date(1970, 1, 1)))
     counts = df.groupBy(F.col(by).alias("_d")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_day", F.datediff("_d", F.lit(date(1970, 1, 1))))
-    cum = cumulative(counts, "_day", "_c")
+    cum = cumulative(counts, "_day", ["_c"]).withColumnsRenamed({"_c_cum": "_cum", "_c_total": "_total"})
     cut = lambda share: F.min(F.when(F.col("_cum") >= F.col("_total") * share, F.col("_day")))
     bounds = cum.agg(cut(shares[0]).alias("_b1"), cut(shares[1]).alias("_b2"))
     joined = df.crossJoin(F.broadcast(bounds.limit(1)))
@@ -66,8 +66,7 @@ def check_split(df: DataFrame, split: str, by: str, target: str) -> DataFrame:
 def _curve(df: DataFrame, y: str, s: str) -> DataFrame:
     """By distinct score, highest first: positives and rows so far, and in all."""
     by = df.where(F.col(s).isNotNull()).groupBy(F.col(s).alias("s")).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    tp = cumulative(by, "s", "pos", descending=True).withColumnsRenamed({"_cum": "tp", "_total": "p"})
-    return cumulative(tp, "s", "n", descending=True).withColumnsRenamed({"_cum": "seen", "_total": "total"})
+    return cumulative(by, "s", ["pos", "n"], descending=True).withColumnsRenamed({"pos_cum": "tp", "pos_total": "p", "n_cum": "seen", "n_total": "total"})
 
 
 def auc(df: DataFrame, y: str, s: str) -> DataFrame:
@@ -85,8 +84,8 @@ def univariate_auc(df: DataFrame, y: str, features: Sequence[str]) -> DataFrame:
     """max(auc, 1 - auc) of each feature from rank sums by distinct value."""
     long = df.select(y, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")).select(y, "x.*")
     by = long.where("v is not null").groupBy("feature", "v").agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("feature").orderBy("v")
-    run = by.select("feature", "pos", (F.col("n") - F.col("pos")).alias("neg"), F.sum(F.col("n") - F.col("pos")).over(w).alias("below"))
+    sides = by.withColumn("neg", F.col("n") - F.col("pos"))
+    run = cumulative(sides, "v", ["neg"], groups=["feature"]).withColumnRenamed("neg_cum", "below")
     a = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))
     return run.groupBy("feature").agg(F.round(F.greatest(a, 1 - a), 6).alias("auc"))
 
@@ -102,31 +101,49 @@ def deciles(df: DataFrame, y: str, s: str, key: str, n: int = 10) -> DataFrame:
 
 def top_lift(df: DataFrame, y: str, s: str, top: float = 0.1) -> DataFrame:
     """Rate of the scores at or above the (1 - top) quantile over the overall rate."""
-    cut = df.agg(F.percentile(s, F.lit(1 - top)).alias("_cut"))
+    cut = quantile_values(df, s, {"_cut": 1 - top})
     j = df.crossJoin(F.broadcast(cut.limit(1)))
     head = F.avg(F.when(F.col(s) >= F.col("_cut"), F.col(y)))
     return j.agg(F.count_if(F.col(s) >= F.col("_cut")).alias("n_top"), F.round(head, 6).alias("top_rate"), F.round(F.avg(y), 6).alias("base_rate"), F.round(F.try_divide(head, F.avg(y)), 6).alias("lift"))
 
 
-def bootstrap_lift(df: DataFrame, y: str, s: str, key: str, *, resamples: int = 200, top: float = 0.1, seed: int = 7) -> DataFrame:
-    """95 % interval of the top lift by Poisson resampling.
+# Poisson(1) by its distribution function.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+# Modulus and multipliers of the hash that draws the weights.
+MODULUS, MULTIPLIER, STRIDE = 2_147_483_647, 48_271, 69_621
 
-    Weights come from a hash of (row, resample), so no rows are drawn or moved; the
-    cut is that of all rows. A resample is one group of one aggregate.
+
+def resample_weight(key: Column, resample: Column, seed: int) -> Column:
+    """A Poisson(1) weight of a row in a resample, from whole-number arithmetic on its key."""
+    mod = lambda c: F.pmod(c, F.lit(MODULUS).cast("long"))
+    x = mod(mod(key) * MULTIPLIER + resample * STRIDE + seed)
+    x = mod(mod(x * x) * MULTIPLIER + mod(key))
+    x = mod(x * x + resample)
+    x = mod(x * x + seed)
+    return F.size(F.filter(F.array(*[F.lit(int(p * MODULUS)) for p in POISSON]), lambda edge: edge <= x))
+
+
+def bootstrap_lift(df: DataFrame, y: str, s: str, key: str, *, resamples: int = 1000, top: float = 0.1, seed: int = 7) -> DataFrame:
+    """95 % interval of the top lift by Poisson resampling, each resample with its own cut.
+
+    Weights come from (key, resample), so no rows are drawn or moved. Rows are summed to
+    (resample, score) in the tasks that read them; a resample's cut is the (1 - top)
+    quantile of its own weighted scores. A resample is one group over the distinct scores.
     """
-    cut = df.agg(F.percentile(s, F.lit(1 - top)).alias("_cut"))
-    rows = df.crossJoin(F.broadcast(cut.limit(1))).select(F.col(key).alias("k"), F.col(y).alias("y"), (F.col(s) >= F.col("_cut")).alias("top"))
-    each = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("k").cast("string"), F.col("b").cast("string"), F.lit(str(seed))).cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
-    # Poisson(1) by its distribution function
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = F.lit(len(edges))
-    for k in reversed(range(len(edges))):
-        weight = F.when(u < edges[k], k).otherwise(weight)
-    w = each.withColumn("w", weight)
-    lift = F.try_divide(F.try_divide(F.sum(F.when(F.col("top"), F.col("w") * F.col("y"))).cast("double"), F.sum(F.when(F.col("top"), F.col("w")))), F.try_divide(F.sum(F.col("w") * F.col("y")).cast("double"), F.sum("w")))
-    per = w.groupBy("b").agg(lift.alias("lift"))
-    q = lambda p: F.round(F.percentile("lift", F.lit(p)), 6)
+    rows = df.where(F.col(s).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(y).alias("y"), F.col(s).cast("double").alias("s"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(resamples).cast("long"))).alias("b"))
+    w = each.select("b", "s", "y", resample_weight(F.col("k"), F.col("b"), seed).cast("long").alias("w"))
+    cells = w.groupBy("b", "s").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos")).where("n > 0")
+    of = Window.partitionBy("b")
+    place = (F.sum("n").over(of) - 1) * F.lit(1 - top)
+    run = cells.select("*", F.sum("n").over(of.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), place.alias("place"))
+    low = F.min(F.when(F.col("upto") > F.floor("place"), F.col("s"))).over(of)
+    high = F.min(F.when(F.col("upto") > F.ceil("place"), F.col("s"))).over(of)
+    cut = run.withColumn("cut", low + (high - low) * (F.col("place") - F.floor("place")))
+    head = F.col("s") >= F.col("cut")
+    rate = lambda pos, n: F.try_divide(F.sum(pos).cast("double"), F.sum(n))
+    per = cut.groupBy("b").agg(F.try_divide(rate(F.when(head, F.col("pos")), F.when(head, F.col("n"))), rate("pos", "n")).alias("lift"))
+    q = lambda p: F.round(F.percentile("lift", F.lit(p)), 6)  # noqa: E731  over the resamples
     return per.agg(F.count("lift").alias("resamples"), q(0.025).alias("low"), q(0.5).alias("mid"), q(0.975).alias("high"), F.round(F.avg((F.col("lift") <= 1).cast("int")), 6).alias("p_value"))
 
 
@@ -225,7 +242,20 @@ def fisher(df: DataFrame, by: str, y: str, a, b) -> DataFrame:
     lf = lambda n: math.lgamma(n + 1)
     choose = lambda n, k: lf(n) - lf(k) - lf(n - k)
     rows, hits, everyone = a1 + a0, a1 + b1, a1 + a0 + b1 + b0
-    tail = sum(math.exp(choose(hits, k) + choose(everyone - hits, rows - k) - choose(everyone, rows)) for k in range(a1, min(rows, hits) + 1) if rows - k <= everyone - hits)
+    least, most = max(0, rows + hits - everyone), min(rows, hits)
+    term = lambda k: math.exp(choose(hits, k) + choose(everyone - hits, rows - k) - choose(everyone, rows))
+
+    def outwards(ks) -> float:
+        """Terms away from the mean shrink at every step, so the sum ends where they no longer count."""
+        total = 0.0
+        for k in ks:
+            total += (now := term(k))
+            if now < 1e-18 * total or now == 0.0:
+                break
+        return total
+
+    above = everyone == 0 or a1 * everyone >= rows * hits
+    tail = outwards(range(a1, most + 1)) if above else 1.0 - outwards(range(a1 - 1, least - 1, -1))
     odds = F.try_divide((F.col("a1") * F.col("b0")).cast("double"), F.col("a0") * F.col("b1"))
     return t.select("*", F.round(odds, 6).alias("odds_ratio"), F.lit(round(min(1.0, tail), 6)).alias("p_value"))
 
@@ -233,9 +263,8 @@ def fisher(df: DataFrame, by: str, y: str, a, b) -> DataFrame:
 def segment_metrics(df: DataFrame, by: Sequence[str], y: str, s: str) -> DataFrame:
     """Rows, rate and rank-sum AUC by segment."""
     counts = df.groupBy(*by, F.col(s).alias("s")).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy("s")
-    neg = F.col("n") - F.col("pos")
-    run = counts.select(*by, "n", "pos", neg.alias("neg"), F.sum(neg).over(w).alias("below"))
+    sides = counts.withColumn("neg", F.col("n") - F.col("pos"))
+    run = cumulative(sides, "s", ["neg"], groups=by).withColumnRenamed("neg_cum", "below")
     a = F.try_divide(F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2)), (F.sum("pos") * F.sum("neg")).cast("double"))
     return run.groupBy(*by).agg(F.sum("n").alias("rows"), F.round(F.sum("pos") / F.sum("n"), 6).alias("rate"), F.round(a, 6).alias("auc"))
 

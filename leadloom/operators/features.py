@@ -12,7 +12,8 @@ from leadloom.functions.dates import month_diff, year_diff
 from leadloom.functions.numbers import AUM_TIERS, TENURE_MONTHS, bucketise, clamp, experience_bucket, log1, safe_div
 from leadloom.functions.text import json_list
 from leadloom.operators.aggregates import pivot_by_rank
-from leadloom.operators.joins import active_interval, asof_join, lookback, with_overall
+from leadloom.operators.joins import active_interval, asof_join, lookback
+from leadloom.operators.windows import quantile_values
 
 # ---- targets
 
@@ -32,10 +33,10 @@ def target(as_of: date, n: int, late: str = "negative", *, contacted: str = "con
 
 def timing(leads: DataFrame, probs: Sequence[float] = (0.5, 0.9, 0.95)) -> DataFrame:
     """Quantiles of the days to conversion; the p90 serves as the window."""
-    gap = F.datediff("converted", "contacted")
-    return leads.where("converted is not null").agg(
-        F.count(F.lit(1)).alias("n"), *[F.percentile(gap, F.lit(p)).alias(f"p{round(100 * p)}") for p in probs], F.round(F.avg(gap), 4).alias("mean_days")
-    )
+    gaps = leads.where("converted is not null").select(F.datediff("converted", "contacted").alias("gap"))
+    names = {f"p{round(100 * p)}": p for p in probs}
+    both = gaps.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gap"), 4).alias("mean_days")).crossJoin(F.broadcast(quantile_values(gaps, "gap", names).limit(1)))
+    return both.select("n", *names, "mean_days")
 
 
 def censor_report(leads: DataFrame, as_of: date, n: int) -> DataFrame:
@@ -191,7 +192,7 @@ def entity(df: DataFrame, col: str, out: str) -> DataFrame:
 def ratio_features(df: DataFrame) -> DataFrame:
     """Assets per client, and a boutique flag: assets per client in the top quarter of small firms."""
     out = df.withColumn("aum_per_client", safe_div(F.col("aum"), F.col("accounts")))
-    out = with_overall(out, q75=F.percentile("aum_per_client", F.lit(0.75)))
+    out = out.crossJoin(F.broadcast(quantile_values(out, "aum_per_client", {"q75": 0.75}).limit(1)))
     boutique = (F.col("aum_per_client") >= F.col("q75")) & (F.col("accounts") <= 5)
     return out.select(*df.columns, F.floor("aum_per_client").alias("aum_per_client"), F.coalesce(boutique, F.lit(False)).cast("int").alias("is_boutique"))
 
@@ -229,8 +230,9 @@ def interactions(df: DataFrame) -> DataFrame:
 
 def null_policy(df: DataFrame, medians: Sequence[str], unknown: Sequence[str], train: Column) -> DataFrame:
     """Numbers take the median of the training rows, labels become 'Unknown'. One aggregate fits."""
-    fit = df.where(train).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in medians]).first()
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(fit[c])) for c in medians}
+    values = df.where(train).select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in medians])).alias("x")).select("x.*")
+    fit = {r["c"]: r["mid"] for r in quantile_values(values, "v", {"mid": 0.5}, ["c"]).collect()}  # a row a column
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(fit.get(c)).cast("double")) for c in medians}
     return df.withColumns(filled | {c: F.coalesce(F.col(c), F.lit("Unknown")) for c in unknown})
 
 

@@ -1,8 +1,9 @@
 """Windows, ranks and quotas.
 
-Ranks over all rows are not one window in one task: the ordering value is cut
-into ranges by approximate quantiles, ranges are counted, and each range is
-ranked alone from the count of those before it.
+Ranks and running sums over all rows are not one window in one task: the rows are
+dealt to Spark's shuffle partitions by ranges of the whole order (ties are split by
+the later keys), sorted and written once to the shared folder; the partitions are
+counted, and each goes on from the count of those before it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from leadloom.sources.shared import checkpointed
 
 
 def latest_row(df: DataFrame, part: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -24,26 +25,35 @@ def rank_in(df: DataFrame, part: Sequence[str], order: Sequence[Column], col: st
     return df.withColumn(col, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
 
 
-def positioned(df: DataFrame, by: str, order: Sequence[Column], *, descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Column], out: str, *, groups: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Adds the row's number from 1 in the order within its group, and the group's rows as ``total``."""
+    laid = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    laid = checkpointed(laid.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    each = laid.groupBy(*groups, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    starts = each.select(
+        F.col("_part").alias("_p"),
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
+        (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        F.sum("_c").over(Window.partitionBy(*groups)).alias("_rows"),
+    )
+    on = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        on &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    # without groups a row for each shuffle partition
+    joined = laid.join(starts if groups else F.broadcast(starts), on).withColumn(out, F.col("_id") + F.col("_shift"))
+    if total:
+        joined = joined.withColumn(total, F.col("_rows"))
+    return joined.drop("_id", "_part", "_p", "_shift", "_rows", *[f"_g{i}" for i in range(len(groups))])
+
+
+def positioned(df: DataFrame, by: str, order: Sequence[Column], *, descending: bool = False) -> DataFrame:
     """Adds _pos, the row's number from 1 in the order (by, *order), and _n, the number of rows.
 
-    Null values of ``by`` come last. Equal values of ``by`` fall into one range.
+    Null values of ``by`` come last.
     """
-    bounds = df.where(F.col(by).isNotNull()).select(F.col(by).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.5 / ranges)
-    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    value = F.col(by).cast("double")
-    side = (lambda e: e > value) if descending else (lambda e: e < value)
-    cut = F.when(F.col(by).isNull(), ranges + 1).otherwise(F.size(F.filter(edges, side)))
-    rows = df.withColumn("_range", cut)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 1 rows
-    every = Window.partitionBy()
-    starts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_c")).select(
-        "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(every).alias("_n")
-    )
     first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
-    w = Window.partitionBy("_range").orderBy(first, *order)
-    joined = rows.join(F.broadcast(starts), "_range")
-    return joined.withColumn("_pos", F.row_number().over(w) + F.col("_before")).drop("_range", "_before")
+    return numbered(df, [first, *order], "_pos", total="_n")
 
 
 def rank_all(df: DataFrame, by: str, order: Sequence[Column], col: str = "list_rank", *, descending: bool = False) -> DataFrame:
@@ -53,8 +63,8 @@ def rank_all(df: DataFrame, by: str, order: Sequence[Column], col: str = "list_r
 def rank_subset(df: DataFrame, flag: Column, part: Sequence[str], order: Sequence[Column], col: str) -> DataFrame:
     """Ranks among the rows with the flag only; the others have null."""
     marked = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
-    w = Window.partitionBy("_flag", *part).orderBy(*order)
-    return marked.withColumn(col, F.when(F.col("_flag"), F.row_number().over(w))).drop("_flag")
+    ranked = numbered(marked.where("_flag"), order, col, groups=part)
+    return ranked.unionByName(marked.where("not _flag").withColumn(col, F.lit(None).cast("long"))).drop("_flag")
 
 
 def pct_rank(df: DataFrame, part: Sequence[str], col: str, out: str) -> DataFrame:
@@ -64,25 +74,47 @@ def pct_rank(df: DataFrame, part: Sequence[str], col: str, out: str) -> DataFram
 
 def score_percentile(df: DataFrame, col: str, out: str = "percentile") -> DataFrame:
     """100 * rank / rows, cut to an integer; equal scores share the smallest rank."""
-    values = positioned(df.groupBy(col).agg(F.count(F.lit(1)).alias("_c")), col, []).drop("_n")
-    sums = cumulative(values, "_pos", "_c").select(F.col(col).alias("_v"), (F.col("_cum") - F.col("_c") + 1).alias("_rank"), "_total")
+    values = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    sums = cumulative(values, col, ["_c"]).select(F.col(col).alias("_v"), (F.col("_c_cum") - F.col("_c") + 1).alias("_rank"), F.col("_c_total").alias("_total"))
     joined = df.join(sums, F.col(col).eqNullSafe(F.col("_v")), "left")
     return joined.withColumn(out, F.when(F.col(col).isNotNull(), F.floor(100 * F.col("_rank") / F.col("_total")).cast("int"))).drop("_v", "_rank", "_total")
 
 
-def cumulative(df: DataFrame, by: str, value: str, *, descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """Adds _cum, the running sum of ``value`` in the order of the unique ``by``, and _total."""
-    bounds = df.select(F.col(by).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.5 / ranges)
-    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    side = (lambda e: e > F.col(by).cast("double")) if descending else (lambda e: e < F.col(by).cast("double"))
-    rows = df.withColumn("_range", F.size(F.filter(edges, side)))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_range").agg(F.sum(value).alias("_s")).select(
-        "_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_total")
+def cumulative(df: DataFrame, by: str, values: Sequence[str], *, groups: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Adds, for each of the values, its running sum in the order of ``by`` (unique in a group,
+    nulls last) as <value>_cum, and the group's sum as <value>_total."""
+    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
+    laid = checkpointed(df.repartitionByRange(*groups, first).withColumn("_part", F.spark_partition_id()))
+    each = laid.groupBy(*groups, "_part").agg(*[F.sum(v).alias(f"_s{i}") for i, v in enumerate(values)])
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.select(
+        F.col("_part").alias("_p"),
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
+        *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(values))],
+        *[F.sum(f"_s{i}").over(Window.partitionBy(*groups)).alias(f"{v}_total") for i, v in enumerate(values)],
     )
-    w = Window.partitionBy("_range").orderBy(F.col(by).desc() if descending else F.col(by).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(F.broadcast(starts), "_range")
-    return joined.withColumn("_cum", F.sum(value).over(w) + F.col("_before")).drop("_range", "_before")
+    on = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        on &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    w = Window.partitionBy(*groups, "_part").orderBy(first).rowsBetween(Window.unboundedPreceding, 0)
+    joined = laid.join(starts if groups else F.broadcast(starts), on)
+    sums = {f"{v}_cum": F.sum(v).over(w) + F.col(f"_b{i}") for i, v in enumerate(values)}
+    return joined.withColumns(sums).drop("_part", "_p", *[f"_g{i}" for i in range(len(groups))], *[f"_b{i}" for i in range(len(values))])
+
+
+def quantile_values(df: DataFrame, col: str, probs: Mapping[str, float], groups: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with interpolation under their names, one row a group, from counts of
+    distinct values."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(*groups, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    run = cumulative(counts, "_v", ["_c"], groups=groups)
+
+    def at(p: float) -> Column:
+        place = (F.max("_c_total") - 1) * F.lit(float(p))
+        low = F.min(F.when(F.col("_c_cum") > F.floor((F.col("_c_total") - 1) * F.lit(float(p))), F.col("_v")))
+        high = F.min(F.when(F.col("_c_cum") > F.ceil((F.col("_c_total") - 1) * F.lit(float(p))), F.col("_v")))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return run.groupBy(*groups).agg(*[at(p).alias(name) for name, p in probs.items()])
 
 
 def ntile(df: DataFrame, n: int, by: str, order: Sequence[Column], out: str = "tile", *, descending: bool = False) -> DataFrame:
@@ -150,9 +182,10 @@ def cap_per_group(df: DataFrame, part: Sequence[str], order: Sequence[Column], k
 
 
 def tier_quota(df: DataFrame, tier: str, quotas: Mapping[str, int], order: Sequence[Column]) -> DataFrame:
-    """At most the quota of each tier; an unknown tier has none."""
+    """At most the quota of each tier; an unknown tier has none. The largest quota is a literal,
+    so tasks cut their rows to it before the tiers meet."""
     quota = F.create_map(*[x for t, q in quotas.items() for x in (F.lit(t), F.lit(q))])
-    ranked = rank_in(df.where(F.col(tier).isin(*quotas)), [tier], order, "tier_rank")
+    ranked = rank_in(df.where(F.col(tier).isin(*quotas)), [tier], order, "tier_rank").where(F.col("tier_rank") <= max(quotas.values(), default=0))
     return ranked.where(F.col("tier_rank") <= quota[F.col(tier)])
 
 

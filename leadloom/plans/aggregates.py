@@ -60,9 +60,9 @@ def _(t):
     return net(t)
 
 
-@query("agg_pit_headcount", ", q as (select firm_id, month from snapshots where month(month) = 1) select q.firm_id, q.month, count(distinct person_id) as headcount from q left join spells s on s.firm_id = q.firm_id and start_date <= month and (end_date is null or end_date >= month) group by 1, 2")
+@query("agg_pit_headcount", ", q as (select firm_id, month from snapshots) select q.firm_id, q.month, count(distinct person_id) as headcount from q left join spells s on s.firm_id = q.firm_id and start_date <= month and (end_date is null or end_date >= month) group by 1, 2")
 def _(t):
-    return A.headcount_at(t.spells, t.snapshots.where(F.month("month") == 1).select("firm_id", "month"), date_col="month")
+    return A.headcount_at(t.spells, t.snapshots.select("firm_id", "month"), date_col="month")
 
 
 @query("agg_conditional_count", "select source, count(*) filter (where target = 1) as hits, sum(case when amount > 200000 then 1 else 0 end) as large from outcomes group by 1")

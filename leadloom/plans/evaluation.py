@@ -75,15 +75,21 @@ def _(t):
     return E.top_lift(t.outcomes, "target", "score")
 
 
-BOOT = """, q as (select quantile_cont(score, 0.9) as cut from scored), e as (select doc_id as k, target as y, score >= cut as top, b from scored, q, (select unnest(generate_series(1, 50)) as b)),
-u as (select *, ('0x' || substr(md5(k::varchar || ':' || b::varchar || ':7'), 1, 12))::bigint / 281474976710656.0::double as u from e),
-w as (select *, case when u < 0.36787944117144233 then 0 when u < 0.7357588823428847 then 1 when u < 0.9196986029286058 then 2 when u < 0.9810118431238462 then 3 when u < 0.9963401531726563 then 4 when u < 0.9994058151824183 then 5 when u < 0.9999167588507119 then 6 else 7 end as w from u),
-l as (select b, (sum(w * y) filter (where top) / (sum(w) filter (where top))::double) / (sum(w * y) / sum(w)::double) as lift from w group by 1)"""
+BOOT = """, e as (select doc_id as k, target as y, score as s, b from scored, (select unnest(generate_series(1, 1000)) as b)),
+x1 as (select *, (k % 2147483647 * 48271 + b * 69621 + 7) % 2147483647 as x from e),
+x2 as (select * exclude (x), ((x * x) % 2147483647 * 48271 + k % 2147483647) % 2147483647 as x from x1),
+x3 as (select * exclude (x), (x * x + b) % 2147483647 as x from x2), x4 as (select * exclude (x), (x * x + 7) % 2147483647 as x from x3),
+w as (select *, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119], lambda p: floor(p::double * 2147483647) <= x)) as w from x4),
+c as (select b, s, sum(w) as n, sum(w * y) as pos from w group by 1, 2 having sum(w) > 0),
+r as (select *, sum(n) over (partition by b order by s) as upto, (sum(n) over (partition by b) - 1) * 0.9::double as place from c),
+g as (select b, min(place) as place, min(s) filter (where upto > floor(place)) as lo, min(s) filter (where upto > ceil(place)) as hi from r group by 1),
+l as (select r.b, (sum(pos) filter (where s >= cut) / (sum(n) filter (where s >= cut))::double) / (sum(pos) / sum(n)::double) as lift
+  from r join (select b, lo + (hi - lo) * (place - floor(place)) as cut from g) g on r.b = g.b group by 1)"""
 
 
 @query("ev_bootstrap", BOOT + " select count(lift) as resamples, round(quantile_cont(lift, 0.025), 6) as low, round(quantile_cont(lift, 0.5), 6) as mid, round(quantile_cont(lift, 0.975), 6) as high, round(avg((lift <= 1)::int), 6) as p_value from l")
 def _(t):
-    return E.bootstrap_lift(t.scored, "target", "score", "doc_id", resamples=50)
+    return E.bootstrap_lift(t.scored, "target", "score", "doc_id")
 
 
 IV = """, b as (select case when amount < 100000 then 0 when amount < 200000 then 1 when amount < 300000 then 2 else 3 end as bin, count(*) as n, sum(target) as pos from outcomes group by 1),

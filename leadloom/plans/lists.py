@@ -35,10 +35,10 @@ info(tier, priority_rank, expected_rate, tier_points, quota, place) as (values
 tir as (select tie.*, priority_rank, expected_rate, tier_points from tie join info using (tier))"""
 
 
-def enriched(t):
+def described(t):
     p = prospects(t).join(t.firms.select("firm_id", "firm_name"), "firm_id", "left")
     low = F.coalesce(F.col("licences").like("%Series 65%") & ~F.col("licences").like("%Series 7%"), F.lit(False))
-    p = p.select(
+    return p.select(
         "*",
         flag_patterns(F.col("firm_name"), ["%7"]).alias("is_wirehouse"),
         (F.col("person_id") % 6 == 0).cast("int").alias("is_cfp"),
@@ -46,17 +46,21 @@ def enriched(t):
         F.coalesce(F.col("title") == "AUTOMOBILE", F.lit(False)).cast("int").alias("is_high_value"),
         (F.col("balance") * 7 - F.floor(F.col("balance") * 7)).alias("model_score"),
     )
-    return W.score_percentile(p, "balance")
+
+
+def enriched(t):
+    """With the percentile of the balance, for what needs it."""
+    return W.score_percentile(described(t), "balance")
 
 
 @query("tier_rules", TIERED + " select person_id, tier, priority_rank, expected_rate, round(expected_rate / 0.025::double, 4) as expected_lift, tier_points from tir")
 def _(t):
-    return T.assign_tier(enriched(t)).select("person_id", "tier", "priority_rank", "expected_rate", "expected_lift", "tier_points")
+    return T.assign_tier(described(t)).select("person_id", "tier", "priority_rank", "expected_rate", "expected_lift", "tier_points")
 
 
 @query("tier_variants", ENRICHED + " select person_id, case when tenure_years between 1 and 4 and net_change < 0 then 'T1' when prior_firms >= 5 then 'T2' when net_change < 0 then 'T3' when experience_years >= 6 then 'T4' else 'STANDARD' end as tier from enr")
 def _(t):
-    return T.assign_tier(enriched(t), T.FOUR_TIERS).select("person_id", "tier")
+    return T.assign_tier(described(t), T.FOUR_TIERS).select("person_id", "tier")
 
 
 UPG = TIERED + ", upg as (select *, case when tier = 'STANDARD' and percentile >= 80 then 'V4_UPGRADE' else tier end as final_tier, case when tier = 'STANDARD' and percentile >= 80 then 0.046::double else expected_rate end as final_rate, (tier = 'STANDARD' and percentile >= 80)::int as is_upgrade from tir)"
@@ -70,7 +74,7 @@ def _(t):
 @query("tier_narrative", TIERED + " select person_id, case tier when 'TIER_2_PROVEN_MOVER' then 'Moved ' || prior_firms || ' times, net change ' || net_change when 'STANDARD' then 'Nothing stands out of ' || prior_firms || ' moves and net change ' || net_change end as narrative from tir")
 def _(t):
     forms = {"TIER_2_PROVEN_MOVER": "Moved %d times, net change %d", "STANDARD": "Nothing stands out of %d moves and net change %d"}
-    return T.narrative(T.assign_tier(enriched(t)), forms, ["prior_firms", "net_change"]).select("person_id", "narrative")
+    return T.narrative(T.assign_tier(described(t)), forms, ["prior_firms", "net_change"]).select("person_id", "narrative")
 
 
 RECORDS = TIERED + """, lst as (select person_id, max(contacted) as last_contact, count(converted) as c, max(source) as src from leads group by 1),
@@ -137,9 +141,9 @@ def _(t):
     return L.enterprise_targets(firms, owners, aum=(1e6, 1e9), min_reps=20).select("firm_id", "owner_id", "match_score")
 
 
-@query("list_dormant", ", r as (select person_id as user_id, title from persons where person_id < 300), l as (select user_id, max(task_date) as last_activity from tasks where event_type in ('click', 'purchase') group by 1) select user_id, title, last_activity, case when last_activity is null then 'never contacted' else 'gone quiet' end as label from r left join l using (user_id) where last_activity is null or date '2024-01-31' - last_activity >= 3")
+@query("list_dormant", ", r as (select person_id as user_id, title from persons), l as (select user_id, max(task_date) as last_activity from tasks where event_type in ('click', 'purchase') group by 1) select user_id, title, last_activity, case when last_activity is null then 'never contacted' else 'gone quiet' end as label from r left join l using (user_id) where last_activity is null or date '2024-01-31' - last_activity >= 3")
 def _(t):
-    people = t.persons.where("person_id < 300").select(F.col("person_id").alias("user_id"), "title")
+    people = t.persons.select(F.col("person_id").alias("user_id"), "title")
     return L.dormant(people, t.tasks, EVENTS_AS_OF, 3, key="user_id", kinds=["click", "purchase"])
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from leadloom.plans.adapters import AS_OF, FIRST
 from leadloom.plans.registry import query
 from leadloom.sources import tables as S
+from leadloom.sources.shared import shared_dir
 
 
 def place(t, name: str) -> str:
     """A fresh folder that all executors share."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/leadloom-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/leadloom-{name}-{uuid.uuid4().hex}"
 
 
 @query("src_table", "select * from supplier")
@@ -66,10 +66,10 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("snk_replace_month", "select firm_id, case when month = date '2000-05-01' then accounts + 1000 else accounts end as accounts, strftime(month, '%Y-%m') as period from snapshots where year(month) = 2000")
+@query("snk_replace_month", "select firm_id, case when month = date '2000-05-01' then accounts + 1000 else accounts end as accounts, strftime(month, '%Y-%m') as period from snapshots")
 def _(t):
     path = place(t, "replace")
-    rows = t.snapshots.where(F.year("month") == 2000).select("firm_id", "accounts", F.date_format("month", "yyyy-MM").alias("period"))
+    rows = t.snapshots.select("firm_id", "accounts", F.date_format("month", "yyyy-MM").alias("period"))
     rows.write.partitionBy("period").parquet(path)
     for _ in range(2):  # running it twice changes nothing
         S.replace_partition(rows.where("period = '2000-05'").withColumn("accounts", F.col("accounts") + 1000), path, "period")
@@ -78,8 +78,9 @@ def _(t):
 
 @query("snk_view", "select region, count(*) as n from firms group by 1")
 def _(t):
-    S.register_view(t.firms, "leadloom_firms")
-    return t.spark.sql("select region, count(*) as n from leadloom_firms group by region")
+    name = f"leadloom_firms_{uuid.uuid4().hex}"  # views are session-wide
+    S.register_view(t.firms, name)
+    return t.spark.sql(f"select region, count(*) as n from {name} group by region")
 
 
 @query("snk_csv", "select lead_id, amount from leads order by amount desc, lead_id limit 100")
