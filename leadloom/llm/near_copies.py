@@ -9,16 +9,17 @@ them all: at 0.8 some 10 of 64 bits differ. So candidates come from two sides:
 * ``BANDS`` bands of ``ROWS`` MinHash values for the others: a pair of similarity
   0.8 shares no band with a probability of 1.2e-7. A sketch of a byte of each
   value drops pairs that agree in fewer than ``AGREE`` of them, which one of
-  similarity 0.8 does with a probability below 1e-11. Four bytes of each band's key
+  similarity 0.8 does with a probability of 1e-6 at most. Four bytes of each band's key
   tell which band a pair shares first.
 
 Every candidate is then checked exactly, on the 64-bit hashes of all shingles.
 
 A bucket of many near-copies gives no pairs of all its members. The rows of all
-buckets are sorted over the tasks, and each meets the ``REACH`` rows behind it;
-smaller buckets are then done. In a larger one whose members still lie in several
-components, those outside its largest one meet all others, in blocks of bounded
-size, so no pair is left out. A pair is told once, in the first band it shares.
+buckets are sorted over the tasks, and each meets the ``REACH`` rows behind it, or
+the next ``FEW`` in a bucket of more; smaller buckets are then done. In a larger one
+whose members still lie in several components, those outside its largest one meet
+all others, in blocks of bounded size and in the first band that a pair shares, so
+no pair is left out.
 
 Defined cases: texts with fewer words than a shingle are one shingle, those
 without words equal one another; rows without an id are no near-copies of any
@@ -37,9 +38,9 @@ from leadloom.llm.common import checkpointed, rows_of, small_batches
 from leadloom.llm.simhash import components, links, majority, shingle_hashes
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
-BANDS, ROWS, AGREE = 40, 5, 115
+BANDS, ROWS, AGREE = 40, 5, 128
 #: Rows of a bucket that each row meets, and rows of a block of a larger bucket.
-REACH, BLOCK = 8, 1000
+REACH, FEW, BLOCK = 8, 2, 1000
 #: Rows up to which a bucket stays in one partition.
 SPREAD = 10_000
 #: Shingles that are hashed by all functions at once.
@@ -99,11 +100,16 @@ def _sketches(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BANDS * (ROWS + 4))
 
 
-def _alike(x: np.ndarray, y: np.ndarray, band: np.ndarray | int) -> np.ndarray:
-    """Which pairs of sketches can reach the similarity and share ``band`` first."""
-    agree, n = (x == y), BANDS * ROWS
-    shared = agree[..., n:].reshape(*agree.shape[:-1], BANDS, 4).all(axis=-1)
-    return (agree[..., :n].sum(axis=-1) >= AGREE) & (shared.argmax(axis=-1) == band)
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches can reach the similarity."""
+    n = BANDS * ROWS
+    return (x[..., :n] == y[..., :n]).sum(axis=-1) >= AGREE
+
+
+def _first(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first band that pairs of sketches share."""
+    shared = (x == y)[..., BANDS * ROWS :]
+    return shared.reshape(*shared.shape[:-1], BANDS, 4).all(axis=-1).argmax(axis=-1)
 
 
 def _sliding(members: DataFrame) -> DataFrame:
@@ -113,15 +119,16 @@ def _sliding(members: DataFrame) -> DataFrame:
         held = None
         for frame in frames:
             rows = frame if held is None else pd.concat([held, frame])
-            key, doc, n, band = (rows[c].to_numpy() for c in ("key", "doc_id", "n", "band"))
+            key, doc, n, size = (rows[c].to_numpy() for c in ("key", "doc_id", "n", "rows"))
             sketch, old, out = _sketches(rows["sketch"]), 0 if held is None else len(held), []
             for lag in range(1, min(REACH, len(rows) - 1) + 1):
                 # pairs whose later row is new
                 i = np.arange(max(0, old - lag), len(rows) - lag)
                 j = i + lag
                 near = (key[i] == key[j]) & (np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j]))
+                near &= (lag <= FEW) | (size[i] <= REACH + 1)
                 i, j = i[near], j[near]
-                near = _alike(sketch[i], sketch[j], band[i])
+                near = _alike(sketch[i], sketch[j])
                 out.append(np.stack([doc[i[near]], doc[j[near]]]))
             if out:
                 a, b = np.concatenate(out, axis=1)
@@ -131,12 +138,13 @@ def _sliding(members: DataFrame) -> DataFrame:
     order = F.xxhash64("doc_id", "key")
     # only a very large bucket is cut where partitions meet; those pairs are left to _apart
     spread = F.when(F.col("rows") > SPREAD, order).otherwise(0)
-    laid = members.select("key", spread.alias("spread"), order.alias("o"), "band", "doc_id", "n", "sketch").repartitionByRange("key", "spread")
+    laid = members.select("key", spread.alias("spread"), order.alias("o"), "rows", "doc_id", "n", "sketch").repartitionByRange("key", "spread")
     return laid.sortWithinPartitions("key", "o").mapInPandas(run, "a long, b long")
 
 
-def _apart(members: DataFrame, hooked: DataFrame) -> DataFrame:
-    """The pairs of larger buckets that lie in different components."""
+def _apart(members: DataFrame, hooked: DataFrame, blocks: int) -> DataFrame:
+    """The pairs of larger buckets that lie in different components: for a document its mates,
+    by the mates' block, so there is no row for each pair."""
     roots = hooked.select(F.col("child").alias("doc_id"), F.col("parent").alias("root"))
     rooted = members.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
@@ -157,41 +165,65 @@ def _apart(members: DataFrame, hooked: DataFrame) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame["query"]], frame[~frame["query"]]
         doc, n, root, asks, sketch = (y[c].to_numpy() for c in ("doc_id", "n", "root", "asks", "sketch"))
-        sketch, out = _sketches(sketch), [np.empty((2, 0), np.int64)]
+        sketch, out = _sketches(sketch), []
         for d, m, r, band, s in zip(x["doc_id"], x["n"], x["root"], x["band"], _sketches(x["sketch"]), strict=True):
             near = np.nonzero((root != r) & (~asks | (doc > d)) & (np.minimum(n, m) >= LEAST * np.maximum(n, m)))[0]
-            near = near[_alike(sketch[near], s, band)]
-            out.append(np.stack([np.full(len(near), d), doc[near]]))
-        a, b = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            near = near[_alike(sketch[near], s)]
+            near = near[_first(sketch[near], s) == band]
+            mates = doc[near]
+            out += [(d, int(k), mates[mates % blocks == k]) for k in np.unique(mates % blocks)]
+        return pd.DataFrame(out, columns=["a", "block", "mates"])
 
-    return asked.unionByName(asking).groupBy("key", "m", "q").applyInPandas(run, "a long, b long")
+    found = asked.unionByName(asking).groupBy("key", "m", "q").applyInPandas(run, "a long, block long, mates array<long>")
+    return found.groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list("mates"))).alias("mates"))
 
 
-def _checked(pairs: DataFrame, source: DataFrame) -> DataFrame:
-    """Those of the pairs whose Jaccard similarity reaches the least."""
+def _settled(asked: DataFrame, sets: DataFrame, blocks: int) -> DataFrame:
+    """The pairs of `_apart` whose similarity reaches the least; each block of mates is one group."""
+    asking = asked.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("a_hashes")), "a")
+    placed = sets.select(F.pmod("doc_id", F.lit(blocks).cast("long")).alias("b_block"), F.col("doc_id").alias("b"), F.col("hashes").alias("b_hashes"))
+    theirs = placed.join(asked.select(F.col("block").alias("b_block")).distinct(), "b_block", "left_semi")
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        known, out = dict(zip(y["b"], y["b_hashes"], strict=True)), []
+        for a, mates, hashes in zip(x["a"], x["mates"], x["a_hashes"], strict=True):
+            out += [(min(a, b), max(a, b)) for b in mates.tolist() if similar(hashes, known[b])]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return checkpointed(asking.groupBy("block").cogroup(theirs.groupBy("b_block")).applyInPandas(run, "a long, b long"))
+
+
+def similar(s: bytes, t: bytes) -> bool:
+    """Whether two sets of shingle hashes reach the similarity."""
+    x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= LEAST * (len(x) + len(y) - both)
+
 
-    def hashed(batches):
+def _hashed(source: DataFrame, needed: DataFrame) -> DataFrame:
+    """doc_id and the hashes of its shingles, for the documents of ``needed``. Rows of one id
+    count as one document: any of them stands for it."""
+
+    def run(batches):
         for rows in batches:
             found = [hashes_of(x)[1].tobytes() for x in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.binary())], ["doc_id", "hashes"])
 
-    def compared(batches):
+    sets = source.join(needed.distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary")
+    return checkpointed(sets.dropDuplicates(["doc_id"]))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs whose Jaccard similarity reaches the least."""
+
+    def run(batches):
         for rows in batches:
-            near = []
-            for s, t in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= LEAST * (len(x) + len(y) - both))
+            near = [similar(s, t) for s, t in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # rows of one id count as one document: any of them stands for it
-    sets = source.join(needed, "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
-    sets = checkpointed(sets)
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_hashes", "b_hashes")
-    return checkpointed(both.mapInArrow(compared, "a long, b long"))
+    return checkpointed(both.mapInArrow(run, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", budget: int = 3) -> DataFrame:
@@ -212,13 +244,14 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     members = checkpointed(banded.join(shared, "key").join(signed.select("doc_id", "n", "sketch"), "doc_id"))
 
+    close = checkpointed(close)
+    sets = _hashed(source, members.select("doc_id").unionByName(close.select(F.explode(F.array("a", "b")).alias("doc_id"))))
     pairs = checkpointed(_sliding(members).unionByName(close).distinct())
-    found = _checked(pairs, source)
+    found = _checked(pairs, sets)
     hooked = components(found)
-    left = checkpointed(_apart(members, hooked).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if left.isEmpty():
-        return hooked
-    return components(found.unionByName(_checked(left, source)))
+    blocks = -(-sets.count() // BLOCK) or 1
+    more = _settled(_apart(members, hooked, blocks), sets, blocks)
+    return hooked if more.isEmpty() else components(found.unionByName(more))
 
 
 def keep_one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
