@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import edit_ratio, extract_all, similarity
+from leadloom.functions.text import extract_all, similarity
+from leadloom.sources.shared import checkpointed
 
 # Confidence of each match tier and the review margins.
 EXACT, NORMALISED, BASE, FUZZY_LEAST, REVIEW_BELOW, MARGIN = 1.0, 0.95, 0.85, 0.60, 0.90, 0.05
+#: Rows that share a block key at most, and characters of a stretch.
+MOST, GRAM = 50, 4
 LEGAL = r"\s+(llc|l l c|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|llp|plc)$"
 FORMER = r"(?i)\(?\b(?:f/k/a|fka|formerly)\s+([^;,()]+)"
 TRADING = r"(?i)\(?\b(?:d/b/a|dba)\s+([^;,()]+)"
@@ -53,45 +56,126 @@ def variants(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode(items).alias("v")).select(key, "v.*").where("variant <> ''")
 
 
+def column_variants(df: DataFrame, key: str, name: str, former: str, dba: str) -> DataFrame:
+    """As `variants`, where former and trading names are lists in a string, parted by commas."""
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    split = df.select(key, F.trim(name).alias("main_name"), listed(former).alias("former_names"), listed(dba).alias("dbas"))
+    return variants(split, key)
+
+
 def block(col: Column, strategy: str = "first") -> Column:
     name = normalise(col)
     return {"first": F.substring(name, 1, 1), "first2": F.substring(name, 1, 2), "token": F.split_part(name, F.lit(" "), F.lit(1))}[strategy]
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, name: str, right_name: str, strategy: str = "token") -> DataFrame:
-    """Candidates within a block: an equi-join on the block key."""
+def _tokens(name: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(normalise(name), " "), lambda t: t != ""))
+
+
+def _grams(name: Column) -> Column:
+    """Stretches of ``GRAM`` characters with their place, counted from the start and from the end."""
+    norm = normalise(name)
+    n = F.length(norm)
+    at = lambda i: F.substr(norm, i, F.lit(GRAM))
+    places = F.when(n >= GRAM, F.sequence(F.lit(1), n - GRAM + 1)).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.transform(places, lambda i: F.concat_ws(":", F.lit("s"), i, at(i))), F.transform(places, lambda i: F.concat_ws(":", F.lit("e"), n - i, at(i))))
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: Callable[[Column], Column], most: int) -> DataFrame:
+    """Distinct pairs (l, r) that share a key which at most ``most`` rows of either side have."""
+    a, b = (x.select(F.col(c), F.explode(keys(F.col("name"))).alias("k")) for x, c in ((left, "l"), (right, "r")))
+    few = lambda x: x.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("k")
+    rare = few(b).join(few(a), "k")
+    return a.join(rare, "k").join(b, "k").select("l", "r").distinct()
+
+
+def rare_pairs(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFrame:
+    """Pairs (l, r) of (l, name) and (r, name) that share a rare token; a left row without any
+    is tried by rare stretches of characters. Keys of more than ``most`` rows tell nothing apart
+    and are not paired, so the pairs grow with the rows, not with the square of a common word."""
+    by_token = _meet(left, right, _tokens, most)
+    rest = left.join(by_token.select("l").distinct(), "l", "left_anti")
+    return by_token.unionByName(_meet(rest, right, _grams, most))
+
+
+def blocked_pairs(left: DataFrame, right: DataFrame, name: str, right_name: str, strategy: str = "rare", *, key: str = "id", right_key: str = "right_id", most: int = MOST) -> DataFrame:
+    """Candidates: by rare tokens and stretches ('rare'), an equi-join on one block key ('first',
+    'first2', 'token'), or 'hybrid': by first character, those left by first token, and those
+    left by rare keys. Keys name rows; one block key pairs all its rows, so it suits short lists."""
+    if strategy == "rare":
+        pairs = rare_pairs(left.select(F.col(key).alias("l"), F.col(name).alias("name")), right.select(F.col(right_key).alias("r"), F.col(right_name).alias("name")), most)
+        return left.join(pairs.withColumnRenamed("l", key), key).join(right.withColumnRenamed(right_key, "r"), "r").withColumnRenamed("r", right_key)
+    if strategy == "hybrid":
+        first = blocked_pairs(left, right, name, right_name, "first")
+        rest = left.join(first.select(key).distinct(), key, "left_anti")
+        second = blocked_pairs(rest, right, name, right_name, "token")
+        rest = rest.join(second.select(key).distinct(), key, "left_anti")
+        third = blocked_pairs(rest, right, name, right_name, "rare", key=key, right_key=right_key, most=most)
+        columns = [*left.columns, *right.columns]
+        return first.select(columns).unionByName(second.select(columns)).unionByName(third.select(columns))
     a = left.withColumn("_block", block(F.col(name), strategy))
     b = right.withColumn("_block", block(F.col(right_name), strategy))
     return a.join(b, "_block").drop("_block")
 
 
-def tier_match(left: DataFrame, right: DataFrame, *, key: str = "id", name: str = "name", right_key: str = "right_id", right_name: str = "right_name", strategy: str = "token", threshold: float = FUZZY_LEAST) -> DataFrame:
-    """The best match of each left row: exact, normalised, base name, else fuzzy in its block.
+KINDS = ("firm", "former", "dba")
+
+
+def tier_match(names: DataFrame, right: DataFrame, *, key: str = "id", right_key: str = "right_id", right_name: str = "right_name", threshold: float = FUZZY_LEAST, most: int = MOST) -> DataFrame:
+    """The best match of each key over its names (key, kind, variant; see `variants`): exact,
+    normalised, base name, else fuzzy among `rare_pairs`.
 
-    Each tier takes what the earlier ones left; of equals the smaller right key wins.
-    Rows without a match keep nulls and confidence 0.
+    Fuzzy matching takes the keys that no earlier tier matched. The highest confidence wins;
+    of equals the earlier tier, then the firm's name before a former before a trading name,
+    then the smaller right key. Keys without a match keep nulls and confidence 0.
     """
-    rest, found = left, None
-    forms = (("exact", EXACT, F.trim), ("normalised", NORMALISED, normalise), ("base", BASE, base_name))
-    for tier, confidence, form in forms:
-        b = right.groupBy(form(F.col(right_name)).alias("_k")).agg(F.min(F.struct(right_key, right_name)).alias("_m"))
-        hit = rest.join(b, form(F.col(name)) == F.col("_k")).select(*left.columns, F.col("_m")[right_key].alias(right_key), F.col("_m")[right_name].alias(right_name), F.lit(tier).alias("tier"), F.lit(confidence).alias("confidence"))
+    left = checkpointed(names.select(F.col(key).alias("_id"), "kind", "variant").distinct())
+    told = checkpointed(right.select(F.col(right_key).alias("_r"), F.col(right_name).alias("_n"), F.trim(right_name).alias("exact"), normalise(F.col(right_name)).alias("normalised"), base_name(F.col(right_name)).alias("base")))
+    forms = left.select("*", F.trim("variant").alias("exact"), normalise(F.col("variant")).alias("normalised"), base_name(F.col("variant")).alias("base"))
+    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    place = lambda tier: F.struct((-F.col("confidence")).alias("c"), F.lit(tier).alias("t"), order.alias("o"), F.col("_r").alias("r"))
+    found = None
+    for tier, (form, confidence) in enumerate((("exact", EXACT), ("normalised", NORMALISED), ("base", BASE))):
+        by = told.where(F.col(form) != "").groupBy(F.col(form).alias("_k")).agg(F.min("_r").alias("_r"))
+        hit = forms.join(by, F.col(form) == F.col("_k")).withColumn("confidence", F.lit(confidence)).select("_id", "kind", "_r", F.lit(form).alias("tier"), "confidence", place(tier).alias("_o"))
         found = hit if found is None else found.unionByName(hit)
-        rest = rest.join(right.select(form(F.col(right_name)).alias("_k")).distinct(), form(F.col(name)) == F.col("_k"), "left_anti")
-    close = similarity(normalise(F.col(name)), normalise(F.col(right_name)), "max")
-    pairs = blocked_pairs(rest, right, name, right_name, strategy).withColumn("confidence", F.round(close, 6)).where(F.col("confidence") >= threshold)
-    best = pairs.groupBy(*left.columns).agg(F.max_by(F.struct(right_key, right_name, "confidence"), F.struct("confidence", F.col(right_key))).alias("_m"))
-    fuzzy = best.select(*left.columns, F.col("_m")[right_key].alias(right_key), F.col("_m")[right_name].alias(right_name), F.lit("fuzzy").alias("tier"), F.col("_m.confidence").alias("confidence"))
-    matched = found.unionByName(fuzzy)
-    none = left.join(matched.select(key), key, "left_anti")
-    return matched.unionByName(none.select(*left.columns, F.lit(None).cast("string").alias(right_key), F.lit(None).cast("string").alias(right_name), F.lit("none").alias("tier"), F.lit(0.0).alias("confidence")))
-
-
-def ranked_candidates(left: DataFrame, right: DataFrame, k: int, *, key: str = "id", name: str = "name", right_key: str = "right_id", right_name: str = "right_name", strategy: str = "token") -> DataFrame:
-    """The k closest candidates of each name within its block."""
-    close = F.round(edit_ratio(normalise(F.col(name)), normalise(F.col(right_name))), 6)
-    pairs = blocked_pairs(left, right, name, right_name, strategy).select(key, right_key, close.alias("confidence"))
+    found = checkpointed(found)
+    rest = left.join(found.select("_id").distinct(), "_id", "left_anti")
+    texts = checkpointed(rest.select(F.concat_ws("\x1f", F.col("_id").cast("string"), "kind", "variant").alias("l"), "_id", "kind", F.col("variant").alias("name")))
+    pairs = rare_pairs(texts.select("l", "name"), told.select(F.col("_r").alias("r"), F.col("_n").alias("name")), most)
+    both = texts.join(pairs, "l").join(told.select(F.col("_r"), "normalised"), F.col("r") == F.col("_r"))
+    scored = both.select("_id", "kind", "_r", F.lit("fuzzy").alias("tier"), F.round(similarity(normalise(F.col("name")), F.col("normalised"), "max"), 6).alias("confidence"))
+    fuzzy = scored.where(F.col("confidence") >= threshold).withColumn("_o", place(3))
+    best = found.unionByName(fuzzy).groupBy("_id").agg(F.min_by(F.struct("_r", "tier", "confidence", "kind"), "_o").alias("m"))
+    every = left.select("_id").distinct().join(best, "_id", "left").join(told.select("_r", "_n"), F.col("m._r") == F.col("_r"), "left")
+    return every.select(
+        F.col("_id").alias(key), F.col("m._r").alias(right_key), F.col("_n").alias(right_name), F.coalesce("m.tier", F.lit("none")).alias("tier"),
+        F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"), F.col("m.kind").alias("matched_on"),
+    )
+
+
+def with_overrides(matches: DataFrame, overrides: DataFrame, key: str = "id") -> DataFrame:
+    """Manual matches (key, right_id) come first, with confidence 1; whether a person must look:
+    at no match, and at a fuzzy one below the review margin."""
+    o = overrides.select(key, F.col("right_id").alias("_o"))
+    manual = F.col("_o").isNotNull()
+    tier = F.when(manual, "manual").otherwise(F.col("tier"))
+    look = ~manual & (F.col("right_id").isNull() | ((F.col("tier") == "fuzzy") & (F.col("confidence") < REVIEW_BELOW)))
+    return matches.join(o, key, "left").select(
+        key, F.coalesce("_o", "right_id").alias("right_id"), tier.alias("tier"), F.when(manual, F.lit(1.0)).otherwise(F.col("confidence")).alias("confidence"), look.alias("needs_review")
+    )
+
+
+def scored_candidates(left: DataFrame, right: DataFrame, *, key: str = "id", name: str = "name", right_key: str = "right_id", right_name: str = "right_name", strategy: str = "rare", most: int = MOST) -> DataFrame:
+    """All candidates of each name with their similarity."""
+    pairs = blocked_pairs(left.select(key, name), right.select(right_key, right_name), name, right_name, strategy, key=key, right_key=right_key, most=most)
+    return pairs.select(key, right_key, F.round(similarity(normalise(F.col(name)), normalise(F.col(right_name)), "max"), 6).alias("confidence"))
+
+
+def ranked_candidates(left: DataFrame, right: DataFrame, k: int, *, key: str = "id", right_key: str = "right_id", **options) -> DataFrame:
+    """The k closest candidates of each name."""
     w = Window.partitionBy(key).orderBy(F.desc("confidence"), right_key)
+    pairs = scored_candidates(left, right, key=key, right_key=right_key, **options)
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 

@@ -107,10 +107,11 @@ class Tables:
 
     @cached_property
     def names(self) -> DataFrame:
-        """Left names for entity resolution: firms and part names."""
+        """Left names for entity resolution: firms, customers and part names."""
+        people = self.raw("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
         firms = self.raw("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"))
         parts = self.raw("part").groupBy(F.col("p_name").alias("name")).agg(F.concat(F.lit("p"), F.min("p_partkey").cast("string")).alias("id"))
-        return firms.unionByName(parts)
+        return firms.unionByName(people).unionByName(parts)
 
     @cached_property
     def edited_names(self) -> DataFrame:
@@ -165,6 +166,7 @@ scored as (
   from labels join documents using (doc_id)),
 names as (
   select 's' || s_suppkey as id, s_name as name from supplier
+  union all select 'c' || c_custkey, c_name from customer
   union all select 'p' || min(p_partkey) as id, p_name as name from part group by p_name),
 edited_names as (
   select 'r' || id as right_id,

@@ -9,6 +9,7 @@ from leadloom.functions import numbers as N
 from leadloom.functions import text as X
 from leadloom.operators import filters as O
 from leadloom.plans.adapters import AS_OF
+from leadloom.plans.alike import alike
 from leadloom.plans.registry import query
 
 
@@ -252,14 +253,11 @@ def _(t):
     return t.leads.select("lead_id", D.gap_label(D.day_diff(F.col("converted"), F.col("contacted"))).alias("label"))
 
 
-@query("fn_string_similarity", """, p as (select distinct p_name as a, p_type || ' ' || split_part(p_name, ' ', 1) as b from part)
-select a, b, round(1 - levenshtein(lower(a), lower(b)) / greatest(length(a), length(b))::double, 6) as ratio,
-       round(len(list_intersect(list_distinct(string_split(lower(a), ' ')), list_distinct(string_split(lower(b), ' '))))
-             / len(list_distinct(list_concat(string_split(lower(a), ' '), string_split(lower(b), ' '))))::double, 6) as token_set,
-       round(1 - levenshtein(array_to_string(list_sort(string_split(lower(a), ' ')), ' '), array_to_string(list_sort(string_split(lower(b), ' ')), ' '))
-             / greatest(length(a), length(b))::double, 6) as token_sort
-from p""")
+MODES = ("ratio", "token_sort", "token_set", "partial")
+
+
+@query("fn_string_similarity", ", pr as (select distinct lower(p_name) as nrm, lower(p_type || ' ' || split_part(p_name, ' ', 1)) as rn from part)" + alike("pr", "p") + f" select nrm as a, rn as b, {', '.join(f'round({m}, 6) as {m}' for m in MODES)}, confidence as most from p")
 def _(t):
-    p = t.raw("part").select(F.col("p_name").alias("a"), F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1))).alias("b")).distinct()
+    p = t.raw("part").select(F.lower("p_name").alias("a"), F.lower(F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("b")).distinct()
     a, b = F.col("a"), F.col("b")
-    return p.select("a", "b", *[F.round(X.similarity(a, b, m), 6).alias(m) for m in ("ratio", "token_set", "token_sort")])
+    return p.select("a", "b", *[F.round(X.similarity(a, b, m), 6).alias(m) for m in MODES], F.round(X.similarity(a, b, "max"), 6).alias("most"))

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from leadloom.operators import gates as G
 from leadloom.operators import resolution as R
+from leadloom.plans.alike import alike, norm, rare
 from leadloom.plans.joins import ASOF, _asof
 from leadloom.plans.registry import query
+from leadloom.sources.shared import checkpointed
 
 
 def _noted(t):
@@ -45,21 +47,21 @@ def _(t):
     return R.variants(R.parse_names(_noted(t), "noted"), "id")
 
 
-NORM = ", l as (select id, name, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as nrm from names), r as (select right_id, right_name, trim(regexp_replace(regexp_replace(lower(right_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as rn from edited_names)"
+SIDES = ", ln as (select id as l, name from names), rn0 as (select right_id as r, right_name as name from edited_names)" + rare("ln", "rn0")
 
 
-@query("er_block", NORM + " select id, right_id from l join r on substr(nrm, 1, 2) = substr(rn, 1, 2)")
+@query("er_block", SIDES + " select l as id, r as right_id from rare")
 def _(t):
-    return R.blocked_pairs(t.names, t.edited_names, "name", "right_name", "first2").select("id", "right_id")
+    return R.blocked_pairs(t.names, t.edited_names, "name", "right_name").select("id", "right_id")
 
 
-CANDS = NORM + """, p as (select id, right_id, round(1 - levenshtein(nrm, rn) / greatest(length(nrm), length(rn))::double, 6) as confidence from l join r on split_part(nrm, ' ', 1) = split_part(rn, ' ', 1)),
-k as (select *, row_number() over (partition by id order by confidence desc, right_id) as place from p)"""
+CANDS = SIDES + f", pr as (select l as id, r as right_id, {norm('ln.name')} as nrm, {norm('rn0.name')} as rn from rare join ln using (l) join rn0 using (r))" + alike("pr", "p") + """,
+k as (select id, right_id, confidence, row_number() over (partition by id order by confidence desc, right_id) as place from p)"""
 
 
 @query("er_fuzzy", CANDS + " select id, right_id, confidence from p")
 def _(t):
-    return R.ranked_candidates(t.names, t.edited_names, 1 << 30).select("id", "right_id", "confidence")
+    return R.scored_candidates(t.names, t.edited_names)
 
 
 @query("er_workbench", CANDS + " select * from k where place <= 5")
@@ -72,33 +74,45 @@ def _(t):
     return R.ambiguity(R.ranked_candidates(t.names, t.edited_names, 2))
 
 
-MATCH = """, l as (select id, name, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as nrm from names), r as (select right_id, right_name, trim(regexp_replace(regexp_replace(lower(right_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as rn from edited_names),
-lb as (select *, regexp_replace(nrm, '\\s+(llc|l l c|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|llp|plc)$', '') as lbase from l), rb as (select *, regexp_replace(rn, '\\s+(llc|l l c|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|llp|plc)$', '') as rbase from r),
-pr as (select l.id, r.right_id, case when trim(name) = trim(right_name) then 1.0::double when nrm = rn then 0.95 when lbase = rbase then 0.85 when split_part(nrm, ' ', 1) = split_part(rn, ' ', 1) then
-    round(greatest(1 - levenshtein(nrm, rn) / greatest(length(nrm), length(rn))::double,
-      1 - levenshtein(array_to_string(list_sort(string_split(nrm, ' ')), ' '), array_to_string(list_sort(string_split(rn, ' ')), ' ')) / greatest(length(nrm), length(rn))::double,
-      len(list_intersect(list_distinct(string_split(nrm, ' ')), list_distinct(string_split(rn, ' ')))) / len(list_distinct(list_concat(string_split(nrm, ' '), string_split(rn, ' '))))::double), 6) end as confidence,
-  case when trim(name) = trim(right_name) then 1 when nrm = rn then 2 when lbase = rbase then 3 else 4 end as ord from lb l join rb r on trim(name) = trim(right_name) or nrm = rn or lbase = rbase or split_part(nrm, ' ', 1) = split_part(rn, ' ', 1)),
-ok as (select * from pr where ord < 4 or confidence >= 0.6),
-rk as (select *, row_number() over (partition by id order by ord, confidence desc, case when ord < 4 then right_id end, case when ord = 4 then right_id end desc) as k from ok),
-mt as (select l.id, right_id, case ord when 1 then 'exact' when 2 then 'normalised' when 3 then 'base' when 4 then 'fuzzy' else 'none' end as tier, coalesce(confidence, 0) as confidence from l left join rk on rk.id = l.id and k = 1)"""
+LEGAL = r"'\s+(llc|l l c|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|llp|plc)$'"
+MATCH = NOTED + f""", vs as (select id, 'firm' as kind, 1 as o, name as variant from nn union all select id, 'former', 2, 'Old ' || name from nn where n % 3 = 0 union all select id, 'dba', 3, 'Shop ' || n from nn where n % 3 = 1),
+lf as (select *, {norm('variant')} as nrm from vs), rf as (select right_id as r, right_name as name, {norm('right_name')} as rn from edited_names),
+lb as (select *, trim(variant) as ex, regexp_replace(nrm, {LEGAL}, '') as base from lf), rb as (select *, trim(name) as ex, regexp_replace(rn, {LEGAL}, '') as base from rf),
+hits as (
+  select id, kind, o, r, 'exact' as tier, 0 as t, 1.0::double as confidence from lb join (select ex, min(r) as r from rb where ex <> '' group by 1) using (ex)
+  union all select id, kind, o, r, 'normalised', 1, 0.95 from lb join (select rn, min(r) as r from rb where rn <> '' group by 1) x on lb.nrm = x.rn
+  union all select id, kind, o, r, 'base', 2, 0.85 from lb join (select base, min(r) as r from rb where base <> '' group by 1) using (base)),
+tx as (select id || chr(31) || kind || chr(31) || variant as l, id, kind, o, nrm, variant as name from lf where id not in (select id from hits))""" + rare("tx", "rf") + """,
+pr as (select tx.id, tx.kind, tx.o, rf.r, tx.nrm, rf.rn from rare join tx using (l) join rf using (r))""" + alike("pr", "p") + """,
+ok as (select * from hits union all select id, kind, o, r, 'fuzzy', 3, confidence from p where confidence >= 0.6),
+rk as (select *, row_number() over (partition by id order by confidence desc, t, o, r) as place from ok),
+mt as (select n.id, rk.r as right_id, coalesce(tier, 'none') as tier, coalesce(confidence, 0) as confidence, kind as matched_on from names n left join rk on rk.id = n.id and place = 1)"""
+
+
+def _matched(t):
+    return R.tier_match(R.variants(R.parse_names(_noted(t), "noted"), "id"), t.edited_names)
 
 
 @query("er_tier_match", MATCH + " select * from mt")
 def _(t):
-    return R.tier_match(t.names, t.edited_names).select("id", "right_id", "tier", "confidence")
+    return _matched(t).select("id", "right_id", "tier", "confidence", "matched_on")
+
+
+@query("er_override", MATCH + ", o as (select id, 'manual' as mr from names where id like 's1%') select mt.id, coalesce(mr, right_id) as right_id, case when mr is not null then 'manual' else tier end as tier, case when mr is not null then 1.0::double else confidence end as confidence, mr is null and (right_id is null or (tier = 'fuzzy' and confidence < 0.9)) as needs_review from mt left join o using (id)")
+def _(t):
+    return R.with_overrides(_matched(t), t.names.where("id like 's1%'").select("id", F.lit("manual").alias("right_id")))
 
 
 @query("er_protect", MATCH + ", e as (select id, right_id as er from mt where confidence >= 0.95 or tier in ('exact', 'manual')), o as (select id, 'manual' as mr from names where id like 's1%') select mt.id, coalesce(mr, er, right_id) as right_id, case when mr is not null then 'manual' when er is not null then 'kept' else 'new' end as source from mt left join o using (id) left join e using (id)")
 def _(t):
-    found = R.tier_match(t.names, t.edited_names)
+    found = checkpointed(_matched(t))
     overrides = t.names.where("id like 's1%'").select("id", F.lit("manual").alias("right_id"))
     return R.protect(found, found, overrides)
 
 
 @query("er_eval", MATCH + ", a as (select id, case when tier in ('exact', 'normalised') then right_id end as a from mt), j as (select id, a, right_id as b from a join mt using (id)) select count(*) as n, round(avg((a is not null)::int), 6) as rate_before, round(avg((b is not null)::int), 6) as rate_after, count(*) filter (where b is not null and a is null) as newly_matched, count(*) filter (where a <> b) as changed, count(*) filter (where a is not null and b is null) as lost from j")
 def _(t):
-    after = R.tier_match(t.names, t.edited_names)
+    after = checkpointed(_matched(t))
     before = after.withColumn("right_id", F.when(F.col("tier").isin("exact", "normalised"), F.col("right_id")))
     return R.compare_runs(before, after)
 

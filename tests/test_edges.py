@@ -88,12 +88,87 @@ def test_names(spark):
     assert (got.main_name, got.former_names, got.dbas) == ("Acme & Co", ["Old Acme"], ["Shop One"])
     assert one(spark, resolution.normalise(F.lit("A & B, LLC (see note 3)"), cleanup=True)) == "a and b llc"
     assert one(spark, resolution.base_name(F.lit("A-B, L.L.C."))) == "a b"
-    left = spark.createDataFrame([("l", "Acme")], "id string, name string")
+    left = spark.createDataFrame([("l", "firm", "Acme")], "id string, kind string, variant string")
     right = spark.createDataFrame([("r1", "ACME!"), ("r2", "acme")], "right_id string, right_name string")
     got = resolution.tier_match(left, right).first()
     assert (got.right_id, got.tier) == ("r1", "normalised")
 
 
+def test_similarity_modes(spark):
+    s = lambda a, b, m: one(spark, text.similarity(F.lit(a), F.lit(b), m))
+    long, short = "morgan stanley wealth management", "morgan stanley"
+    assert s(short, long, "partial") == s(long, short, "partial") == 1.0 and s(short, long, "ratio") < 0.5
+    assert s(short, long, "token_set") == 1.0 and s("a b", "c d", "token_set") < 1
+    assert s("Morgan Stanley Wealth Management", "Wealth Management Morgan Stanley", "token_sort") == 1.0
+    assert s("", "", "max") == 1.0 and s("", "x", "partial") == 0.0 and s(None, "x", "max") == s(None, "x", "ratio") == 0.0
+
+
+def test_match_over_variants(spark):
+    """The best of the main, former and trading names, and which it was; of equals the smaller key."""
+    rows = [(1, "Current Name LLC", "Old Name Inc, Previous Name Corp", "DBA Name"), (2, "Unknown Firm Name", None, "Known DBA Name"), (3, "Nothing Alike", "", "")]
+    found = resolution.column_variants(spark.createDataFrame(rows, "id int, firm string, former string, dbas string"), "id", "firm", "former", "dbas")
+    assert {(r.kind, r.variant) for r in found.where("id = 1").collect()} == {("firm", "Current Name LLC"), ("former", "Old Name Inc"), ("former", "Previous Name Corp"), ("dba", "DBA Name")}
+    right = spark.createDataFrame([("r2", "Known DBA Name LLC"), ("r1", "Known DBA Name Inc"), ("r3", "Zyx")], "right_id string, right_name string")
+    got = {r.id: r for r in resolution.tier_match(found, right).collect()}
+    assert (got[2].right_id, got[2].tier, got[2].matched_on) == ("r1", "base", "dba")
+    assert (got[3].right_id, got[3].tier, got[3].confidence) == (None, "none", 0.0)
+    over = spark.createDataFrame([(3, "by hand")], "id int, right_id string")
+    final = {r.id: (r.right_id, r.tier, r.confidence, r.needs_review) for r in resolution.with_overrides(resolution.tier_match(found, right), over).collect()}
+    assert final[3] == ("by hand", "manual", 1.0, False) and final[2][3] is False
+
+
+def test_fuzzy_ties_take_the_smaller_key_and_swapped_tokens_meet(spark):
+    left = spark.createDataFrame([("l", "firm", "gear hot")], "id string, kind string, variant string")
+    right = spark.createDataFrame([("r9", "hot gear"), ("r3", "Hot Gear"), ("r1", "hot pan")], "right_id string, right_name string")
+    got = resolution.tier_match(left, right).first()
+    assert (got.right_id, got.tier, got.confidence) == ("r3", "fuzzy", 1.0)
+
+
+def test_blocks(spark):
+    left = spark.createDataFrame([("a", "apple pie"), ("b", "zeta one"), ("c", "customer 000000014")], "id string, name string")
+    names = ["apple inc", "banana corp", "apricot llc", "customer 000000014x", *[f"customer {i:09d}y" for i in range(100, 160)]]
+    right = spark.createDataFrame([(f"r{i}", n) for i, n in enumerate(names)], "right_id string, right_name string")
+    pairs = lambda s: {(r.id, r.right_id) for r in resolution.blocked_pairs(left, right, "name", "right_name", s).collect()}
+    assert {("a", "r0"), ("a", "r2")} <= pairs("first") and ("a", "r2") not in pairs("token")
+    assert pairs("rare") == {("a", "r0"), ("c", "r3")}  # a common word pairs nothing; a changed one is found by its stretches
+    hybrid = pairs("hybrid")
+    assert ("a", "r2") in hybrid and not any(x == "b" for x, _ in hybrid)
+
+
+def test_numbers_and_sums_in_parts(spark):
+    """One order over all shuffle partitions: ties are split, groups and nulls keep their place."""
+    rows = [(i, None if i % 50 == 0 else i % 7, f"g{i % 3}" if i % 11 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i long, v int, g string")
+    got = windows.positioned(df, "v", [F.col("i")]).collect()
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert {r.i: r._pos for r in got} == {r[0]: k + 1 for k, r in enumerate(order)} and {r._n for r in got} == {1000}
+    got = windows.numbered(df, [F.col("i").desc()], "k", groups=["g"], total="n").collect()
+    for g in ("g0", "g1", "g2", None):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.k)
+        assert [r.k for r in mine] == list(range(1, len(mine) + 1)) and [r.i for r in mine] == sorted((r.i for r in mine), reverse=True)
+    quarters = windows.quantile_values(df.withColumn("w", F.col("i") * 1.5), "w", {"q": 0.25, "m": 0.5}, ["g"]).collect()
+    want = {r.g: (r.q, r.m) for r in df.groupBy("g").agg(F.percentile(F.col("i") * 1.5, F.lit(0.25)).alias("q"), F.percentile(F.col("i") * 1.5, F.lit(0.5)).alias("m")).collect()}
+    assert {r.g: (r.q, r.m) for r in quarters} == want
+
+
+def test_headcount_of_overlapping_spells(spark):
+    d = lambda m, day=1: date(2020, m, day)
+    rows = [(1, 9, d(1), d(3)), (1, 9, d(2), d(5)), (2, 9, d(4), None), (3, 9, d(5, 2), d(5, 2)), (None, 9, d(1), None)]
+    hist = spark.createDataFrame(rows, "person_id long, firm_id long, start_date date, end_date date")
+    at = spark.createDataFrame([(9, x) for x in (date(2019, 1, 1), d(1), d(4), d(5), d(5, 2), d(6))] + [(8, d(1))], "firm_id long, at_date date")
+    got = {(r.firm_id, r.at_date): r.headcount for r in aggregates.headcount_at(hist, at).collect()}
+    assert got == {(9, date(2019, 1, 1)): 0, (9, d(1)): 1, (9, d(4)): 2, (9, d(5)): 2, (9, d(5, 2)): 2, (9, d(6)): 1, (8, d(1)): 0}
+
+
+def test_fisher_on_large_counts(spark):
+    rows = [("a", 1, 600_000), ("a", 0, 400_000), ("b", 1, 599_000), ("b", 0, 401_000)]
+    counts = spark.createDataFrame(rows, "g string, y int, n long")
+    df = counts.select("g", "y", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_")).drop("_")
+    got = evaluation.fisher(df, "g", "y", "a", "b").first()
+    assert 0.07 < got.p_value < 0.08  # the normal approximation gives 0.0745
+    assert evaluation.fisher(df, "g", "y", "b", "a").first().p_value > 0.92
+
+
 def test_changes(spark):
     cols = "key int, name string, brand string"
     old = spark.createDataFrame([(1, "a", None), (2, "b", ""), (3, "c", "x")], cols)
