@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS = 4000
+BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
 
 

@@ -40,7 +40,7 @@ DOCS, DOC_CHARS, CHARS, ALL_CHARS = 64, 1000, 24_000, 240_000
 SMALL_COUNTS = 10_000
 TABLE_CELLS = 16 << 20
 #: Characters of text in a slice of a batch, and in a stretch.
-SLICE_CHARS, STRETCH = 6 << 20, 4096
+SLICE_CHARS, STRETCH = 3 << 20, 4096
 
 
 class SuffixAutomaton:

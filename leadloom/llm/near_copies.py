@@ -7,9 +7,9 @@ them all: at 0.8 some 10 of 64 bits differ. So candidates come from two sides:
 * the SimHash trie self-join (`simhash.links`) over fingerprints of five-word
   shingles, which finds the close ones;
 * ``BANDS`` bands of ``ROWS`` MinHash values for the others: a pair of similarity
-  0.8 shares no band with a probability of 1.2e-7. A sketch of a byte of each
+  0.8 shares no band with a probability of 3e-6. A sketch of a byte of each
   value drops pairs that agree in fewer than ``AGREE`` of them, which one of
-  similarity 0.8 does with a probability of 1e-6 at most. Four bytes of each band's key
+  similarity 0.8 does with a probability of some 2e-6. Four bytes of each band's key
   tell which band a pair shares first.
 
 Every candidate is then checked exactly, on the 64-bit hashes of all shingles.
@@ -38,7 +38,7 @@ from leadloom.llm.common import checkpointed, rows_of, small_batches
 from leadloom.llm.simhash import components, links, majority, shingle_hashes
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
-BANDS, ROWS, AGREE = 40, 5, 128
+BANDS, ROWS, AGREE = 32, 5, 102
 #: Rows of a bucket that each row meets, and rows of a block of a larger bucket.
 REACH, FEW, BLOCK = 8, 2, 1000
 #: Rows up to which a bucket stays in one partition.
@@ -178,8 +178,15 @@ def _apart(members: DataFrame, hooked: DataFrame, blocks: int) -> DataFrame:
     return found.groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list("mates"))).alias("mates"))
 
 
+def _by_block(pairs: DataFrame, blocks: int) -> DataFrame:
+    """Pairs as a document's mates in each block."""
+    block = F.pmod("b", F.lit(blocks).cast("long"))
+    return pairs.where("a <> b").groupBy("a", block.alias("block")).agg(F.collect_set("b").alias("mates"))
+
+
 def _settled(asked: DataFrame, sets: DataFrame, blocks: int) -> DataFrame:
-    """The pairs of `_apart` whose similarity reaches the least; each block of mates is one group."""
+    """The pairs whose similarity reaches the least. A block of mates is one group, so a
+    document's hashes travel once for each block that it asks, not once for each pair."""
     asking = asked.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("a_hashes")), "a")
     placed = sets.select(F.pmod("doc_id", F.lit(blocks).cast("long")).alias("b_block"), F.col("doc_id").alias("b"), F.col("hashes").alias("b_hashes"))
     theirs = placed.join(asked.select(F.col("block").alias("b_block")).distinct(), "b_block", "left_semi")
@@ -213,19 +220,6 @@ def _hashed(source: DataFrame, needed: DataFrame) -> DataFrame:
     return checkpointed(sets.dropDuplicates(["doc_id"]))
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs whose Jaccard similarity reaches the least."""
-
-    def run(batches):
-        for rows in batches:
-            near = [similar(s, t) for s, t in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_hashes", "b_hashes")
-    return checkpointed(both.mapInArrow(run, "a long, b long"))
-
-
 def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", budget: int = 3) -> DataFrame:
     """(child, parent): each document with a smaller one in its component, and the smallest."""
     small_batches(docs.sparkSession)
@@ -246,10 +240,9 @@ def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
     close = checkpointed(close)
     sets = _hashed(source, members.select("doc_id").unionByName(close.select(F.explode(F.array("a", "b")).alias("doc_id"))))
-    pairs = checkpointed(_sliding(members).unionByName(close).distinct())
-    found = _checked(pairs, sets)
-    hooked = components(found)
     blocks = -(-sets.count() // BLOCK) or 1
+    found = _settled(_by_block(_sliding(members).unionByName(close), blocks), sets, blocks)
+    hooked = components(found)
     more = _settled(_apart(members, hooked, blocks), sets, blocks)
     return hooked if more.isEmpty() else components(found.unionByName(more))
 

@@ -27,7 +27,7 @@ ID = np.dtype("<u4")
 #: Runs of letters and other pieces that a worker remembers (some 200 bytes each) before it starts anew.
 CACHE_CHUNKS = 300_000
 #: Bytes of text whose chunks are told apart together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 # How the known kinds of file cut a text.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
