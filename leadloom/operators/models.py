@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -39,10 +39,12 @@ def train(df: DataFrame, features: Sequence[str], y: str, *, validation: DataFra
 
 
 def train_lr(df: DataFrame, features: Sequence[str], y: str) -> Model:
-    """A balanced logistic regression on standardised features."""
+    """A balanced logistic regression on standardised features; missing values take the mean."""
+    filled = [f"_{f}" for f in features]
+    fill = Imputer(inputCols=list(features), outputCols=filled, strategy="mean")
     scale = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True)
     lr = LogisticRegression(featuresCol="_scaled", labelCol=y, weightCol="_weight", regParam=0.01)
-    return Pipeline(stages=[_vector(features), scale, lr]).fit(weighted(df, y))
+    return Pipeline(stages=[fill, _vector(filled), scale, lr]).fit(weighted(df, y))
 
 
 def score(model: Model, df: DataFrame, features: Sequence[str], out: str = "model_score") -> DataFrame:
