@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import checkpointed, rows_of, small_batches
+from leadloom.llm.common import checkpointed, release, rows_of, small_batches
 from leadloom.llm.simhash import components, links, majority, shingle_hashes
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
@@ -220,31 +220,43 @@ def _hashed(source: DataFrame, needed: DataFrame) -> DataFrame:
     return checkpointed(sets.dropDuplicates(["doc_id"]))
 
 
-def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", budget: int = 3) -> DataFrame:
-    """(child, parent): each document with a smaller one in its component, and the smallest."""
-    small_batches(docs.sparkSession)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null")
-    signed = checkpointed(signatures(source))
-
-    # SimHash: documents of one fingerprint, and those of linked fingerprints
+def _close(signed: DataFrame, budget: int) -> DataFrame:
+    """Candidates (a, b) by SimHash: documents of one fingerprint, and those of linked ones."""
     nodes = checkpointed(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
     same = signed.join(nodes, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     first = lambda c: nodes.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
     linked = links(nodes, budget).join(first("a"), "a").join(first("b"), "b")
-    close = same.unionByName(linked.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b")))
+    return checkpointed(same.unionByName(linked.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))))
+
 
-    # MinHash: rows of buckets of two or more
+def _members(signed: DataFrame) -> DataFrame:
+    """The rows of MinHash buckets of two or more."""
     banded = signed.select("doc_id", F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    members = checkpointed(banded.join(shared, "key").join(signed.select("doc_id", "n", "sketch"), "doc_id"))
+    return checkpointed(banded.join(shared, "key").join(signed.select("doc_id", "n", "sketch"), "doc_id"))
 
-    close = checkpointed(close)
+
+def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", budget: int = 3) -> DataFrame:
+    """(child, parent): each document with a smaller one in its component, and the smallest."""
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null")
+    signed = checkpointed(signatures(source))
+    close, members = _close(signed, budget), _members(signed)
+    del signed
+    release(docs.sparkSession)
     sets = _hashed(source, members.select("doc_id").unionByName(close.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+    release(docs.sparkSession)
     blocks = -(-sets.count() // BLOCK) or 1
     found = _settled(_by_block(_sliding(members).unionByName(close), blocks), sets, blocks)
-    hooked = components(found)
+    hooked = checkpointed(components(found))
+    del close
+    release(docs.sparkSession)
     more = _settled(_apart(members, hooked, blocks), sets, blocks)
-    return hooked if more.isEmpty() else components(found.unionByName(more))
+    if not more.isEmpty():
+        hooked = checkpointed(components(found.unionByName(more)))
+    del members, sets, found, more
+    release(docs.sparkSession)
+    return hooked
 
 
 def keep_one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
