@@ -120,7 +120,8 @@ def resample_weight(key: Column, resample: Column, seed: int) -> Column:
     x = mod(mod(x * x) * MULTIPLIER + mod(key))
     x = mod(x * x + resample)
     x = mod(x * x + seed)
-    return F.size(F.filter(F.array(*[F.lit(int(p * MODULUS)) for p in POISSON]), lambda edge: edge <= x))
+    reached = [(x >= int(p * MODULUS)).cast("int") for p in POISSON]
+    return sum(reached[1:], reached[0])
 
 
 def bootstrap_lift(df: DataFrame, y: str, s: str, key: str, *, resamples: int = 1000, top: float = 0.1, seed: int = 7) -> DataFrame:
