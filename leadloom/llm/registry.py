@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import chat_format, exact_dedup, html_extraction, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_store
+from leadloom.llm import chat_format, exact_dedup, filter_audit, html_extraction, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE_SQL,
@@ -22,6 +23,7 @@ ORACLES = {
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }
 
 
