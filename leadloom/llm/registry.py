@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import chat_format, exact_dedup, filter_audit, html_extraction, language_id, mixing, packing, quality_rules, simhash, spelling_variants, substring_dedup, token_store
+from leadloom.llm import chat_format, exact_dedup, filter_audit, html_extraction, language_id, lm_scoring, mixing, packing, quality_rules, simhash, spelling_variants, substring_dedup, token_store
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_lm_scoring": lm_scoring.op13_lm_scoring,
 }
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE_SQL,
