@@ -74,50 +74,3 @@ def json_list(col: Column) -> Column:
 
 def change_json(field: Column, value: Column) -> Column:
     return F.to_json(F.map_from_arrays(F.array(field), F.array(value)))
-
-
-def token_sort(col: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(F.lower(col), r"\s+"), lambda x: x != "")), " ")
-
-
-def edit_ratio(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length; 1 for two empty strings."""
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
-
-
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """The closest pair among the shared tokens alone, and each side's tokens with the shared
-    ones first, all sorted; 1 if one side's tokens lie within the other's."""
-    tokens = lambda x: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(x), r"\s+"), lambda t: t != "")))
-    left, right = tokens(a), tokens(b)
-    both = F.array_sort(F.array_intersect(left, right))
-    joined = lambda *parts: F.array_join(F.concat(*parts), " ")
-    shared, x, y = joined(both), joined(both, F.array_except(left, right)), joined(both, F.array_except(right, left))
-    within = (F.size(both) > 0) & ((F.size(both) == F.size(left)) | (F.size(both) == F.size(right)))
-    none = F.lit(0.0)
-    with_shared = F.when(shared != "", F.greatest(edit_ratio(shared, x), edit_ratio(shared, y))).otherwise(none)
-    return F.when(within, F.lit(1.0)).otherwise(F.greatest(edit_ratio(x, y), with_shared))
-
-
-def partial_ratio(a: Column, b: Column) -> Column:
-    """The closest stretch of the longer text to the shorter one, of its length."""
-    x, y = F.lower(a), F.lower(b)
-    first = F.length(x) <= F.length(y)
-    short, long = F.when(first, x).otherwise(y), F.when(first, y).otherwise(x)
-    n = F.length(short)
-    places = F.sequence(F.lit(1), F.length(long) - n + 1)
-    best = F.array_max(F.transform(places, lambda i: 1 - F.levenshtein(short, F.substr(long, i, n)) / n))
-    return F.when(n == 0, F.when(F.length(long) == 0, 1.0).otherwise(0.0)).otherwise(best)
-
-
-def similarity(a: Column, b: Column, mode: str = "ratio") -> Column:
-    """0 to 1: 'ratio', 'token_sort', 'token_set', 'partial' or 'max' of the four; 0 if one is null."""
-    forms = {
-        "ratio": lambda: edit_ratio(F.lower(a), F.lower(b)),
-        "token_sort": lambda: edit_ratio(token_sort(a), token_sort(b)),
-        "token_set": lambda: token_set_ratio(a, b),
-        "partial": lambda: partial_ratio(a, b),
-    }
-    found = F.greatest(*[f() for f in forms.values()]) if mode == "max" else forms[mode]()
-    return F.when(a.isNotNull() & b.isNotNull(), found).otherwise(F.lit(0.0))

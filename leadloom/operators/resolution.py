@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import extract_all, similarity
+from leadloom.functions.alike import similarity
+from leadloom.functions.text import extract_all
+from leadloom.operators.similarity_join import LEAST, form, similar_forms
 from leadloom.sources.shared import checkpointed
 
 # Confidence of each match tier and the review margins.
 EXACT, NORMALISED, BASE, FUZZY_LEAST, REVIEW_BELOW, MARGIN = 1.0, 0.95, 0.85, 0.60, 0.90, 0.05
-#: Rows that share a block key at most, and characters of a stretch.
-MOST, GRAM = 50, 4
+#: Pairs that a block key may make in all; beyond, names are compared by 'similar'.
+MOST_PAIRS = 50_000_000
 LEGAL = r"\s+(llc|l l c|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|llp|plc)$"
 FORMER = r"(?i)\(?\b(?:f/k/a|fka|formerly)\s+([^;,()]+)"
 TRADING = r"(?i)\(?\b(?:d/b/a|dba)\s+([^;,()]+)"
@@ -68,62 +70,46 @@ def block(col: Column, strategy: str = "first") -> Column:
     return {"first": F.substring(name, 1, 1), "first2": F.substring(name, 1, 2), "token": F.split_part(name, F.lit(" "), F.lit(1))}[strategy]
 
 
-def _tokens(name: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(normalise(name), " "), lambda t: t != ""))
+def similar_pairs(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (l, r) of (l, name) and (r, name) whose forms are similar; see `similarity_join`.
+    Names of one form are compared once and put in for it at the end."""
+    a, b = (x.select(c, form(normalise(F.col("name"))).alias(f"{c}_form")) for x, c in ((left, "l"), (right, "r")))
+    forms = lambda x, c: x.select(F.col(f"{c}_form").alias("form")).distinct()
+    pairs = similar_forms(forms(a, "l"), forms(b, "r"), least)
+    return a.join(pairs, "l_form").join(b, "r_form").select("l", "r")
 
 
-def _grams(name: Column) -> Column:
-    """Stretches of ``GRAM`` characters with their place, counted from the start and from the end."""
-    norm = normalise(name)
-    n = F.length(norm)
-    at = lambda i: F.substr(norm, i, F.lit(GRAM))
-    places = F.when(n >= GRAM, F.sequence(F.lit(1), n - GRAM + 1)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.transform(places, lambda i: F.concat_ws(":", F.lit("s"), i, at(i))), F.transform(places, lambda i: F.concat_ws(":", F.lit("e"), n - i, at(i))))
-
-
-def _meet(left: DataFrame, right: DataFrame, keys: Callable[[Column], Column], most: int) -> DataFrame:
-    """Distinct pairs (l, r) that share a key which at most ``most`` rows of either side have."""
-    a, b = (x.select(F.col(c), F.explode(keys(F.col("name"))).alias("k")) for x, c in ((left, "l"), (right, "r")))
-    few = lambda x: x.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("k")
-    rare = few(b).join(few(a), "k")
-    return a.join(rare, "k").join(b, "k").select("l", "r").distinct()
-
-
-def rare_pairs(left: DataFrame, right: DataFrame, most: int = MOST) -> DataFrame:
-    """Pairs (l, r) of (l, name) and (r, name) that share a rare token; a left row without any
-    is tried by rare stretches of characters. Keys of more than ``most`` rows tell nothing apart
-    and are not paired, so the pairs grow with the rows, not with the square of a common word."""
-    by_token = _meet(left, right, _tokens, most)
-    rest = left.join(by_token.select("l").distinct(), "l", "left_anti")
-    return by_token.unionByName(_meet(rest, right, _grams, most))
-
-
-def blocked_pairs(left: DataFrame, right: DataFrame, name: str, right_name: str, strategy: str = "rare", *, key: str = "id", right_key: str = "right_id", most: int = MOST) -> DataFrame:
-    """Candidates: by rare tokens and stretches ('rare'), an equi-join on one block key ('first',
-    'first2', 'token'), or 'hybrid': by first character, those left by first token, and those
-    left by rare keys. Keys name rows; one block key pairs all its rows, so it suits short lists."""
-    if strategy == "rare":
-        pairs = rare_pairs(left.select(F.col(key).alias("l"), F.col(name).alias("name")), right.select(F.col(right_key).alias("r"), F.col(right_name).alias("name")), most)
+def blocked_pairs(left: DataFrame, right: DataFrame, name: str, right_name: str, strategy: str = "similar", *, key: str = "id", right_key: str = "right_id", least: float = LEAST) -> DataFrame:
+    """Candidates: all names of similar grams ('similar', for lists of any length), an equi-join on
+    one block key ('first', 'first2', 'token'), or 'hybrid': by first character, those left by
+    first token, and those left by similar grams. A block key pairs all its rows, so lists whose
+    blocks make over `MOST_PAIRS` pairs are refused."""
+    if strategy == "similar":
+        pairs = similar_pairs(left.select(F.col(key).alias("l"), F.col(name).alias("name")), right.select(F.col(right_key).alias("r"), F.col(right_name).alias("name")), least)
         return left.join(pairs.withColumnRenamed("l", key), key).join(right.withColumnRenamed(right_key, "r"), "r").withColumnRenamed("r", right_key)
     if strategy == "hybrid":
         first = blocked_pairs(left, right, name, right_name, "first")
         rest = left.join(first.select(key).distinct(), key, "left_anti")
         second = blocked_pairs(rest, right, name, right_name, "token")
         rest = rest.join(second.select(key).distinct(), key, "left_anti")
-        third = blocked_pairs(rest, right, name, right_name, "rare", key=key, right_key=right_key, most=most)
+        third = blocked_pairs(rest, right, name, right_name, key=key, right_key=right_key, least=least)
         columns = [*left.columns, *right.columns]
         return first.select(columns).unionByName(second.select(columns)).unionByName(third.select(columns))
     a = left.withColumn("_block", block(F.col(name), strategy))
     b = right.withColumn("_block", block(F.col(right_name), strategy))
+    sizes = a.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).join(b.groupBy("_block").agg(F.count(F.lit(1)).alias("m")), "_block")
+    made = sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    if made > MOST_PAIRS:
+        raise ValueError(f"blocks of '{strategy}' make {made} pairs; use 'similar'")
     return a.join(b, "_block").drop("_block")
 
 
 KINDS = ("firm", "former", "dba")
 
 
-def tier_match(names: DataFrame, right: DataFrame, *, key: str = "id", right_key: str = "right_id", right_name: str = "right_name", threshold: float = FUZZY_LEAST, most: int = MOST) -> DataFrame:
+def tier_match(names: DataFrame, right: DataFrame, *, key: str = "id", right_key: str = "right_id", right_name: str = "right_name", threshold: float = FUZZY_LEAST, least: float = LEAST) -> DataFrame:
     """The best match of each key over its names (key, kind, variant; see `variants`): exact,
-    normalised, base name, else fuzzy among `rare_pairs`.
+    normalised, base name, else fuzzy among all `similar_pairs`.
 
     Fuzzy matching takes the keys that no earlier tier matched. The highest confidence wins;
     of equals the earlier tier, then the firm's name before a former before a trading name,
@@ -135,17 +121,18 @@ def tier_match(names: DataFrame, right: DataFrame, *, key: str = "id", right_key
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     place = lambda tier: F.struct((-F.col("confidence")).alias("c"), F.lit(tier).alias("t"), order.alias("o"), F.col("_r").alias("r"))
     found = None
-    for tier, (form, confidence) in enumerate((("exact", EXACT), ("normalised", NORMALISED), ("base", BASE))):
-        by = told.where(F.col(form) != "").groupBy(F.col(form).alias("_k")).agg(F.min("_r").alias("_r"))
-        hit = forms.join(by, F.col(form) == F.col("_k")).withColumn("confidence", F.lit(confidence)).select("_id", "kind", "_r", F.lit(form).alias("tier"), "confidence", place(tier).alias("_o"))
+    for tier, (kind, confidence) in enumerate((("exact", EXACT), ("normalised", NORMALISED), ("base", BASE))):
+        by = told.where(F.col(kind) != "").groupBy(F.col(kind).alias("_k")).agg(F.min("_r").alias("_r"))
+        hit = forms.join(by, F.col(kind) == F.col("_k")).withColumn("confidence", F.lit(confidence)).select("_id", "kind", "_r", F.lit(kind).alias("tier"), "confidence", place(tier).alias("_o"))
         found = hit if found is None else found.unionByName(hit)
     found = checkpointed(found)
-    rest = left.join(found.select("_id").distinct(), "_id", "left_anti")
-    texts = checkpointed(rest.select(F.concat_ws("\x1f", F.col("_id").cast("string"), "kind", "variant").alias("l"), "_id", "kind", F.col("variant").alias("name")))
-    pairs = rare_pairs(texts.select("l", "name"), told.select(F.col("_r").alias("r"), F.col("_n").alias("name")), most)
-    both = texts.join(pairs, "l").join(told.select(F.col("_r"), "normalised"), F.col("r") == F.col("_r"))
-    scored = both.select("_id", "kind", "_r", F.lit("fuzzy").alias("tier"), F.round(similarity(normalise(F.col("name")), F.col("normalised"), "max"), 6).alias("confidence"))
-    fuzzy = scored.where(F.col("confidence") >= threshold).withColumn("_o", place(3))
+    rest = forms.join(found.select("_id").distinct(), "_id", "left_anti").select("_id", "kind", F.col("normalised").alias("l"))
+    rights = told.groupBy(F.col("normalised").alias("r")).agg(F.min("_r").alias("_r"))
+    # equal names score alike, so each is compared once, and only its best goes on
+    pairs = similar_pairs(rest.select("l", F.col("l").alias("name")).distinct(), rights.select("r", F.col("r").alias("name")), least)
+    scored = pairs.select("l", "r", F.round(similarity(F.col("l"), F.col("r"), "max", threshold), 6).alias("confidence")).where(F.col("confidence") >= threshold)
+    closest = scored.join(rights, "r").groupBy("l").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "_r")).alias("m")).select("l", F.col("m._r").alias("_r"), (-F.col("m.c")).alias("confidence"))
+    fuzzy = rest.join(closest, "l").select("_id", "kind", "_r", F.lit("fuzzy").alias("tier"), "confidence").withColumn("_o", place(3))
     best = found.unionByName(fuzzy).groupBy("_id").agg(F.min_by(F.struct("_r", "tier", "confidence", "kind"), "_o").alias("m"))
     every = left.select("_id").distinct().join(best, "_id", "left").join(told.select("_r", "_n"), F.col("m._r") == F.col("_r"), "left")
     return every.select(
@@ -166,9 +153,9 @@ def with_overrides(matches: DataFrame, overrides: DataFrame, key: str = "id") ->
     )
 
 
-def scored_candidates(left: DataFrame, right: DataFrame, *, key: str = "id", name: str = "name", right_key: str = "right_id", right_name: str = "right_name", strategy: str = "rare", most: int = MOST) -> DataFrame:
+def scored_candidates(left: DataFrame, right: DataFrame, *, key: str = "id", name: str = "name", right_key: str = "right_id", right_name: str = "right_name", strategy: str = "similar", least: float = LEAST) -> DataFrame:
     """All candidates of each name with their similarity."""
-    pairs = blocked_pairs(left.select(key, name), right.select(right_key, right_name), name, right_name, strategy, key=key, right_key=right_key, most=most)
+    pairs = blocked_pairs(left.select(key, name), right.select(right_key, right_name), name, right_name, strategy, key=key, right_key=right_key, least=least)
     return pairs.select(key, right_key, F.round(similarity(normalise(F.col(name)), normalise(F.col(right_name)), "max"), 6).alias("confidence"))
 
 

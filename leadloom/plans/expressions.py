@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import dates as D
 from leadloom.functions import numbers as N
 from leadloom.functions import text as X
+from leadloom.functions.alike import similarity
 from leadloom.operators import filters as O
 from leadloom.plans.adapters import AS_OF
 from leadloom.plans.alike import alike
@@ -260,4 +261,4 @@ MODES = ("ratio", "token_sort", "token_set", "partial")
 def _(t):
     p = t.raw("part").select(F.lower("p_name").alias("a"), F.lower(F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("b")).distinct()
     a, b = F.col("a"), F.col("b")
-    return p.select("a", "b", *[F.round(X.similarity(a, b, m), 6).alias(m) for m in MODES], F.round(X.similarity(a, b, "max"), 6).alias("most"))
+    return p.select("a", "b", *[F.round(similarity(a, b, m), 6).alias(m) for m in MODES], F.round(similarity(a, b, "max"), 6).alias("most"))

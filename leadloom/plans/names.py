@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from leadloom.operators import gates as G
 from leadloom.operators import resolution as R
-from leadloom.plans.alike import alike, norm, rare
+from leadloom.plans.alike import alike, norm, similar
 from leadloom.plans.joins import ASOF, _asof
 from leadloom.plans.registry import query
 from leadloom.sources.shared import checkpointed
@@ -47,15 +47,15 @@ def _(t):
     return R.variants(R.parse_names(_noted(t), "noted"), "id")
 
 
-SIDES = ", ln as (select id as l, name from names), rn0 as (select right_id as r, right_name as name from edited_names)" + rare("ln", "rn0")
+SIDES = ", ln as (select id as l, name from names), rn0 as (select right_id as r, right_name as name from edited_names)" + similar("ln", "rn0")
 
 
-@query("er_block", SIDES + " select l as id, r as right_id from rare")
+@query("er_block", SIDES + " select l as id, r as right_id from close_pairs")
 def _(t):
     return R.blocked_pairs(t.names, t.edited_names, "name", "right_name").select("id", "right_id")
 
 
-CANDS = SIDES + f", pr as (select l as id, r as right_id, {norm('ln.name')} as nrm, {norm('rn0.name')} as rn from rare join ln using (l) join rn0 using (r))" + alike("pr", "p") + """,
+CANDS = SIDES + f", pr as (select l as id, r as right_id, {norm('ln.name')} as nrm, {norm('rn0.name')} as rn from close_pairs join ln using (l) join rn0 using (r))" + alike("pr", "p") + """,
 k as (select id, right_id, confidence, row_number() over (partition by id order by confidence desc, right_id) as place from p)"""
 
 
@@ -82,8 +82,8 @@ hits as (
   select id, kind, o, r, 'exact' as tier, 0 as t, 1.0::double as confidence from lb join (select ex, min(r) as r from rb where ex <> '' group by 1) using (ex)
   union all select id, kind, o, r, 'normalised', 1, 0.95 from lb join (select rn, min(r) as r from rb where rn <> '' group by 1) x on lb.nrm = x.rn
   union all select id, kind, o, r, 'base', 2, 0.85 from lb join (select base, min(r) as r from rb where base <> '' group by 1) using (base)),
-tx as (select id || chr(31) || kind || chr(31) || variant as l, id, kind, o, nrm, variant as name from lf where id not in (select id from hits))""" + rare("tx", "rf") + """,
-pr as (select tx.id, tx.kind, tx.o, rf.r, tx.nrm, rf.rn from rare join tx using (l) join rf using (r))""" + alike("pr", "p") + """,
+tx as (select id || chr(31) || kind || chr(31) || variant as l, id, kind, o, nrm, variant as name from lf where id not in (select id from hits))""" + similar("tx", "rf") + """,
+pr as (select tx.id, tx.kind, tx.o, rf.r, tx.nrm, rf.rn from close_pairs join tx using (l) join rf using (r))""" + alike("pr", "p") + """,
 ok as (select * from hits union all select id, kind, o, r, 'fuzzy', 3, confidence from p where confidence >= 0.6),
 rk as (select *, row_number() over (partition by id order by confidence desc, t, o, r) as place from ok),
 mt as (select n.id, rk.r as right_id, coalesce(tier, 'none') as tier, coalesce(confidence, 0) as confidence, kind as matched_on from names n left join rk on rk.id = n.id and place = 1)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +19,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """The driver's file system deletes the folder when it ends, if nothing did before."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage; the copy goes when nothing refers to it."""
+    """Cut the lineage. The copy goes with the driver, or earlier, when nothing refers to it,
+    where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        _deleted_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back; it goes by `forget`, or with the driver."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _deleted_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what `written` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
