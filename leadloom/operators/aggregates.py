@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.numbers import clamp, safe_div
+from leadloom.operators.running import sums_before
 from leadloom.operators.windows import cumulative, quantile_values
 
 
@@ -103,11 +104,11 @@ def career(history: DataFrame, as_of: date, *, person: str = "person_id", firm:
 
 def prior_tenure(leads: DataFrame, history: DataFrame, *, by: str = "person_id", at: str = "contacted", row_key: str = "lead_id", start: str = "start_date", end: str = "end_date") -> DataFrame:
     """Months in spells that ended before the anchor: sum and mean; none gives 0 and null."""
-    h = history.select(F.col(by).alias("_by"), start, end)
     months = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
-    spells = leads.join(h, (leads[by] == F.col("_by")) & (F.col(end) < leads[at]))
-    agg = spells.groupBy(row_key).agg(F.sum(months).alias("prior_months"), F.round(F.avg(months), 4).alias("avg_prior_months"))
-    return leads.join(agg, row_key, "left").fillna({"prior_months": 0})
+    ended = history.select(F.col(by), F.col(end).alias("_at"), months.alias("_months"), months.isNotNull().cast("int").alias("_n"))
+    found = sums_before(leads, ended, by, at, {"prior_months": "_months", "_spells": "_n"})
+    mean = F.when(F.col("_spells") > 0, F.round(F.col("prior_months") / F.col("_spells"), 4))
+    return found.withColumn("avg_prior_months", mean).drop("_spells")
 
 
 def pivot_by_rank(df: DataFrame, key: str, rank: str, cols: Sequence[str], k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.operators.resampling import weighted_heads
 from leadloom.operators.windows import cumulative, ntile, quantile_values
 
 # ---- splits
@@ -107,45 +108,21 @@ def top_lift(df: DataFrame, y: str, s: str, top: float = 0.1) -> DataFrame:
     return j.agg(F.count_if(F.col(s) >= F.col("_cut")).alias("n_top"), F.round(head, 6).alias("top_rate"), F.round(F.avg(y), 6).alias("base_rate"), F.round(F.try_divide(head, F.avg(y)), 6).alias("lift"))
 
 
-# Poisson(1) by its distribution function.
-POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-# Modulus and multipliers of the hash that draws the weights.
-MODULUS, MULTIPLIER, STRIDE = 2_147_483_647, 48_271, 69_621
-
-
-def resample_weight(key: Column, resample: Column, seed: int) -> Column:
-    """A Poisson(1) weight of a row in a resample, from whole-number arithmetic on its key."""
-    mod = lambda c: F.pmod(c, F.lit(MODULUS).cast("long"))
-    x = mod(mod(key) * MULTIPLIER + resample * STRIDE + seed)
-    x = mod(mod(x * x) * MULTIPLIER + mod(key))
-    x = mod(x * x + resample)
-    x = mod(x * x + seed)
-    reached = [(x >= int(p * MODULUS)).cast("int") for p in POISSON]
-    return sum(reached[1:], reached[0])
-
-
 def bootstrap_lift(df: DataFrame, y: str, s: str, key: str, *, resamples: int = 1000, top: float = 0.1, seed: int = 7) -> DataFrame:
     """95 % interval of the top lift by Poisson resampling, each resample with its own cut.
 
-    Weights come from (key, resample), so no rows are drawn or moved. Rows are summed to
-    (resample, score) in the tasks that read them; a resample's cut is the (1 - top)
-    quantile of its own weighted scores. A resample is one group over the distinct scores.
+    Weights come from (key, resample), so no rows are drawn or moved, and a row is never repeated:
+    tasks add up vectors of weights, one entry a resample, by ranges of the score. The head of a
+    resample begins at the score of the rank (1 - top) of its own weights, so after each pass only
+    the range that holds this rank is cut further, until it is one score; `resampling` has the
+    passes. Rows without a key or score are left out.
     """
-    rows = df.where(F.col(s).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(y).alias("y"), F.col(s).cast("double").alias("s"))
-    each = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(resamples).cast("long"))).alias("b"))
-    w = each.select("b", "s", "y", resample_weight(F.col("k"), F.col("b"), seed).cast("long").alias("w"))
-    cells = w.groupBy("b", "s").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos")).where("n > 0")
-    of = Window.partitionBy("b")
-    place = (F.sum("n").over(of) - 1) * F.lit(1 - top)
-    run = cells.select("*", F.sum("n").over(of.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), place.alias("place"))
-    low = F.min(F.when(F.col("upto") > F.floor("place"), F.col("s"))).over(of)
-    high = F.min(F.when(F.col("upto") > F.ceil("place"), F.col("s"))).over(of)
-    cut = run.withColumn("cut", low + (high - low) * (F.col("place") - F.floor("place")))
-    head = F.col("s") >= F.col("cut")
-    rate = lambda pos, n: F.try_divide(F.sum(pos).cast("double"), F.sum(n))
-    per = cut.groupBy("b").agg(F.try_divide(rate(F.when(head, F.col("pos")), F.when(head, F.col("n"))), rate("pos", "n")).alias("lift"))
+    rates = weighted_heads(df.select(F.col(key).cast("long").alias("k"), F.col(y).cast("double").alias("y"), F.col(s).cast("double").alias("s")).where("k is not null and s is not null and not isnan(s)"), resamples, top, seed)
+    per = df.sparkSession.createDataFrame(rates, "n double, pos double, head_n double, head_pos double")
+    rate = lambda pos, n: F.try_divide(F.col(pos), F.col(n))
+    lifts = per.select(F.try_divide(rate("head_pos", "head_n"), rate("pos", "n")).alias("lift"))
     q = lambda p: F.round(F.percentile("lift", F.lit(p)), 6)  # noqa: E731  over the resamples
-    return per.agg(F.count("lift").alias("resamples"), q(0.025).alias("low"), q(0.5).alias("mid"), q(0.975).alias("high"), F.round(F.avg((F.col("lift") <= 1).cast("int")), 6).alias("p_value"))
+    return lifts.agg(F.count("lift").alias("resamples"), q(0.025).alias("low"), q(0.5).alias("mid"), q(0.975).alias("high"), F.round(F.avg((F.col("lift") <= 1).cast("int")), 6).alias("p_value"))
 
 
 # Classes of the information value.

@@ -13,6 +13,7 @@ from leadloom.functions.numbers import AUM_TIERS, TENURE_MONTHS, bucketise, clam
 from leadloom.functions.text import json_list
 from leadloom.operators.aggregates import pivot_by_rank
 from leadloom.operators.joins import active_interval, asof_join, lookback
+from leadloom.operators.running import distinct_before
 from leadloom.operators.windows import quantile_values
 
 # ---- targets
@@ -50,12 +51,7 @@ def censor_report(leads: DataFrame, as_of: date, n: int) -> DataFrame:
 
 def mobility(leads: DataFrame, history: DataFrame, *, months: int = 36) -> DataFrame:
     """Moves in the months before contact, all moves, a tier and moves over the mean pace."""
-    h = history.select("person_id", "start_date", "firm_id")
-    recent = lookback(leads.select("lead_id", "person_id", "contacted"), h.select("person_id", "start_date", "firm_id"), "person_id", "contacted", "start_date", months)
-    recent = recent.groupBy("lead_id").agg(F.countDistinct("firm_id").alias("moves_3y"))
-    past = leads.select("lead_id", "person_id", "contacted").join(h.withColumnRenamed("person_id", "_p"), (F.col("person_id") == F.col("_p")) & (F.col("start_date") < F.col("contacted")))
-    total = past.groupBy("lead_id").agg(F.countDistinct("firm_id").alias("total_firms"), F.min("start_date").alias("career_start"))
-    out = leads.join(recent, "lead_id", "left").join(total, "lead_id", "left").fillna({"moves_3y": 0, "total_firms": 0})
+    out = distinct_before(leads, history, months=months)
     years = F.greatest(year_diff(F.col("contacted"), F.col("career_start")), F.lit(1))
     return out.select(
         "*",

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.operators.sweep import newest_open
+
 
 def assemble(spine: DataFrame, key: str | Sequence[str], *parts: DataFrame) -> DataFrame:
     """Feature tables onto a spine by one key, which all share as their partitioning."""
@@ -52,14 +54,18 @@ def active_interval(left: DataFrame, history: DataFrame, by: str, at: str, row_k
 
     With ``allow_gap`` the latest start at or before the date counts even if the
     interval has ended. An open end is null. Left rows without one keep nulls.
+
+    No pairs are formed: starts and questions of a key are read in the order of time
+    (`sweep`), or, with ``allow_gap``, the newest start is carried along (`asof_join`).
     """
-    h = history.select(F.col(by).alias("_by"), *[c for c in history.columns if c != by])
-    on = (left[by] == F.col("_by")) & (F.col(start) <= left[at])
-    if not allow_gap:
-        on = on & (F.col(end).isNull() | ((F.col(end) >= left[at]) if end_inclusive else (F.col(end) > left[at])))
     cols = [c for c in history.columns if c != by]
-    best = left.join(h, on, "inner").groupBy(row_key).agg(F.max(F.struct(start, tiebreak, *[c for c in cols if c not in (start, tiebreak)])).alias("_best"))
-    return left.join(best, row_key, "left").select(*[left[c] for c in left.columns], *[F.col("_best")[c].alias(c) for c in cols])
+    asked = F.col(by).isNotNull() & F.col(at).isNotNull()
+    rest = left.where(~asked).select(*left.columns, *[F.lit(None).cast(history.schema[c].dataType).alias(c) for c in cols])
+    if allow_gap:
+        found = asof_join(left.where(asked), history, by, at, start, cols=[tiebreak, *[c for c in cols if c not in (start, tiebreak)]])
+    else:
+        found = newest_open(left.where(asked), history, by, at, start=start, end=end, end_inclusive=end_inclusive, tiebreak=tiebreak)
+    return found.select(*left.columns, *cols).unionByName(rest)
 
 
 def range_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, lo: int, hi: int, how: str = "inner") -> DataFrame:

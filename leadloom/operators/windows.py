@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.operators.running import sums_before
 from leadloom.sources.shared import checkpointed
 
 
@@ -67,9 +68,24 @@ def rank_subset(df: DataFrame, flag: Column, part: Sequence[str], order: Sequenc
     return ranked.unionByName(marked.where("not _flag").withColumn(col, F.lit(None).cast("long"))).drop("_flag")
 
 
+def group_ranks(df: DataFrame, part: Sequence[str], col: str) -> DataFrame:
+    """Adds _rank, the rank of the value within the partition (ties share the smallest, nulls come
+    first), and _n, the partition's rows. Rows are counted by distinct value and the counts run up
+    over ranges of values, so a partition of any size is many tasks' and no tie is cut in two."""
+    value = F.struct(F.col(col).isNotNull().alias("known"), F.col(col).alias("v"))
+    counts = df.groupBy(*part, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    sums = cumulative(counts, "_v", ["_c"], groups=part)
+    ranks = sums.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(part)], "_v", (F.col("_c_cum") - F.col("_c") + 1).alias("_rank"), F.col("_c_total").alias("_n"))
+    on = F.col(col).eqNullSafe(F.col("_v.v"))
+    for i, p in enumerate(part):
+        on &= F.col(p).eqNullSafe(F.col(f"_p{i}"))
+    return df.join(ranks, on).drop("_v", *[f"_p{i}" for i in range(len(part))])
+
+
 def pct_rank(df: DataFrame, part: Sequence[str], col: str, out: str) -> DataFrame:
     """PERCENT_RANK times 100 within the partitions."""
-    return df.withColumn(out, F.round(100 * F.percent_rank().over(Window.partitionBy(*part).orderBy(col)), 4))
+    share = F.when(F.col("_n") > 1, 100 * ((F.col("_rank") - 1) / (F.col("_n") - 1))).otherwise(0.0)
+    return group_ranks(df, part, col).withColumn(out, F.round(share, 4)).drop("_rank", "_n")
 
 
 def score_percentile(df: DataFrame, col: str, out: str = "percentile") -> DataFrame:
@@ -152,17 +168,24 @@ def indexed(df: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
     return positioned(df, by, order).withColumnsRenamed({"_pos": "row_index", "_n": "row_total"})
 
 
-def job_sequence(left: DataFrame, history: DataFrame, *, by: str = "person_id", at: str = "contacted", row_key: str = "lead_id", start: str = "start_date", tiebreak: str = "spell_id") -> DataFrame:
-    """Jobs started by the date, numbered from the newest."""
-    h = history.select(F.col(by).alias("_by"), *[c for c in history.columns if c != by])
-    jobs = left.join(h, (left[by] == F.col("_by")) & (F.col(start) <= left[at])).drop("_by")
-    return rank_in(jobs, [row_key], [F.desc(start), F.desc(tiebreak)], "job_number")
+def job_sequence(left: DataFrame, history: DataFrame, *, by: str = "person_id", at: str = "contacted", row_key: str = "lead_id", start: str = "start_date", tiebreak: str = "spell_id", most: int | None = None) -> DataFrame:
+    """Jobs started by the date, numbered from the newest; the ``most`` newest, or all.
+
+    Jobs are numbered once a person, from the oldest. A left row learns how many began by its
+    date from a running count, and so which numbers it asks for: an equi-join gives them.
+    """
+    jobs = rank_in(history.where(F.col(start).isNotNull()), [by], [F.col(start), F.col(tiebreak)], "_k").withColumnRenamed(by, "_by")
+    begun = history.select(by, F.date_add(start, -1).alias("_at"), F.lit(1).alias("_one"))  # counts from its own day on
+    counted = sums_before(left, begun, by, at, {"_jobs": "_one"}).where("_jobs > 0")
+    oldest = F.lit(1) if most is None else F.greatest(F.col("_jobs") - most + 1, F.lit(1))
+    asked = counted.select(*left.columns, "_jobs", F.explode(F.sequence(oldest.cast("int"), F.col("_jobs").cast("int"))).alias("_ask"))
+    found = asked.join(jobs, (F.col(by) == F.col("_by")) & (F.col("_ask") == F.col("_k")))
+    return found.withColumn("job_number", (F.col("_jobs") - F.col("_k") + 1).cast("int")).drop("_by", "_k", "_jobs", "_ask")
 
 
 def rank_pct(df: DataFrame, part: Sequence[str], col: str, out: str) -> DataFrame:
     """rank / rows within the partitions."""
-    w = Window.partitionBy(*part)
-    return df.withColumn(out, F.round(F.rank().over(w.orderBy(col)) / F.count(F.lit(1)).over(w), 6))
+    return group_ranks(df, part, col).withColumn(out, F.round(F.col("_rank") / F.col("_n"), 6)).drop("_rank", "_n")
 
 
 def order_value(col: Column, order: Sequence[str]) -> Column:

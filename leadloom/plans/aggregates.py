@@ -90,7 +90,7 @@ SEQ = ", seq as (select lead_id, l.person_id, contacted, spell_id, firm_id, star
 
 @query("agg_pivot_rank", SEQ + " select lead_id, max(case when job_number = 1 then firm_id end) as firm_id_1, max(case when job_number = 2 then firm_id end) as firm_id_2, max(case when job_number = 3 then firm_id end) as firm_id_3 from seq group by 1")
 def _(t):
-    jobs = W.job_sequence(t.leads.select("lead_id", "person_id", "contacted"), t.spells)
+    jobs = W.job_sequence(t.leads.select("lead_id", "person_id", "contacted"), t.spells, most=3)
     return A.pivot_by_rank(jobs, "lead_id", "job_number", ["firm_id"], 3)
 
 

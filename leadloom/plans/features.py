@@ -161,7 +161,7 @@ def _(t):
 @query("ft_velocity", SEQ + """, p as (select lead_id, contacted, max(case when job_number = 1 then start_date end) as s1, max(case when job_number = 2 then start_date end) as s2 from seq group by 1, 2)
 select lead_id, contacted - s1 as days_since_move, s1 - s2 as previous_days, round((contacted - s1) / nullif(s1 - s2, 0)::double, 6) as tenure_ratio, (contacted - s1 between 365 and 730)::int as danger_zone from p""")
 def _(t):
-    return P.velocity(W.job_sequence(t.leads.select("lead_id", "person_id", "contacted"), t.spells))
+    return P.velocity(W.job_sequence(t.leads.select("lead_id", "person_id", "contacted"), t.spells, most=2))
 
 
 @query("ft_ratios", ", r as (select firm_id, month, aum, accounts, aum / nullif(accounts, 0) as x from snapshots), q as (select quantile_cont(x, 0.75) as q75 from r) select firm_id, month, aum, accounts, floor(x)::bigint as aum_per_client, (x >= q75 and accounts <= 5)::int as is_boutique from r, q")
