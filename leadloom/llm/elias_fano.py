@@ -19,8 +19,8 @@ import mmap
 import numpy as np
 
 #: Quantised logarithms (base 10): code 0 is nothing, others are steps from LOW on.
-LOW, STEP = -16.0, 0.0005
-WORD_BITS = 32
+LOW, STEP = -16.0, 0.004
+WORD_BITS = 28
 
 
 def quantise(x: np.ndarray) -> np.ndarray:
@@ -62,14 +62,18 @@ class EliasFano:
         header, arrays = cls.parts(values, universe)
         return cls(*header, *arrays)
 
-    def _place(self, words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Where in its word the bit of that rank among the word's ones is."""
-        found = np.empty(len(words), np.int64)
-        for a in range(0, len(words), 1 << 15):
-            part = words[a : a + (1 << 15)]
-            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            found[a : a + (1 << 15)] = np.argmax(np.cumsum(bits, axis=1, dtype=np.uint8) == (rank[a : a + (1 << 15), None] + 1), axis=1)
-        return found
+    @staticmethod
+    def _place(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Where in its word the bit of that rank among the word's ones is: halves are counted."""
+        left, rank, at = words.copy(), rank.astype(np.uint8), np.zeros(len(words), np.uint64)
+        for width in (32, 16, 8, 4, 2, 1):
+            ones = np.bitwise_count(left & np.uint64((1 << width) - 1))
+            beyond = rank >= ones
+            rank -= ones * beyond
+            step = beyond * np.uint64(width)
+            left >>= step
+            at += step
+        return at.astype(np.int64)
 
     def select1(self, i: np.ndarray) -> np.ndarray:
         """Where the i-th one of the high part is."""

@@ -57,7 +57,7 @@ def same(got, want):
     want = sorted(want, key=order)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want, strict=True):
-        assert a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9) and a[6] == pytest.approx(b[6], rel=1e-3, abs=1e-3)
+        assert a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9) and abs(a[6] - b[6]) <= 0.003 * a[2]
 
 
 def test_query_against_the_definition(spark):
@@ -83,6 +83,14 @@ def test_without_training_rows(spark):
     assert lm.score(docs.limit(0)).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5) | st.integers(0, 2**28 - 1)), max_size=60), st.sampled_from([36, 50, 60]))
+def test_order_with_words_that_agree_in_the_key(rows, used):
+    where, words = np.array([a for a, _ in rows], np.uint64), np.array([b for _, b in rows], np.uint32)
+    order = lm.in_order(where, words, used)
+    assert sorted(order.tolist()) == list(range(len(rows))) and [rows[i] for i in order] == sorted(rows)
+
+
 def test_homes_and_shards_grow_with_the_root():
     homes, shards = lm.shares(200 << 40)
     assert homes * shards < 2**46 and (200 << 40) / homes <= lm.MOST_BYTES * 1.01 and (200 << 40) / shards <= lm.MOST_BYTES * 2
@@ -160,18 +168,18 @@ def test_elias_fano_is_compact():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.tuples(st.integers(0, 20) | st.integers(0, 2**40 - 1), st.integers(0, 9) | st.integers(0, 2**32 - 1)), st.integers(1, 10**9), max_size=80), st.integers(0, 2**32))
+@given(st.dictionaries(st.tuples(st.integers(0, 20) | st.integers(0, 2**36 - 1), st.integers(0, 9) | st.integers(0, 2**28 - 1)), st.integers(1, 10**9), max_size=80), st.integers(0, 2**32))
 def test_trie_answers_as_a_table(table, seed):
     rows = sorted(table.items())
     where, words, n = (np.array(c, k) for c, k in zip(([r[0][0] for r in rows], [r[0][1] for r in rows], [r[1] for r in rows]), (np.uint64, np.uint32, np.int64), strict=True))
-    trie = ef.NgramTrie(lm.shard_trie(where, words, n, {}))
+    trie = ef.NgramTrie(lm.shard_trie(where, words, n))
     r = random.Random(seed)
-    asked = [k for k, _ in rows] + [(c, r.randrange(2**32)) for (c, _), _ in rows] + [(r.randrange(2**40), 3), (0, 0)]
+    asked = [k for k, _ in rows] + [(c, r.randrange(2**28)) for (c, _), _ in rows] + [(r.randrange(2**36), 3), (0, 0)]
     counts, odds = trie.query(np.array([c for c, _ in asked], np.uint64), np.array([w for _, w in asked], np.uint32))
     totals = Counter()
     for (c, _), k in rows:
         totals[c] += k
     for (c, w), x, y in zip(asked, ef.dequantise(counts), ef.dequantise(odds), strict=True):
-        assert x == pytest.approx(totals[c], rel=1e-3)
+        assert x == pytest.approx(totals[c], rel=5e-3)
         a, b = lm.LEFT3
-        assert y == pytest.approx((1 - a * totals[c] ** -b) * table.get((c, w), 0) / totals[c] if totals[c] else 0, rel=1e-3)
+        assert y == pytest.approx((1 - a * totals[c] ** -b) * table.get((c, w), 0) / totals[c] if totals[c] else 0, rel=5e-3)
