@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.operators.resampling import weighted_heads
-from leadloom.operators.windows import cumulative, ntile, quantile_values
+from leadloom.operators.windows import cumulative, ntile, numbered, quantile_values
 
 # ---- splits
 
@@ -52,9 +52,23 @@ def blocked_folds(df: DataFrame, by: str, key: str, k: int, gap: int) -> DataFra
     return rows.select(*folds.columns, F.col("_t.test_fold").alias("test_fold"), role.alias("role")).where("role is not null")
 
 
+def _hash_order(key: str, seed: int) -> list[Column]:
+    return [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), F.col(key)]
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in the order of a hash of the key."""
-    return df.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))).orderBy("_h", key).limit(n).drop("_h")
+    return df.orderBy(*_hash_order(key, seed)).limit(n)
+
+
+def nested_samples(df: DataFrame, key: str, sizes: Sequence[int], seed: int) -> DataFrame:
+    """The rows of the largest sample with ``sample_size``, the smallest of the sizes whose sample
+    holds them: rows are put in the order of a hash of the key, so each sample lies in the next."""
+    placed = numbered(df, _hash_order(key, seed), "_place")
+    size = F.lit(None).cast("long")
+    for n in sorted(sizes, reverse=True):
+        size = F.when(F.col("_place") <= n, F.lit(n).cast("long")).otherwise(size)
+    return placed.withColumn("sample_size", size).drop("_place").where("sample_size is not null")
 
 
 def check_split(df: DataFrame, split: str, by: str, target: str) -> DataFrame:
@@ -130,18 +144,69 @@ def iv_class(iv: Column) -> Column:
     return F.when(iv < 0.02, "none").when(iv < 0.1, "weak").when(iv < 0.3, "medium").when(iv < 0.5, "strong").otherwise("suspicious")
 
 
-def iv_bins(df: DataFrame, feature: str, y: str, edges: Sequence[float]) -> DataFrame:
-    """Weight of evidence of each bin of a feature; half a count is added to each cell."""
-    cut = F.when(F.col(feature).isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(feature))))
-    by = df.groupBy(cut.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
-    every = Window.partitionBy()
-    good, bad = (F.col("pos") + 0.5) / (F.sum("pos").over(every) + 0.5), (F.col("n") - F.col("pos") + 0.5) / (F.sum(F.col("n") - F.col("pos")).over(every) + 0.5)
-    return by.select("bin", "n", "pos", F.round(F.log(good / bad), 6).alias("woe"), F.round((good - bad) * F.log(good / bad), 6).alias("iv_part"))
+def fit_edges(df: DataFrame, feature: str, bins: int = 10) -> list[float]:
+    """Upper edges of the bins but the last, fitted on the rows: exact quantiles with equal cuts
+    merged, or the values themselves where there are no more of them than bins."""
+    known = df.where(F.col(feature).isNotNull()).select(F.col(feature).cast("double").alias(feature))
+    values = sorted(r[0] for r in known.distinct().limit(bins + 1).collect())
+    if len(values) <= bins:
+        return values[:-1]
+    cuts = quantile_values(known, feature, {f"q{i}": i / bins for i in range(1, bins)}).crossJoin(known.agg(F.max(feature).alias("top"), F.min(feature).alias("low"))).first()
+    return sorted({cuts[f"q{i}"] for i in range(1, bins)} - {cuts["top"], cuts["low"]})
+
+
+def bin_of(feature: str, edges: Sequence[float]) -> Column:
+    """How many edges lie below the value: bins are open below and closed above; null for null."""
+    below = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>"), lambda e: e < F.col(feature)))
+    return F.when(F.col(feature).isNotNull(), below)
+
 
+def _woe(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Weight of evidence and its part of the information value; shares are 0.0001 at least."""
+    every = Window.partitionBy()  # of a row a bin
+    bad = F.col("n") - F.col("pos")
+    good_share = F.greatest(F.try_divide(F.col("pos"), F.sum("pos").over(every)), F.lit(0.0001))
+    bad_share = F.greatest(F.try_divide(bad, F.sum(bad).over(every)), F.lit(0.0001))
+    return rows.select(*keep, "n", "pos", F.round(F.log(good_share / bad_share), 6).alias("woe"), F.round((good_share - bad_share) * F.log(good_share / bad_share), 6).alias("iv_part"))
 
-def information_value(df: DataFrame, feature: str, y: str, edges: Sequence[float]) -> DataFrame:
-    iv = F.round(F.sum("iv_part"), 4)
-    return iv_bins(df, feature, y, edges).agg(iv.alias("iv"), iv_class(iv).alias("iv_class")).select(F.lit(feature).alias("feature"), "iv", "iv_class")
+
+def iv_bins(df: DataFrame, feature: str, y: str, edges: Sequence[float] | None = None, *, bins: int = 10, monotone: bool = False) -> DataFrame:
+    """Weight of evidence of each bin of a feature; rows without the feature are left out.
+
+    Without ``edges`` the bins are fitted (`fit_edges`). ``monotone`` then merges neighbours whose
+    rates go against the feature's direction, by pooling, until the rates rise or fall throughout.
+    """
+    edges = list(fit_edges(df, feature, bins) if edges is None else edges)
+    by = df.where(F.col(feature).isNotNull()).groupBy(bin_of(feature, edges).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("pos"))
+    if monotone:  # on a row a bin
+        return iv_bins(df, feature, y, pooled_edges(edges, {r.bin: (r.n, r.pos) for r in by.collect()}))
+    return _woe(by, ["bin"])
+
+
+def pooled_edges(edges: Sequence[float], counts: Mapping[int, tuple[int, int]]) -> list[float]:
+    """The edges left when neighbouring bins (rows, positives) are pooled until their rates rise, or fall."""
+    some = sorted(counts)
+    n = sum(counts[b][0] for b in some)
+    mean_bin, mean_rate = sum(b * counts[b][0] for b in some) / n if n else 0, sum(counts[b][1] for b in some) / n if n else 0
+    rising = sum((b - mean_bin) * (counts[b][1] - mean_rate * counts[b][0]) for b in some) >= 0
+    pools: list[list] = []  # last bin, rows, positives
+    for b in some:
+        pools.append([b, *counts[b]])
+        while len(pools) > 1:
+            fall = pools[-2][2] * pools[-1][1] - pools[-1][2] * pools[-2][1]  # over 0 where the rate falls
+            if fall <= 0 if rising else fall >= 0:
+                break
+            last = pools.pop()
+            pools[-1] = [last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
+    return [edges[b] for b, _, _ in pools[:-1]]
+
+
+def information_value(df: DataFrame, feature: str, y: str, edges: Sequence[float] | None = None, **options) -> DataFrame:
+    """0 where there are no rows, or a class is missing."""
+    iv = F.coalesce(F.round(F.sum("iv_part"), 4), F.lit(0.0))
+    both = (F.sum("pos") > 0) & (F.sum("pos") < F.sum("n"))
+    value = F.when(F.coalesce(both, F.lit(False)), iv).otherwise(0.0)
+    return iv_bins(df, feature, y, edges, **options).agg(value.alias("iv")).select(F.lit(feature).alias("feature"), "iv", iv_class(F.col("iv")).alias("iv_class"))
 
 
 def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -247,15 +312,6 @@ def segment_metrics(df: DataFrame, by: Sequence[str], y: str, s: str) -> DataFra
     return run.groupBy(*by).agg(F.sum("n").alias("rows"), F.round(F.sum("pos") / F.sum("n"), 6).alias("rate"), F.round(a, 6).alias("auc"))
 
 
-def backtest(df: DataFrame, windows: Mapping[str, tuple[date, date]], date_col: str, tier: str, y: str) -> DataFrame:
-    """Rate and lift of each tier in each historic window; windows may overlap."""
-    labels = F.filter(F.array(*[F.when(F.col(date_col).between(F.lit(lo), F.lit(hi)), F.lit(name)) for name, (lo, hi) in windows.items()]), lambda x: x.isNotNull())
-    g = df.withColumn("window", F.explode(labels)).groupBy("window", tier).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("conversions"))
-    w = Window.partitionBy("window")
-    rate = F.col("conversions") / F.col("n")
-    return g.select("*", F.round(rate, 6).alias("rate"), F.round(F.try_divide(rate, F.sum("conversions").over(w) / F.sum("n").over(w)), 4).alias("lift"))
-
-
 def signal_combos(df: DataFrame, signals: Sequence[str], y: str, least: int) -> DataFrame:
     """Every on/off combination with at least ``least`` rows: count, rate, lift."""
     g = df.groupBy(*signals).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("conversions"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.operators.like import like_join
 from leadloom.operators.sweep import newest_open
 
 
@@ -82,11 +83,6 @@ def lookback(left: DataFrame, facts: DataFrame, by: str, left_ts: str, fact_ts:
     return left.join(f, on).drop("_by")
 
 
-def like_join(df: DataFrame, patterns: DataFrame, col: str, pattern: str, how: str = "inner") -> DataFrame:
-    """Rows whose value is LIKE a row of the (literal, small) pattern table."""
-    return df.join(patterns, F.like(F.upper(df[col]), F.upper(patterns[pattern])), how)
-
-
 def join_any_key(df: DataFrame, fks: Sequence[str], other: DataFrame, key: str, row_key: str) -> DataFrame:
     """Match any of several foreign keys: exploded to rows, then one equi-join; each pair once."""
     keys = df.select(row_key, F.explode(F.array_distinct(F.array(*fks))).alias(key)).where(F.col(key).isNotNull())

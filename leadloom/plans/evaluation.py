@@ -4,8 +4,10 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from leadloom.operators import backtest as B
 from leadloom.operators import evaluation as E
 from leadloom.operators import models as M
+from leadloom.operators import tiers as T
 from leadloom.plans.registry import query
 
 
@@ -36,9 +38,9 @@ def _(t):
     return E.blocked_folds(t.leads.select("lead_id", "contacted"), "contacted", "lead_id", 5, 30).select("lead_id", "test_fold", "role")
 
 
-@query("sp_sample", "select lead_id from leads order by md5(lead_id::varchar || ':7'), lead_id limit 500")
+@query("sp_sample", ", r as (select lead_id, row_number() over (order by md5(lead_id::varchar || ':7'), lead_id) as k from leads) select lead_id, case when k <= 100 then 100 when k <= 500 then 500 else 2500 end::bigint as sample_size from r where k <= 2500")
 def _(t):
-    return E.sample(t.leads.select("lead_id"), "lead_id", 500, 7)
+    return E.nested_samples(t.leads.select("lead_id"), "lead_id", [100, 500, 2500], 7)
 
 
 @query("sp_split_checks", ", s as (select *, case when contacted < date '2000-01-01' then 'TRAIN' else 'TEST' end as split from outcomes) select split, count(*) as n, min(contacted) as first, max(contacted) as last, round(avg(target), 6) as rate from s group by 1")
@@ -92,19 +94,20 @@ def _(t):
     return E.bootstrap_lift(t.scored, "target", "score", "doc_id")
 
 
-IV = """, b as (select case when amount < 100000 then 0 when amount < 200000 then 1 when amount < 300000 then 2 else 3 end as bin, count(*) as n, sum(target) as pos from outcomes group by 1),
-w as (select bin, n, pos, (pos + 0.5::double) / (sum(pos) over () + 0.5::double) as g, (n - pos + 0.5::double) / (sum(n - pos) over () + 0.5::double) as h from b)"""
-EDGES = [100000, 200000, 300000]
+QUANTILES = ", ".join(f"quantile_cont(amount, {i / 10})" for i in range(1, 10))
+IV = f""", q as (select list_sort(list_distinct([{QUANTILES}])) as cuts from outcomes),
+b as (select len(list_filter(cuts, lambda e: e < amount)) as bin, count(*) as n, sum(target)::bigint as pos from outcomes, q group by 1),
+w as (select bin, n, pos, greatest(pos / (sum(pos) over ())::double, 0.0001::double) as g, greatest((n - pos) / (sum(n - pos) over ())::double, 0.0001::double) as h from b)"""
 
 
-@query("ev_iv_woe", IV + " select bin, n, pos::bigint as pos, round(ln(g / h), 6) as woe, round((g - h) * ln(g / h), 6) as iv_part from w")
+@query("ev_iv_woe", IV + " select bin, n, pos, round(ln(g / h), 6) as woe, round((g - h) * ln(g / h), 6) as iv_part from w")
 def _(t):
-    return E.iv_bins(t.outcomes, "amount", "target", EDGES)
+    return E.iv_bins(t.outcomes, "amount", "target")
 
 
 @query("ev_iv_class", IV + ", i as (select round(sum(round((g - h) * ln(g / h), 6)), 4) as iv from w) select 'amount' as feature, iv, case when iv < 0.02 then 'none' when iv < 0.1 then 'weak' when iv < 0.3 then 'medium' when iv < 0.5 then 'strong' else 'suspicious' end as iv_class from i")
 def _(t):
-    return E.information_value(t.outcomes, "amount", "target", EDGES)
+    return E.information_value(t.outcomes, "amount", "target")
 
 
 @query("ev_vif_corr", ", c as (select corr(l_quantity, l_extendedprice) as a, corr(l_quantity, l_discount) as b, corr(l_extendedprice, l_discount) as c from lineitem), d as (select *, 1 + 2 * a * b * c - a * a - b * b - c * c as det from c) select unnest(['l_quantity', 'l_extendedprice', 'l_discount']) as feature, unnest([round((1 - c * c) / det, 4), round((1 - b * b) / det, 4), round((1 - a * a) / det, 4)]) as vif from d")
@@ -150,10 +153,21 @@ def _(t):
     return E.segment_metrics(t.outcomes, ["source"], "target", "score")
 
 
-@query("ev_backtest", ", w(win, lo, hi) as (values ('h1_1996', date '1996-01-01', date '1996-06-30'), ('y_1996', date '1996-01-01', date '1996-12-31')), g as (select win as window, source, count(*) as n, sum(target)::bigint as conversions from outcomes join w on contacted between lo and hi group by 1, 2) select *, round(conversions / n::double, 6) as rate, round((conversions / n::double) / (sum(conversions) over (partition by \"window\") / sum(n) over (partition by \"window\")), 4) as lift from g")
+BACKTEST = """, w(win, lo, hi) as (values ('h1_1996', date '1996-01-01', date '1996-06-30'), ('h2_1996', date '1996-07-01', date '1996-12-31'), ('y_1996', date '1996-01-01', date '1996-12-31'), ('y_1998', date '1998-01-01', date '1998-12-31')),
+a as (select win, lo, lead_id, person_id, target from outcomes join w on contacted between lo and hi),
+now as (select * from (select win, lead_id, firm_id, start_date, row_number() over (partition by win, lead_id order by start_date desc, spell_id desc) as k from a join spells s using (person_id) where start_date <= lo and (end_date is null or end_date >= lo)) where k = 1),
+career as (select win, lead_id, min(start_date) as since, count(distinct firm_id) as firms from a join spells s using (person_id) where start_date < lo group by 1, 2),
+net as (select w.win, firm_id, count(*) filter (where start_date >= lo - interval 12 month and start_date < lo) - count(*) filter (where end_date >= lo - interval 12 month and end_date < lo) as net from spells, w group by 1, 2),
+f as (select a.win, a.target, floor(((year(lo) - year(start_date)) * 12 + month(lo) - month(start_date)) / 12.0) as ten, year(lo) - year(since) as exper, coalesce(firms, 0) as firms, coalesce(net, 0) as net
+  from a left join now using (win, lead_id) left join career c using (win, lead_id) left join net on net.win = a.win and net.firm_id = now.firm_id),
+g as (select win as "window", case when ten between 1 and 4 and net < 0 then 'T1' when firms >= 5 then 'T2' when net < 0 then 'T3' when exper >= 6 then 'T4' else 'STANDARD' end as tier, count(*) as n, sum(target)::bigint as conversions from f group by 1, 2)"""
+BACK_WINDOWS = {"h1_1996": (date(1996, 1, 1), date(1996, 6, 30)), "h2_1996": (date(1996, 7, 1), date(1996, 12, 31)), "y_1996": (date(1996, 1, 1), date(1996, 12, 31)), "y_1998": (date(1998, 1, 1), date(1998, 12, 31))}
+
+
+@query("ev_backtest", BACKTEST + ' select *, round(conversions / n::double, 6) as rate, round((conversions / n::double) / (sum(conversions) over (partition by "window") / sum(n) over (partition by "window")), 4) as lift from g')
 def _(t):
-    windows = {"h1_1996": (date(1996, 1, 1), date(1996, 6, 30)), "y_1996": (date(1996, 1, 1), date(1996, 12, 31))}
-    return E.backtest(t.outcomes, windows, "contacted", "source", "target")
+    leads = t.outcomes.select("lead_id", "person_id", "contacted", "target")
+    return B.backtest(leads, t.spells, BACK_WINDOWS, lambda df: T.assign_tier(df, T.FOUR_TIERS), "target")
 
 
 @query("ev_signal_combos", ", s as (select (amount > 200000)::int as large, (isodow(contacted) >= 6)::int as weekend, (person_id % 3 = 0)::int as third, target from outcomes) select large, weekend, third, count(*) as n, sum(target)::bigint as conversions, round(avg(target), 6) as rate, round(avg(target) / (select avg(target) from outcomes), 4) as lift from s group by 1, 2, 3 having count(*) >= 100")

@@ -7,7 +7,8 @@ from leadloom.operators import resolution as R
 from leadloom.plans.alike import alike, norm, similar
 from leadloom.plans.joins import ASOF, _asof
 from leadloom.plans.registry import query
-from leadloom.sources.shared import checkpointed
+from leadloom.sources.log import append_run, read_log
+from leadloom.sources.shared import checkpointed, scratch
 
 
 def _noted(t):
@@ -138,7 +139,11 @@ def _(t):
 
 @query("cdc_history", DIFF + " select key, change, case when old_value is not null then '{\"' || field || '\":\"' || old_value || '\"}' end as old_json, case when new_value is not null then '{\"' || field || '\":\"' || new_value || '\"}' end as new_json, 'run-2' as run from ch where change <> 'MATCHED'")
 def _(t):
-    return R.history(R.diff(t.old_list, t.new_list, "key", "name", ["brand", "size"]), "key", "run-2")
+    rows = R.history(R.diff(t.old_list, t.new_list, "key", "name", ["brand", "size"]), "key", "run-2")
+    path = scratch(t.spark, "cdc-history")
+    append_run(rows, path, "run-2")
+    append_run(rows, path, "run-2")  # adds nothing
+    return read_log(t.spark, path, rows.schema)
 
 
 METRICS = ", m as (select 'row_count' as metric, count(*)::double as actual from persons union all select 'duplicate_keys', (count(nation_id) - count(distinct nation_id))::double from persons union all select 'forbidden', count(*) filter (where balance < 0)::double from persons union all select 'coverage_title', round(100 * avg((title is not null)::int), 4) from persons)".replace("count(*) filter (where balance < 0)::double", "(count(*) filter (where balance < 0))::double")
