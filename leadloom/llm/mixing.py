@@ -21,7 +21,11 @@ against those of the source as a whole; their sizes are summed first, then each
 all its ranges.
 
 Defined cases: null text has size 0; a null source is a source of its own, last
-in order; equal odds are ordered by doc_id, null first; an empty table gives none.
+in order; equal odds are ordered by doc_id, null first, so rows repeated with their id
+are neighbours and each counts; rows with null ids have one random number and are
+neighbours too (`repeat_documents` tells them apart by their other columns); a text's size
+is counted where it is read, however long; an empty table gives none; further columns are
+not read, and `repeat_documents` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -153,10 +157,16 @@ def mix(
 
 def repeat_documents(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them. The id names a row: of rows
-    repeated whole each is taken as often, and rows without an id are not taken."""
+    repeated whole each is taken as often. A row without an id is named by a hash of all its
+    columns: such rows that are alike come as often as the mix takes them together."""
     key, times, copy = fresh(docs.columns, "key", "times", "copy")
-    copies = mix(docs, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
-    joined = docs.withColumn(key, F.col(doc_id)).join(copies.where(F.col(times) > 0), key)
+    named, row = F.col(doc_id).isNotNull(), F.concat(F.lit("row:"), F.md5(F.to_json(F.struct(*docs.columns)).cast("binary")))
+    keyed = docs.withColumn(key, F.when(named, F.col(doc_id).cast("string")).otherwise(row))
+    taken = mix(keyed, doc_id=key, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias("_most"), F.sum("copies").alias("_all"))
+    alike = F.col(key).startswith("row:")
+    copies = taken.select(key, F.when(alike, F.col("_all")).otherwise(F.col("_most")).alias(times)).where(F.col(times) > 0)
+    rows = keyed.where(named).unionByName(keyed.where(~named).dropDuplicates([key]))
+    joined = rows.join(copies, key)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
 
 

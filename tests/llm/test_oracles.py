@@ -102,6 +102,17 @@ def test_repeat_documents_with_clashing_columns(spark):
     assert sorted(r.doc_id for r in exact_dedup.keep_one_of_each(twice.selectExpr("*", "1 as _stays", "2 as same")).collect()) == [0, 1, 2, 3, 4]
 
 
+def test_rows_without_an_id_stay_in_the_mix(spark):
+    """A third of the rows has no id, some of them alike: the sources still meet their targets."""
+    rows = [(None if i % 3 == 0 else i, "w " * (1 + i % 40), f"s{i % 3 and i % 2}") for i in range(900)] + [(None, "same text", "s0")] * 40
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, source string, key string")
+    out = mixing.repeat_documents(docs).collect()
+    want = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    for source, target in want.items():
+        assert abs(sum(len(r.text.split()) for r in out if r.source == source) - target) <= 40
+    assert sum(r.doc_id is None for r in out) > 100 and {r.key for r in out} == {"k"}
+
+
 def test_mixing_meets_its_targets(spark):
     rows = [(i, "w " * (1 + i % 90), f"s{i % 4}" if i % 9 else None) for i in range(4000)] + [(5000, None, "s0"), (None, "a b", "tiny"), (5001, "", "tiny")]
     docs = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows], "doc_id long, text string, source string, size int")
