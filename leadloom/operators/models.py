@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -16,10 +17,12 @@ from leadloom.operators.evaluation import auc
 from leadloom.operators.windows import score_percentile, top_drivers
 
 
-def weighted(df: DataFrame, y: str) -> DataFrame:
-    """Rows of class 1 weigh negatives / positives."""
-    n = df.agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n")).first()
-    up = (n["n"] - n["pos"]) / n["pos"] if n["pos"] else 1.0
+def weighted(df: DataFrame, y: str, counts: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of class 1 weigh negatives / positives; ``counts`` are positives and rows, if known."""
+    if counts is None:
+        n = df.agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n")).first()
+        counts = n["pos"] or 0, n["n"]
+    up = (counts[1] - counts[0]) / counts[0] if counts[0] else 1.0
     return df.withColumn("_weight", F.when(F.col(y) == 1, F.lit(float(up))).otherwise(F.lit(1.0)))
 
 
@@ -27,9 +30,9 @@ def _vector(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
 
 
-def train(df: DataFrame, features: Sequence[str], y: str, *, validation: DataFrame | None = None, seed: int = 7, **params) -> Model:
+def train(df: DataFrame, features: Sequence[str], y: str, *, validation: DataFrame | None = None, seed: int = 7, counts: tuple[int, int] | None = None, **params) -> Model:
     """Gradient-boosted trees with class weights; early stopping watches validation rows only."""
-    rows = weighted(df, y).withColumn("_valid", F.lit(False))
+    rows = weighted(df, y, counts).withColumn("_valid", F.lit(False))
     settings = {"maxIter": 20, "maxDepth": 3, "seed": seed} | params
     if validation is not None:
         rows = rows.unionByName(validation.withColumns({"_weight": F.lit(1.0), "_valid": F.lit(True)}))
@@ -52,18 +55,64 @@ def score(model: Model, df: DataFrame, features: Sequence[str], out: str = "mode
     return scored.select(*df.columns, out)
 
 
-def tune(df: DataFrame, features: Sequence[str], y: str, fold: str, grid: Sequence[Mapping[str, int]]) -> DataFrame:
-    """Mean AUC of each setting over the folds."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    rows = []
-    for i, params in enumerate(grid):
-        found = []
-        for k in folds:
-            model = train(df.where(F.col(fold) != k), features, y, **params)
-            found.append(auc(score(model, df.where(F.col(fold) == k), features), y, "model_score").first()["auc_roc"])
-        kept = [x for x in found if x is not None]
-        rows.append((i, str(dict(params)), float(sum(kept) / len(kept)) if kept else None))
-    return df.sparkSession.createDataFrame(rows, "setting int, params string, mean_auc double")
+#: Fits that run beside one another, and folds that a search takes.
+PARALLEL, MOST_FOLDS = 4, 100
+
+
+def _placed(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """A number from 0 to 1 by a hash of the key: rows below a share are a sample, and each
+    sample lies in the larger ones."""
+    return df.withColumn("_share", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+
+
+def tune(df: DataFrame, features: Sequence[str], y: str, fold: str, grid: Sequence[Mapping[str, int]], *, key: str | None = None, shares: Sequence[float] = (1.0,), seed: int = 7) -> DataFrame:
+    """Mean AUC of each setting over the folds, by successive halving.
+
+    Each of the ``shares`` is a round on a nested sample by ``key``; the better half of the
+    settings goes on to the next, the last round has all rows if its share is 1. A setting's
+    result is that of its last round. The fits of a round run beside one another, and the rows
+    of the classes are counted once a round for all folds.
+    """
+    folds = sorted(r[0] for r in df.select(fold).distinct().limit(MOST_FOLDS + 1).collect())
+    if len(folds) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds")
+    rows = _placed(df, key, seed) if key else df
+    alive, results = list(range(len(grid))), {}
+    for k, share in enumerate(shares):
+        part = rows.where(F.col("_share") < share).drop("_share") if key and share < 1 else rows.drop("_share")
+        counted = {r[fold]: (r.pos or 0, r.n) for r in part.groupBy(fold).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n")).collect()}
+
+        def fit(job: tuple[int, object], part: DataFrame = part, counted: Mapping = counted) -> float | None:
+            setting, held = job
+            counts = tuple(sum(c[j] for f, c in counted.items() if f != held) for j in (0, 1))
+            model = train(part.where(F.col(fold) != held), features, y, counts=counts, **grid[setting])
+            return auc(score(model, part.where(F.col(fold) == held), features), y, "model_score").first()["auc_roc"]
+
+        jobs = [(i, f) for i in alive for f in folds]
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            found = dict(zip(jobs, pool.map(fit, jobs), strict=True))
+        for i in alive:
+            kept = [found[i, f] for f in folds if found[i, f] is not None]
+            results[i] = (share, float(sum(kept) / len(kept)) if kept else None)
+        if k + 1 < len(shares):
+            alive = sorted(alive, key=lambda i: (results[i][1] is None, -(results[i][1] or 0), i))[: max(1, -(-len(alive) // 2))]
+    table = [(i, str(dict(p)), results[i][1], float(results[i][0])) for i, p in enumerate(grid)]
+    return df.sparkSession.createDataFrame(table, "setting int, params string, mean_auc double, share double")
+
+
+def learning_curve(df: DataFrame, validation: DataFrame, features: Sequence[str], y: str, key: str, shares: Sequence[float], *, seed: int = 7, **params) -> DataFrame:
+    """Rows and AUC, on the rows themselves and on the validation rows, of fits on nested samples."""
+    rows = _placed(df, key, seed)
+
+    def fit(share: float) -> tuple:
+        part = rows.where(F.col("_share") < share).drop("_share") if share < 1 else rows.drop("_share")
+        model = train(part, features, y, seed=seed, **params)
+        own, other = (auc(score(model, x, features), y, "model_score").first() for x in (part, validation))
+        return float(share), own["n"], own["auc_roc"], other["auc_roc"]
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        table = list(pool.map(fit, shares))
+    return df.sparkSession.createDataFrame(table, "share double, n long, train_auc double, validation_auc double")
 
 
 def score_batch(model: Model, df: DataFrame, features: Sequence[str]) -> DataFrame:

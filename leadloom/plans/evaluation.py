@@ -9,6 +9,7 @@ from leadloom.operators import evaluation as E
 from leadloom.operators import models as M
 from leadloom.operators import tiers as T
 from leadloom.plans.registry import query
+from leadloom.sources.shared import checkpointed
 
 
 @query("sp_date_split", "select lead_id, case when contacted <= date '1999-12-31' then 'TRAIN' when contacted < date '2000-02-01' then 'GAP' when contacted <= date '2000-12-31' then 'TEST' else 'LATER' end as split from leads")
@@ -222,7 +223,14 @@ def _(t):
 
 @query("ml_tune")
 def _(t):
-    return M.tune(_training(t).withColumn("fold", F.col("doc_id") % 3), FEATURES, "target", "fold", [{"maxDepth": 2, "maxIter": 5}, {"maxDepth": 4, "maxIter": 5}])
+    grid = [{"maxDepth": 2, "maxIter": 5}, {"maxDepth": 4, "maxIter": 5}]
+    return M.tune(checkpointed(_training(t)).withColumn("fold", F.col("doc_id") % 3), FEATURES, "target", "fold", grid, key="doc_id", shares=(0.5, 1.0))
+
+
+@query("ml_learning_curve")
+def _(t):
+    rows = checkpointed(_training(t))
+    return M.learning_curve(rows.where("split = 'TRAIN'"), rows.where("split = 'VALIDATION'"), FEATURES, "target", "doc_id", (0.25, 0.5, 1.0), maxDepth=2, maxIter=5)
 
 
 @query("ml_score_batch")

@@ -67,9 +67,11 @@ def register_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def export_csv(df: DataFrame, cols: Sequence[str], path: str, order: Sequence[str]) -> None:
-    """A list of bounded size as one ordered CSV file with a header."""
-    df.select(*cols).orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+def export_csv(df: DataFrame, cols: Sequence[str], path: str, order: Sequence[str], *, most: int = 1_000_000) -> None:
+    """Ordered CSV with headers: one file of up to ``most`` rows, else a file a range, in the order of their names."""
+    rows = df.select(*cols).orderBy(*order)
+    one = df.limit(most + 1).count() <= most
+    (rows.coalesce(1) if one else rows).write.mode("overwrite").csv(path, header=True)
 
 
 def crm_payload(df: DataFrame, mapping: Mapping[str, Column], id_col: str, order: Sequence[Column], n: int) -> DataFrame:

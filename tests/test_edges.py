@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import alike, dates, text
 from leadloom.operators import aggregates, evaluation, features, filters, joins, resolution, tiers, windows
+from leadloom.sources import tables
 
 
 def one(spark, col):
@@ -183,3 +184,27 @@ def test_flow_counts_twelve_month_starts(spark):
     got = aggregates.rolling_flow(hist, date(2019, 1, 1), date(2022, 1, 1)).collect()
     assert sorted(r.month for r in got if r.arrivals)[0] == date(2020, 1, 1) and sum(r.arrivals for r in got) == 12
     assert sorted(r.month for r in got if r.departures)[0] == date(2020, 2, 1) and sum(r.departures for r in got) == 12
+
+
+def test_quantile_sketches_merge_in_any_order(spark):
+    df = spark.range(200_000).select((F.col("id") % 24).alias("month"), F.exp(F.randn(5) * 3).alias("v"))
+    months = aggregates.quantile_sketches(df, "v", ["month"]).cache()
+    probs = {"q1": 0.01, "q50": 0.5, "q99": 0.99}
+    for order in (F.asc("month"), F.desc("month")):
+        got = aggregates.sketch_quantiles(aggregates.merged_sketches(months.repartition(5).sortWithinPartitions(order)), probs).first()
+        ranks = df.agg(*[F.avg((F.col("v") <= got[n]).cast("int")).alias(n) for n in probs]).first()
+        assert got.n == 200_000 and all(abs(ranks[n] - p) < 0.01 for n, p in probs.items())
+    assert aggregates.sketch_quantiles(months, probs).count() == 24
+
+
+def test_long_lists_are_several_files(spark, tmp_path):
+    df = spark.range(100).withColumn("v", -F.col("id"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so short a list is one partition
+    try:
+        for most in (1000, 99):
+            tables.export_csv(df, ["id", "v"], str(tmp_path / "out"), ["v"], most=most)
+            found = sorted((tmp_path / "out").glob("part-*.csv"))
+            assert (len(found) == 1) == (most == 1000)
+            assert [x.split(",")[0] for f in found for x in f.read_text().splitlines()[1:]] == [str(i) for i in reversed(range(100))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

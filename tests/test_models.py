@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leadloom.operators import evaluation, models
 from leadloom.plans import registry
@@ -107,3 +108,21 @@ def test_calibration(spark):
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (p - d.target))
     assert abs(out["platt"] - (((1 / (1 + np.exp(-x @ w))) - d.target) ** 2).mean()) < 1e-5
     assert evaluation.calibration_error(Tables(spark, SF).outcomes, "target", "score").first().brier > out["isotonic"]
+
+
+def test_halving_finds_the_winner_of_the_full_search(spark, rows):
+    df = rows.withColumn("fold", F.col("doc_id") % 2)
+    grid = [{"maxDepth": 1, "maxIter": 1}, {"maxDepth": 3, "maxIter": 4}, {"maxDepth": 1, "maxIter": 2}]
+    full = {r.setting: r for r in models.tune(df, FEATURES[2:3], "target", "fold", grid).collect()}
+    halved = {r.setting: r for r in models.tune(df, FEATURES[2:3], "target", "fold", grid, key="doc_id", shares=(0.5, 1.0)).collect()}
+    best = lambda found: max(found.values(), key=lambda r: (r.share, r.mean_auc, -r.setting)).setting
+    assert best(full) == best(halved) and halved[best(full)].mean_auc == full[best(full)].mean_auc
+    assert sorted(r.share for r in halved.values()) == [0.5, 1.0, 1.0]
+
+
+def test_learning_curve_on_nested_samples(spark, rows):
+    train, valid = rows.where("split = 'TRAIN'"), rows.where("split = 'VALIDATION'")
+    small, half = ({r.doc_id for r in models._placed(train, "doc_id", 7).where(F.col("_share") < s).collect()} for s in (0.2, 0.5))
+    assert small < half
+    got = {r.share: r for r in models.learning_curve(train, valid, FEATURES, "target", "doc_id", (0.2, 1.0), maxDepth=2, maxIter=2).collect()}
+    assert (got[0.2].n, got[1.0].n) == (len(small), train.count()) and got[1.0].validation_auc > 0.5
