@@ -43,6 +43,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,8 +218,17 @@ class Asked:
         return trigrams, words.astype(np.uint32)
 
 
-def _sorted_rows(rows: pa.Table) -> tuple[list, list, np.ndarray]:
-    ids, texts = rows["doc_id"].to_pylist(), rows["content"].to_pylist()
+def _packed(batches):
+    """Texts compressed for their way to the homes."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [None if t is None else press.compress(t) for t in _column(batch, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], batch.schema.names)
+
+
+def _documents(rows: pa.Table) -> tuple[list, list, np.ndarray]:
+    expand = zstandard.ZstdDecompressor()
+    ids, texts = rows["doc_id"].to_pylist(), [None if t is None else expand.decompress(t) for t in rows["content"].to_pylist()]
     return ids, texts, np.array([is_training(i) for i in ids], bool)
 
 
@@ -229,7 +239,7 @@ CELL_NAMES = [c.split()[0] for c in CELLS.split(", ")]
 
 def _ask(layout: Layout):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        _, texts, training = _sorted_rows(rows)
+        _, texts, training = _documents(rows)
         tokens = Tokens(texts)
         asked = Asked(tokens, layout)
         trigrams, words = asked.counts(tokens, training)
@@ -302,7 +312,7 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score(layout: Layout):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts, _ = _sorted_rows(rows)
+        ids, texts, _ = _documents(rows)
         tokens = Tokens(texts)
         asked = Asked(tokens, layout)
         came = sorted(zip(*(answers[c].to_pylist() for c in ("kind", "shard", "contexts", "data")), strict=True))
@@ -353,7 +363,8 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", most_h
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("content"))
     homes, shards = shares(rows.agg(F.sum(F.octet_length("content"))).first()[0] or 0)
     layout = Layout(shards, hot_contexts(rows, min(shards, most_hot)))
-    placed = rows.withColumn("home", F.pmod(F.xxhash64("doc_id", "content"), F.lit(homes).cast("long"))).repartition("home")
+    dealt = rows.withColumn("home", F.pmod(F.xxhash64("doc_id", "content"), F.lit(homes).cast("long")))
+    placed = dealt.mapInArrow(_packed, "doc_id long, content binary, home long").repartition("home")
     cells = placed.groupBy("home").applyInArrow(_ask(layout), CELLS)
     answers = cells.groupBy("kind", "shard").applyInArrow(_answer(), CELLS)
     return placed.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(_score(layout), RESULT)
