@@ -66,27 +66,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """The driver's file system deletes the folder when it ends, if nothing did before."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; the copy goes when nothing refers to it."""
+    """Cut the lineage in the shared folder. The copy goes with the driver, or earlier, when nothing
+    refers to it, where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     spark = df.sparkSession
     path = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
+        _deleted_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint()
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles and checkpoints that nothing refers to any more; it does so
-    when the driver collects its garbage, which a long chain of steps may not see by itself."""
+    """Let Spark delete the shuffles that nothing refers to any more; it does so when the driver
+    collects its garbage, which a long chain of steps may not see by itself."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+    """Write ``df`` as Parquet in the shared folder and read it back; it goes by `forget`, or with the driver."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _deleted_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

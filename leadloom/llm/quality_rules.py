@@ -9,7 +9,11 @@ Repeated words: the 3-word windows of a text are sorted with their positions, so
 equal windows are neighbours; the positions they cover are counted once each.
 
 Defined cases: a null or empty text has no words and fails the base rules;
-the ratios of a text without words are null and pass, which never saves it.
+the ratios of a text without words are null and pass, which never saves it; each row is
+judged by itself, so rows repeated or without an id are judged each; an empty table gives
+no rows; kept columns may have any name but those of the counts. A text's windows are
+sorted in one row and take some twenty times its bytes, so the longest text must be that
+much smaller than a task.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import table, words
+from leadloom.llm.common import fresh, table, words
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -79,25 +83,23 @@ def repeated_words(w: Column) -> Column:
 
 def measures(docs: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """The columns of ``keep`` and the counts of each text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(*keep, t.alias("_t"), words(F.col(text)).alias("_w"))
-    lined = split.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    any_of = lambda test: F.size(F.filter("_w", test))
-    lines_of = lambda test: F.size(F.filter("_l", test))
-    stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
+    t, w, l = fresh(list(keep), "_t", "_w", "_l")  # noqa: E741
+    split = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(t), words(F.col(text)).alias(w))
+    lined = split.withColumn(l, F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    any_of = lambda test: F.size(F.filter(w, test))
+    lines_of = lambda test: F.size(F.filter(l, test))
     return lined.select(
         *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count(F.col("_t"), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_w")).cast("long").alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(F.col(t), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col(w)).cast("long").alias("n_repeat_words"),
+        F.size(l).cast("long").alias("n_lines"),
         any_of(lambda x: x == "|").cast("long").alias("n_pipe_words"),
-        F.regexp_count(F.col("_t"), F.lit(r"(?<!\p{L})\p{Lu}{2,}(?!\p{L})")).cast("long").alias("n_upper_words"),
+        F.regexp_count(F.col(t), F.lit(r"(?<!\p{L})\p{Lu}{2,}(?!\p{L})")).cast("long").alias("n_upper_words"),
         any_of(lambda x: F.upper(x) != F.lower(x)).cast("long").alias("n_letter_words"),
-        F.size(F.array_intersect(F.transform("_w", F.lower), stop)).cast("long").alias("n_stop_kinds"),
-        F.regexp_count(F.lower("_t"), F.lit(r"(?<!\p{L})(" + "|".join(dict.fromkeys(STOP_WORDS)) + r")(?!\p{L})")).cast("long").alias("n_stop_words"),
+        F.regexp_count(F.lower(t), F.lit(r"(?<!\p{L})(" + "|".join(dict.fromkeys(STOP_WORDS)) + r")(?!\p{L})")).cast("long").alias("n_stop_words"),
         lines_of(lambda x: x.rlike(r"^\s*[-*•]")).cast("long").alias("n_bullet_lines"),
         lines_of(lambda x: x.rlike(r"(\.\.\.|…)\s*$")).cast("long").alias("n_ellipsis_lines"),
     )
