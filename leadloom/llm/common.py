@@ -118,6 +118,25 @@ def fresh(columns: Sequence[str], *names: str) -> list[str]:
     return found
 
 
+#: A key is hot from this share of all rows on, so there are at most as many hot keys.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, *, size: str, by: str) -> DataFrame:
+    """Inner join of ``rows`` with ``found``, one row a key with the number of its rows in ``size``
+    (which goes). Rows of a hot key are dealt out by the hash of the column ``by``, and its one row
+    is repeated for each share, so no task gets more than about a HOT-th of all rows for one key."""
+    salt, shares = fresh([*rows.columns, *found.columns], "salt", "shares")
+    total = found.agg(F.sum(size)).first()[0] or 0
+    share = max(1, total // HOT)
+    pieces = F.ceil(F.col(size) / F.lit(share)).cast("long")
+    hot = found.where(F.col(size) > share).select(key, pieces.alias(shares))  # at most HOT rows
+    dealt = rows.join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn(salt, F.coalesce(F.pmod(F.xxhash64(by), F.col(shares)), F.lit(0).cast("long"))).drop(shares)
+    repeated = found.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(pieces, F.lit(1)) - 1))).drop(size)
+    return dealt.join(repeated, [key, salt]).drop(salt)
+
+
 def rows_of(docs: DataFrame, stays: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows whose id is in ``stays`` (doc_id); rows of one id repeated whole become one.
     Rows without an id all stay. Texts are shuffled once, by id."""

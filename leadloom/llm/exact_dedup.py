@@ -4,18 +4,24 @@ Texts are equal when their bytes agree after lower-casing A-Z only. Each task
 first combines the equal texts that it meets (full content, not digests, is the
 key), the local winners meet in salted digest groups, and the winners of the
 salts meet in the global group of the digest. Every stage groups by digest *and*
-content, so texts of equal digest but other content stay apart. A hot text
-therefore reaches a group as one row for each task, never as one row a document.
+content, so texts of equal digest but other content stay apart. A task's salt is
+the root of its number: of T tasks some 2 sqrt(T) at most share a salt and sqrt(T)
+salts meet in the end, so a hot text brings neither group more rows than that,
+however many tasks there are. The way back, from a digest's winner to its documents,
+deals out the rows of a hot digest.
 
 Defined cases: a null text is the empty text; a null ``doc_id`` is smaller than
 any other (``keep_id`` is null if all ids of the group are); rows repeated with
-the same id and text count each, and one of them stays; further columns of the
-input are ignored.
+the same id and text count each, and one of them stays (so do ties: of rows with
+one id the first); a text is read whole and must fit a task some four times over;
+an empty table gives no rows; further columns of the input are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import checkpointed, rows_of, small_batches, table
+from leadloom.llm.common import checkpointed, rows_of, small_batches, spread_join, table
 
 #: Bytes of text that a task holds while it combines equal texts.
 LOCAL_BYTES = 32 << 20
@@ -53,7 +59,12 @@ def _digests(digest: Callable[[bytes], bytes], with_content: bool):
     return run
 
 
-def _local_winners(digest: Callable[[bytes], bytes], salts: int):
+def salt_of(task: int) -> int:
+    """Salts 0 to sqrt(T) over T tasks; salt s gets 2 s + 1 of them."""
+    return math.isqrt(task)
+
+
+def _local_winners(digest: Callable[[bytes], bytes]):
     def flush(held: dict, salt: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
@@ -68,7 +79,7 @@ def _local_winners(digest: Callable[[bytes], bytes], salts: int):
 
     def run(batches):
         held: dict[bytes, list] = {}
-        size, salt = 0, TaskContext.get().partitionId() % salts
+        size, salt = 0, salt_of(TaskContext.get().partitionId())
         for doc_id, content in _rows(batches):
             if (best := held.get(content)) is None:
                 held[content] = [doc_id, 1]
@@ -91,21 +102,21 @@ def exact_duplicates(
     *,
     text: str = "text",
     doc_id: str = "doc_id",
-    salts: int = 8,
     digest: Callable[[bytes], bytes] = sha256,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest (bytes)."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("content"))
     local = source.mapInArrow(
-        _local_winners(digest, salts), "digest binary, content binary, salt int, keep_id long, group_size long"
+        _local_winners(digest), "digest binary, content binary, salt int, keep_id long, group_size long"
     )
     merge = (F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     classes = local.groupBy("digest", "content", "salt").agg(*merge).groupBy("digest", "content").agg(*merge)
     by_digest = checkpointed(classes.groupBy("digest").agg(*merge, F.count(F.lit(1)).alias("contents")))
     members = source.mapInArrow(_digests(digest, False), "doc_id long, digest binary")
     counted = members.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    found = counted.join(by_digest.where("contents = 1").drop("contents"), "digest")
+    single = by_digest.where("contents = 1").select("digest", "keep_id", "group_size", F.col("group_size").alias("rows"))
+    found = spread_join(counted, single, "digest", size="rows", by="doc_id")
     shared = by_digest.where("contents > 1").select("digest")
     if not shared.isEmpty():  # other content under one digest: settle these by content
         full = source.mapInArrow(_digests(digest, True), "doc_id long, digest binary, content binary")

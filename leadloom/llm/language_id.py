@@ -15,7 +15,11 @@ whole text. Larger automata parse text by text.
 
 The sample is bounded: some ``DOCS`` documents a language, each with a stretch of
 at most ``DOC_CHARS`` at a place its hash picks, cut to ``CHARS`` a language and
-``ALL_CHARS`` together (with many languages fewer documents and characters each).
+``ALL_CHARS`` together (with many languages fewer documents and characters each). The
+``LABELS`` labels with the most rows are learned (ties: first in code point order), so
+dirty labels cannot fill the driver or the workers: a rarer one is never predicted.
+Letters are numbered once for all languages, and a worker's tables grow with the letters
+of the samples alone.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 without labelled rows every text is ``und``; equal counts go to the language
@@ -36,8 +40,8 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import fresh, resident, small_batches, table
 
 DOCS, DOC_CHARS, CHARS, ALL_CHARS = 64, 1000, 24_000, 240_000
-#: Labels up to which their counts are broadcast.
-SMALL_COUNTS = 10_000
+#: Labels learned at most, and documents wanted of each at least (with 8 by chance, one language in 3,000 gets none).
+LABELS, FEWEST = 500, 8
 TABLE_CELLS = 16 << 20
 #: Characters of text in a slice of a batch, and in a stretch.
 SLICE_CHARS, STRETCH = 3 << 20, 4096
@@ -143,11 +147,15 @@ class Parser:
         self.table = np.full(sum(cells[k] for k in self.tabled), -1, np.int32)
         self.width = np.array([len(alphabets[k]) + 1 for k in self.tabled], np.int64)
         code = np.uint8 if len(self.width) and self.width.max() <= 256 else np.uint16
-        self.code = np.empty((len(self.tabled), 0x110000), code)
+        # code point -> row of `code`, which holds the letter's column in each language's table
+        seen = sorted(set().union(*(alphabets[k] for k in self.tabled)))
+        self.row = np.full(0x110000, len(seen), np.int32)
+        self.row[[ord(c) for c in seen]] = np.arange(len(seen))
+        self.code = np.empty((len(seen) + 1, len(self.tabled)), code)
         for i, k in enumerate(self.tabled):
             letters = {c: j for j, c in enumerate(alphabets[k])}
-            self.code[i] = len(letters)  # letters never seen share the last column, which leads nowhere
-            self.code[i, [ord(c) for c in letters]] = np.arange(len(letters))
+            self.code[:, i] = len(letters)  # letters never seen share the last column, which leads nowhere
+            self.code[self.row[[ord(c) for c in letters]], i] = np.arange(len(letters))
             base, width = int(self.root[i]), int(self.width[i])
             for state, edges in enumerate(self.automata[k].next):
                 for c, to in edges.items():
@@ -190,7 +198,7 @@ class Parser:
         n, width = len(sizes), len(self.tabled)
         order = np.argsort(-sizes, kind="stable")
         running = np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), "left")  # stretches longer than t
-        columns = np.stack([code[points] for code in self.code], axis=1)
+        columns = self.code.take(self.row.take(points), axis=0)
         root = np.tile(self.root.astype(np.int32), n)
         now, count, first = root.copy(), np.zeros(n * width, np.int32), begins[order]
         for t, lanes in enumerate(running.tolist()):
@@ -234,23 +242,26 @@ class Parser:
         return [self.names[b] if n else "und" for b, n in zip(best.tolist(), sizes.tolist(), strict=True)], np.maximum(score, 0.0).tolist()
 
 
-def learn(labelled: DataFrame, *, docs: int = DOCS, doc_chars: int = DOC_CHARS, chars: int = CHARS, all_chars: int = ALL_CHARS) -> tuple[tuple[str, str], ...]:
+def learn(
+    labelled: DataFrame, *, docs: int = DOCS, doc_chars: int = DOC_CHARS, chars: int = CHARS, all_chars: int = ALL_CHARS, labels: int = LABELS
+) -> tuple[tuple[str, str], ...]:
     """(language, sample) of (doc_id, text, lang), all not null. The driver gets the bounded sample alone."""
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    languages = counts.count()
+    most = counts.orderBy(F.desc("rows"), "lang").limit(labels).collect()
+    languages = len(most)
     if not languages:
         return ()
-    wanted = max(1, min(docs, 2 * all_chars // (languages * doc_chars)))
+    known = F.broadcast(labelled.sparkSession.createDataFrame(most, counts.schema))
+    wanted = max(FEWEST, min(docs, 2 * all_chars // (languages * doc_chars)))
     place = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     start = 1 + F.pmod(F.shiftright(place, 8), F.greatest(F.lit(1), F.length("text") - doc_chars))
-    known = F.broadcast(counts) if languages <= SMALL_COUNTS else counts
     drawn = labelled.join(known, "lang").where(F.pmod(place, F.lit(1 << 30)) < F.least(F.lit(1.0), wanted / F.col("rows")) * (1 << 30))
     rows = drawn.select("lang", place.alias("place"), F.substr("text", start, F.lit(doc_chars)).alias("text")).collect()
-    most = max(1, min(chars, all_chars // languages))
+    share = max(1, min(chars, all_chars // languages))
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["place"], r["text"])):
-        if len(samples.setdefault(r["lang"], "")) < most:
-            samples[r["lang"]] = (samples[r["lang"]] + normal(r["text"]))[:most]
+        if len(samples.setdefault(r["lang"], "")) < share:
+            samples[r["lang"]] = (samples[r["lang"]] + normal(r["text"]))[:share]
     return tuple((k, v) for k, v in sorted(samples.items()) if v)
 
 

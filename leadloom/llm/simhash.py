@@ -12,13 +12,15 @@ the bits known of both. Subtrees that already hang together are not paired again
 so a group of near copies costs about its size, not its pairs, and gives the
 edges of a spanning forest.
 
-To deal the work out, one walk is made for each of budget + 1 rotations, which
-puts another stretch of the bits at the top: two fingerprints within the budget
-agree in at least one stretch, so in one of the rotations their paths coincide
-down to the node where that stretch ends. The nodes there are Spark's groups, and
-each is walked in its task down to the leaves. A node of more than ``GROUP``
-fingerprints, if that is far more than the mean, is cut into blocks, and each pair
-of blocks is a group of its own. The components come from Spark rounds that hook
+To deal the work out, the bits are cut into stretches, and one walk is made for each
+choice of all but ``budget`` of them, which puts these at the top: two fingerprints
+within the budget agree in that many stretches, so in one of the walks their paths
+coincide down to the node where the chosen stretches end. The nodes there are
+Spark's groups, and each is walked in its task down to the leaves. With budget + 1
+stretches a node fixes 16 bits, with more it lies deeper: 25 bits with five, 31 with
+six. The count of fingerprints settles how many, so that a node's mean stays under a
+``LARGE``-th of ``GROUP``. A node of more than ``GROUP`` fingerprints is cut into blocks, and
+each pair of blocks is a group of its own: no task's group grows with the table. The components come from Spark rounds that hook
 each fingerprint to its smallest neighbour until nothing moves. Copies of one
 fingerprint are one node.
 
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -40,12 +43,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import checkpointed, rows_of, small_batches, table
+from leadloom.llm.common import checkpointed, rows_of, small_batches, spread_join, table
 
 BITS = 64
 #: Shingles whose bits are counted at once.
 STEP = 1 << 15
-#: Nodes up to this size, or up to LARGE times the mean, are one task's group.
+#: Fingerprints of a node that are one task's group, and how far the mean of all nodes stays below.
 GROUP, LARGE = 50_000, 4
 
 
@@ -194,30 +197,34 @@ def _link(budget: int):
     return run
 
 
-def _rotated(fp: Column, by: int) -> Column:
-    return fp if by == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
+def stretches(budget: int, count: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of as many stretches as bring ``count`` fingerprints to small nodes."""
+    for n in range(budget + 1, BITS):
+        cuts = [BITS * i // n for i in range(n + 1)]
+        found = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        fixed = sum(sorted(bits for _, bits in found)[: n - budget])
+        if count >> fixed <= GROUP // LARGE:
+            break
+    return found
+
+
+def _node(fp: Column, chosen: tuple[tuple[int, int], ...]) -> Column:
+    """The bits of the chosen stretches, side by side."""
+    found = F.lit(0).cast("long")
+    for low, bits in chosen:
+        found = F.shiftleft(found, bits).bitwiseOR(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+    return found
 
 
 def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
     """Edges (a, b) of a graph whose components are those of all links among ``fp``."""
     small_batches(distinct.sparkSession)
-    stretch = BITS // (budget + 1)
-    at_node = distinct.select(
-        "fp",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(_rotated(F.col("fp"), r * stretch), BITS - stretch).alias("node"))
-                    for r in range(budget + 1)
-                ]
-            )
-        ).alias("k"),
-    ).select("fp", "k.r", "k.node")
+    cut = stretches(budget, distinct.count())
+    walks = [_node(F.col("fp"), chosen) for chosen in combinations(cut, len(cut) - budget)]
+    at_node = distinct.select("fp", F.posexplode(F.array(*walks)).alias("r", "node"))
     sizes = checkpointed(at_node.groupBy("r", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    mean = sizes.agg(F.avg("n")).first()[0] or 0.0
-    most = max(GROUP, int(LARGE * mean))
     # blocks of a node: pairs (lo, hi) of block numbers, each fingerprint in the pairs of its own block
-    blocks = F.ceil(F.col("n") / F.lit(most)).cast("long")
+    blocks = F.ceil(F.col("n") / F.lit(GROUP)).cast("long")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     dealt = (
         at_node.join(sizes, ["r", "node"])
@@ -272,16 +279,16 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach)."""
     prints = checkpointed(fingerprints(docs, shingle=shingle, seed=seed, text=text, doc_id=doc_id))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
     hooked = components(links(nodes, budget))
     rooted = checkpointed(
         nodes.join(hooked, nodes["fp"] == hooked["child"], "left").select(
-            "fp", "first_id", F.coalesce("parent", "fp").alias("root")
+            "fp", "first_id", "rows", F.coalesce("parent", "fp").alias("root")
         )
     )
     first = checkpointed(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = checkpointed(rooted.join(first, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = checkpointed(rooted.join(first, "root").select("fp", "component_id", "rows"))
+    return spread_join(prints, named, "fp", size="rows", by="doc_id").select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

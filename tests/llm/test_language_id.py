@@ -106,3 +106,16 @@ def test_edges(spark):
     assert language_id.keep_identified(clash).count() == 4
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert language_id.keep_identified(unlabelled).count() == 4
+
+
+def test_many_labels_are_bounded(spark):
+    """Of dirty labels the most frequent are learned, ties in code point order."""
+    rows = [(i, "the cat and the dog", "en") for i in range(40)] + [(100 + i, "der hund und die katze", "de") for i in range(40)]
+    rows += [(1000 + i, f"noise {i}", f"x{i:04d}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = language_id.labelled_rows(docs, "text", "doc_id", "lang")
+    assert [name for name, _ in language_id.learn(labelled, labels=2)] == ["de", "en"]
+    assert len(language_id.learn(labelled, docs=10**6, all_chars=10**7, labels=50)) == 50
+    samples = language_id.learn(labelled)
+    assert len(samples) <= language_id.LABELS and {"de", "en"} <= {name for name, _ in samples}
+    assert language_id.Parser(samples).code.shape[0] < 100

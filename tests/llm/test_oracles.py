@@ -32,6 +32,21 @@ def test_exact_dedup_where_digests_collide(spark):
     assert sorted(r.doc_id or 0 for r in exact_dedup.keep_one_of_each(docs).collect()) == [0, 0, 2, 3, 5, 7, 8]
 
 
+def test_exact_dedup_of_a_hot_and_a_long_text_with_clashing_names(spark):
+    assert [exact_dedup.salt_of(t) for t in (0, 1, 3, 4, 99_999)] == [0, 1, 1, 2, 316]
+    rows = spark.range(0, 9000, 1, 40).selectExpr(
+        "id as doc_id", "case when id = 7 then repeat('Long Text ', 300000) when id % 3 = 0 then 'Hot' else concat('t', id div 2) end as text",
+        "1 as content", "2 as digest", "3 as salt", "4 as shares", "5 as keep_id", "6 as rows"
+    )
+    want = {}
+    for r in rows.select("doc_id", "text").collect():
+        want.setdefault(r.text.lower(), []).append(r.doc_id)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(rows).collect()}
+    assert got == {i: (max(ids), len(ids), i == max(ids)) for ids in want.values() for i in ids}
+    kept = exact_dedup.keep_one_of_each(rows)
+    assert kept.columns == rows.columns and kept.count() == len(want)
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", None), (1, None, None, "late"), (1, 1, "bob smith", "x"), (None, 300, "user", "y"), (2, 0, "system", "only"), (3, 600, "user", "far"), (3, 600, "user", "far")]
     turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, speaker int")

@@ -6,8 +6,9 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from leadloom.llm import simhash
+from leadloom.llm import common, simhash
 
 
 def plain_fingerprint(text, k=3):
@@ -53,6 +54,17 @@ def test_edge_rows(spark):
     assert simhash.keep_one_of_each(docs.where("doc_id <> 6")).count() == 3
 
 
+def test_hot_keys_are_dealt_out(spark):
+    """The join back to the documents, with a key of a third of all rows, against the plain join."""
+    rows = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 0, id % 700) as fp", "id as salt")
+    found = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    got = common.spread_join(rows, found, "fp", size="n", by="doc_id")
+    assert got.columns == ["fp", "doc_id", "salt", "first"]
+    want = rows.join(found.drop("n"), "fp")
+    assert got.count() == 6000 and got.exceptAll(want).isEmpty()
+    assert common.spread_join(rows.limit(0), found.limit(0), "fp", size="n", by="doc_id").count() == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 2**32), st.integers(2, 350))
 def test_trie_join_finds_every_pair(seed, n):
@@ -93,12 +105,9 @@ def test_the_trie_is_walked_and_pruned(spark):
     assert sum(simhash.TrieJoin(sorted(g), 3).seen for g in by.values()) > len(fps) / 20
 
 
-def test_links_and_components_with_split_nodes(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP", 20)
-    monkeypatch.setattr(simhash, "LARGE", 0)
-    r = random.Random(5)
+def check_links(spark, r, n):
     prints = {}
-    for i in range(400):
+    for i in range(n):
         x = 0x0123456789ABCDEF if i % 2 else r.getrandbits(64)
         for _ in range(r.randint(0, 5)):
             x ^= 1 << r.randrange(64)
@@ -109,3 +118,20 @@ def test_links_and_components_with_split_nodes(spark, monkeypatch):
     for i, x in prints.items():
         by.setdefault(want[i], set()).add(hooked.get(x, x))
     assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
+
+
+def test_links_and_components_with_split_nodes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    check_links(spark, random.Random(5), 400)
+
+
+def test_nodes_lie_deeper_in_larger_tables(spark, monkeypatch):
+    for count in (0, 10**6, 10**9, 10**11, 10**13):
+        cut = simhash.stretches(3, count)
+        assert sum(bits for _, bits in cut) == 64 and cut[0][0] == 0
+        assert count / 2 ** sum(sorted(bits for _, bits in cut)[: len(cut) - 3]) <= simhash.GROUP / simhash.LARGE + 1
+    assert [len(simhash.stretches(3, n)) for n in (10**6, 10**10, 10**12)] == [4, 5, 6]
+    deep = simhash.stretches
+    for count in (10**10, 10**12):
+        monkeypatch.setattr(simhash, "stretches", lambda budget, _, count=count: deep(budget, count))
+        check_links(spark, random.Random(count), 300)
