@@ -6,6 +6,13 @@ checked: five-word shingles, Jaccard similarity of 0.8 or more) keep one documen
 of each group, mixing repeats or thins the sources to their target weights, and
 packing cuts the rest into windows of token ids, which its rows hold. Each stage
 works on all that its predecessor kept, written as Parquet and read again.
+
+Defined cases: a null or empty text, or one without letters, goes in the language stage;
+rows without an id all pass the dedup stages and are named by a hash of their columns in
+the mix; rows repeated whole become one in the dedup stages; of equal texts the largest id
+stays, of near copies the smallest; without labels the language stage only looks for a
+letter; a very long text is read whole by each stage and must fit a task; an empty table
+gives no rows; further columns pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
