@@ -43,12 +43,15 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import small_batches, table
 
 WIDTH = 20
-#: log2 of the cells in a block of the sketch (a bit each once merged): the blocks of a row stay
-#: near 2 to the BLOCKS, within these bounds.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS = 20, 26, 13
+#: log2 of the cells in a block of the sketch (a byte each while merged), within these bounds; a
+#: home sends a block some 40 to 160 of its cells, and 30 where blocks are largest, at 100 TB.
+LEAST_BLOCK, MOST_BLOCK = 20, 28
+CELLS = 80
 ROWS = 2
-#: Bytes of text that a home of documents, or a bucket of windows, stands for.
-HOME_BYTES, LEAST_HOMES = 4 << 20, 512
+#: Bytes of text that a home of documents, or a bucket of windows, stands for: they grow with the
+#: root of the input from ROOT bytes on, so that homes do, to GROWN times as many, which a task
+#: holds in some 700 MB. A word and its space are about WORD_BYTES.
+HOME_BYTES, LEAST_HOMES, ROOT, GROWN, WORD_BYTES = 4 << 20, 512, 64 << 30, 8, 6
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -153,7 +156,7 @@ def _sketch(width: int, bits: int, block_bits: int):
 def _merge(block_bits: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """For each home, a bit for each of its cells: whether all homes together met it twice or more."""
-        once, twice = np.zeros(1 << block_bits, bool), np.zeros(1 << block_bits, bool)
+        met = np.zeros(1 << block_bits, np.uint8)
 
         def parts():
             for data in rows["cells"]:
@@ -161,9 +164,8 @@ def _merge(block_bits: int):
                 yield np.cumsum(gaps, dtype=np.int64), more
 
         for cells, more in parts():
-            twice[cells[once[cells] | more]] = True
-            once[cells] = True
-        bits = [squeeze_bits(twice[cells]) for cells, _ in parts()]
+            met[cells] = np.minimum(met[cells] + (more + np.uint8(1)), 2)
+        bits = [squeeze_bits(met[cells] == 2) for cells, _ in parts()]
         n = len(bits)
         return pa.table([rows["home"], pa.array([key[0].as_py()] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int64()), pa.array(bits, pa.binary())], ["home", "row", "block", "bits"])
 
@@ -187,6 +189,15 @@ RECORD = ("<u8", "<u8", "<i8", "<i4")  # two hashes, document, start
 SETTLED = ("<i8", "<i4")
 
 
+def layout(size: int, home_bytes: int = HOME_BYTES) -> tuple[int, int, int]:
+    """For bytes of text: log2 of the cells of the sketch and of a block's, and the buckets."""
+    home_bytes = int(home_bytes * min(GROWN, max(1.0, (size / ROOT) ** 0.5)))
+    bits = max(LEAST_BLOCK, max(1, size // 4 - 1).bit_length())
+    blocks = max(1, home_bytes // (WORD_BYTES * CELLS)).bit_length() - 1
+    block_bits = min(MOST_BLOCK, max(LEAST_BLOCK, bits - blocks))
+    return bits, block_bits, 1 << max(LEAST_HOMES - 1, size // home_bytes).bit_length()
+
+
 def homes(buckets: int) -> int:
     """The least prime from ``buckets`` on: documents live in the bucket of id mod that."""
     n = buckets | 1
@@ -306,9 +317,7 @@ def drop_repeated(docs: DataFrame, *, width: int = WIDTH, text: str = "text", do
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("content"))
     size = rows.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    bits = max(LEAST_BLOCK, max(1, size // 4 - 1).bit_length())
-    block_bits = min(MOST_BLOCK, max(LEAST_BLOCK, bits - BLOCKS))
-    buckets = 1 << max(LEAST_HOMES - 1, size // home_bytes).bit_length()
+    bits, block_bits, buckets = layout(size, home_bytes)
     named = rows.where("doc_id is not null")
     placed = named.withColumn("home", F.pmod("doc_id", F.lit(homes(buckets)).cast("long"))).repartition("home")
     met = placed.groupBy("home").applyInArrow(_sketch(width, bits, block_bits), "row int, block long, home long, cells binary")

@@ -69,6 +69,19 @@ def test_sketch_and_bits_of_one_home():
     assert keep[copied].all() and keep[~copied].mean() < 0.001
 
 
+def test_layout_at_any_size():
+    """Homes and blocks grow with the root of the text, and a shuffle row stays a block of many cells."""
+    for size in (0, 10**6, 10**9, 30 * 10**9, 10**12, 10**13, 10**14):
+        bits, block_bits, buckets = substring_dedup.layout(size)
+        assert 1 << bits >= size // 4 and buckets & (buckets - 1) == 0
+        assert (1 << block_bits) <= 256 << 20  # bytes that merging a block takes
+        home = size / buckets
+        assert home <= substring_dedup.GROWN * substring_dedup.HOME_BYTES
+        if size >= 10**9:
+            assert home / 6 / 2 ** (bits - block_bits) >= 28
+    assert substring_dedup.layout(10**14)[2] < substring_dedup.layout(10**10)[2] * 10**4 / 4
+
+
 def test_empty_table(spark):
     assert run(spark, [], 20) == []
 
