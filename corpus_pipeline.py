@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.llm import exact_dedup, language_id, mixing, near_copies, packing
-from leadloom.llm.common import forget, table, written
+from leadloom.llm.common import forget, passing, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with passing(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
         if before is not None:
             forget(before)
         before = docs

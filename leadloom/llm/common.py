@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,39 +72,52 @@ def _deleted_at_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder. The copy goes with the driver, or earlier, when nothing
-    refers to it, where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-        _deleted_at_exit(spark, spark.sparkContext.getCheckpointDir())
-    return df.checkpoint()
+#: Spark's setting that deletes the shuffles of a query when it ends.
+_CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles that nothing refers to any more; it does so when the driver
-    collects its garbage, which a long chain of steps may not see by itself."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANS, None)
+    spark.conf.set(_CLEANS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANS) if before is None else spark.conf.set(_CLEANS, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; it goes by `forget`, or with the driver."""
+    """Write ``df`` as Parquet in the shared folder and read it back. The shuffles of the write go
+    when it ends; the table goes by `forget`, at the end of `passing`, or with the driver."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_go(spark):
+        df.write.parquet(path)
     _deleted_at_exit(spark, path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what `written` wrote, once nothing reads it any more."""
-    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """All tables written inside go at the end, but for the last one, which is the result."""
+    start = len(_MADE)
+    yield
+    for folder in _MADE[start:-1]:
+        _delete(spark, folder)
+    del _MADE[start:-1]
 
 
 def fresh(columns: Sequence[str], *names: str) -> list[str]:

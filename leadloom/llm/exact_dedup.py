@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import checkpointed, rows_of, small_batches, spread_join, table
+from leadloom.llm.common import rows_of, small_batches, spread_join, table, written
 
 #: Bytes of text that a task holds while it combines equal texts.
 LOCAL_BYTES = 32 << 20
@@ -112,7 +112,7 @@ def exact_duplicates(
     )
     merge = (F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     classes = local.groupBy("digest", "content", "salt").agg(*merge).groupBy("digest", "content").agg(*merge)
-    by_digest = checkpointed(classes.groupBy("digest").agg(*merge, F.count(F.lit(1)).alias("contents")))
+    by_digest = written(classes.groupBy("digest").agg(*merge, F.count(F.lit(1)).alias("contents")), "exact-digests")
     members = source.mapInArrow(_digests(digest, False), "doc_id long, digest binary")
     counted = members.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     single = by_digest.where("contents = 1").select("digest", "keep_id", "group_size", F.col("group_size").alias("rows"))

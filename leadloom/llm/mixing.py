@@ -35,7 +35,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import WORD, checkpointed, fresh, table
+from leadloom.llm.common import WORD, fresh, passing, table, written
 
 BUCKETS = 4096
 SEED = "mix-1"
@@ -120,25 +120,28 @@ def mix(
     seed: str = SEED,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    sized = checkpointed(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            F.col(source).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            uniform(F.col(doc_id), seed).alias("u"),
-        ).withColumn("class", size_class(F.col("size")))
-    )
-    classes = checkpointed(sized.groupBy("source", "class").agg(F.sum("size").alias("class_size")))
-    targets = source_targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")), weights, cap)
-    plan = checkpointed(inclusion(classes, targets))
-    drawn = sized.join(F.broadcast(plan) if plan.count() <= SMALL_PLAN else plan, sized["source"].eqNullSafe(plan["s"]) & (sized["class"] == plan["k"]))
-    odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p")))
-    even = odds * F.col("even")
-    ranked = checkpointed(
-        drawn.withColumn("odds", F.when((F.col("p") > 0) & (F.col("p") < 1), odds))
-        .withColumn("bucket", F.when(F.col("odds").isNotNull(), F.floor(F.lit(buckets) * (even / (1 + even))).cast("int")))
-        .select("doc_id", "source", "size", "source_size", "target", "whole", "p", "need", "odds", "bucket")
-    )
+    with passing(docs.sparkSession):
+        sized = written(
+            docs.select(
+                F.col(doc_id).alias("doc_id"),
+                F.col(source).alias("source"),
+                F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                uniform(F.col(doc_id), seed).alias("u"),
+            ).withColumn("class", size_class(F.col("size"))),
+            "mix-sized",
+        )
+        classes = written(sized.groupBy("source", "class").agg(F.sum("size").alias("class_size")), "mix-classes")
+        targets = source_targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")), weights, cap)
+        plan = written(inclusion(classes, targets), "mix-plan")
+        drawn = sized.join(F.broadcast(plan) if plan.count() <= SMALL_PLAN else plan, sized["source"].eqNullSafe(plan["s"]) & (sized["class"] == plan["k"]))
+        odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p")))
+        even = odds * F.col("even")
+        ranked = written(
+            drawn.withColumn("odds", F.when((F.col("p") > 0) & (F.col("p") < 1), odds))
+            .withColumn("bucket", F.when(F.col("odds").isNotNull(), F.floor(F.lit(buckets) * (even / (1 + even))).cast("int")))
+            .select("doc_id", "source", "size", "source_size", "target", "whole", "p", "need", "odds", "bucket"),
+            "mix-ranked",
+        )
     ranges = ranked.where("bucket is not null").groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
     # a source has at most `buckets` ranges
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import checkpointed, release, rows_of, small_batches
+from leadloom.llm.common import forget, passing, rows_of, small_batches, written
 from leadloom.llm.simhash import components, links, majority, shingle_hashes
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
@@ -43,6 +43,8 @@ BANDS, ROWS, AGREE = 32, 5, 102
 REACH, FEW, BLOCK = 8, 2, 1000
 #: Rows up to which a bucket stays in one partition.
 SPREAD = 10_000
+#: Shingle hashes (of 8 bytes) that a block of mates has on average, or a piece of those who ask it.
+HELD = 1 << 22
 #: Shingles that are hashed by all functions at once.
 STEP = 1 << 12
 
@@ -186,10 +188,17 @@ def _by_block(pairs: DataFrame, blocks: int) -> DataFrame:
 
 def _settled(asked: DataFrame, sets: DataFrame, blocks: int) -> DataFrame:
     """The pairs whose similarity reaches the least. A block of mates is one group, so a
-    document's hashes travel once for each block that it asks, not once for each pair."""
-    asking = asked.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("a_hashes")), "a")
-    placed = sets.select(F.pmod("doc_id", F.lit(blocks).cast("long")).alias("b_block"), F.col("doc_id").alias("b"), F.col("hashes").alias("b_hashes"))
-    theirs = placed.join(asked.select(F.col("block").alias("b_block")).distinct(), "b_block", "left_semi")
+    document's hashes travel once for each block that it asks, not once for each pair. Where
+    those who ask a block have many hashes, they come in pieces, and the block to each of them."""
+    asked = written(asked, "near-asked")
+    load = asked.select("a", "block").join(sets.select(F.col("doc_id").alias("a"), "n"), "a").groupBy("block")
+    pieces = written(load.agg(F.ceil(F.sum("n") / HELD).cast("long").alias("pieces")), "near-pieces")
+    piece = F.pmod(F.xxhash64("a"), F.col("pieces")).alias("piece")
+    asking = asked.join(pieces, "block").select("a", "block", "mates", piece)
+    asking = asking.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("a_hashes")), "a")
+    block = F.pmod("doc_id", F.lit(blocks).cast("long")).alias("block")
+    placed = sets.select(block, F.col("doc_id").alias("b"), F.col("hashes").alias("b_hashes")).join(pieces, "block")
+    theirs = placed.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "b", "b_hashes")
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         known, out = dict(zip(y["b"], y["b_hashes"], strict=True)), []
@@ -197,7 +206,8 @@ def _settled(asked: DataFrame, sets: DataFrame, blocks: int) -> DataFrame:
             out += [(min(a, b), max(a, b)) for b in mates.tolist() if similar(hashes, known[b])]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return checkpointed(asking.groupBy("block").cogroup(theirs.groupBy("b_block")).applyInPandas(run, "a long, b long"))
+    met = asking.groupBy("block", "piece").cogroup(theirs.groupBy("block", "piece"))
+    return written(met.applyInPandas(run, "a long, b long"), "near-settled")
 
 
 def similar(s: bytes, t: bytes) -> bool:
@@ -208,54 +218,62 @@ def similar(s: bytes, t: bytes) -> bool:
 
 
 def _hashed(source: DataFrame, needed: DataFrame) -> DataFrame:
-    """doc_id and the hashes of its shingles, for the documents of ``needed``. Rows of one id
+    """doc_id, the number of its shingles and their hashes, for the documents of ``needed``. Rows of one id
     count as one document: any of them stands for it."""
 
     def run(batches):
         for rows in batches:
-            found = [hashes_of(x)[1].tobytes() for x in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.binary())], ["doc_id", "hashes"])
+            found = [hashes_of(x)[1] for x in rows.column(1).to_pylist()]
+            columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *columns], ["doc_id", "n", "hashes"])
 
-    sets = source.join(needed.distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary")
-    return checkpointed(sets.dropDuplicates(["doc_id"]))
+    sets = source.join(needed.distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, hashes binary")
+    return written(sets.dropDuplicates(["doc_id"]), "near-sets")
 
 
 def _close(signed: DataFrame, budget: int) -> DataFrame:
     """Candidates (a, b) by SimHash: documents of one fingerprint, and those of linked ones."""
-    nodes = checkpointed(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = written(signed.groupBy("fp").agg(F.min("doc_id").alias("first")), "near-nodes")
     same = signed.join(nodes, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     first = lambda c: nodes.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
     linked = links(nodes, budget).join(first("a"), "a").join(first("b"), "b")
-    return checkpointed(same.unionByName(linked.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))))
+    return written(same.unionByName(linked.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))), "near-close")
 
 
 def _members(signed: DataFrame) -> DataFrame:
     """The rows of MinHash buckets of two or more."""
     banded = signed.select("doc_id", F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return checkpointed(banded.join(shared, "key").join(signed.select("doc_id", "n", "sketch"), "doc_id"))
+    return written(banded.join(shared, "key").join(signed.select("doc_id", "n", "sketch"), "doc_id"), "near-members")
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", budget: int = 3) -> DataFrame:
     """(child, parent): each document with a smaller one in its component, and the smallest."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null")
-    signed = checkpointed(signatures(source))
-    close, members = _close(signed, budget), _members(signed)
-    del signed
-    release(docs.sparkSession)
-    sets = _hashed(source, members.select("doc_id").unionByName(close.select(F.explode(F.array("a", "b")).alias("doc_id"))))
-    release(docs.sparkSession)
-    blocks = -(-sets.count() // BLOCK) or 1
-    found = _settled(_by_block(_sliding(members).unionByName(close), blocks), sets, blocks)
-    hooked = checkpointed(components(found))
-    del close
-    release(docs.sparkSession)
-    more = _settled(_apart(members, hooked, blocks), sets, blocks)
-    if not more.isEmpty():
-        hooked = checkpointed(components(found.unionByName(more)))
-    del members, sets, found, more
-    release(docs.sparkSession)
+    spark = docs.sparkSession
+    with passing(spark):
+        signed = written(signatures(source), "near-signed")
+        members = _members(signed)
+        with passing(spark):
+            close = _close(signed, budget)
+        forget(signed)
+        asked = members.select("doc_id").unionByName(close.select(F.explode(F.array("a", "b")).alias("doc_id")))
+        sets = _hashed(source, asked)
+        count, held = sets.agg(F.count(F.lit(1)), F.sum("n")).first()
+        blocks = max(1, -(-count // BLOCK), -(-(held or 0) // HELD))
+        with passing(spark):
+            found = _settled(_by_block(_sliding(members).unionByName(close), blocks), sets, blocks)
+        forget(close)
+        hooked = components(found)
+        with passing(spark):
+            more = _settled(_apart(members, hooked, blocks), sets, blocks)
+        forget(members)
+        forget(sets)
+        if not more.isEmpty():
+            hooked = components(found.unionByName(more))
+        else:
+            hooked = written(hooked, "near-hooked")
     return hooked
 
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import checkpointed, rows_of, small_batches, spread_join, table
+from leadloom.llm.common import forget, passing, rows_of, small_batches, spread_join, table, written
 
 BITS = 64
 #: Shingles whose bits are counted at once.
@@ -222,7 +222,7 @@ def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
     cut = stretches(budget, distinct.count())
     walks = [_node(F.col("fp"), chosen) for chosen in combinations(cut, len(cut) - budget)]
     at_node = distinct.select("fp", F.posexplode(F.array(*walks)).alias("r", "node"))
-    sizes = checkpointed(at_node.groupBy("r", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    sizes = written(at_node.groupBy("r", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
     # blocks of a node: pairs (lo, hi) of block numbers, each fingerprint in the pairs of its own block
     blocks = F.ceil(F.col("n") / F.lit(GROUP)).cast("long")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
@@ -251,9 +251,9 @@ def components(edges: DataFrame) -> DataFrame:
     that one, and a child follows its parent to the parent's own smallest.
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"))
-    now = checkpointed(ordered.distinct())
+    now = written(ordered.distinct(), "components")
     while True:
-        up = checkpointed(now.groupBy("child").agg(F.min("parent").alias("top")))
+        up = written(now.groupBy("child").agg(F.min("parent").alias("top")), "components-up")
         above = up.select(F.col("child").alias("parent"), F.col("top").alias("above"))
         seen = now.join(up, "child").join(above, "parent", "left")
         extra = F.col("parent") != F.col("top")
@@ -262,7 +262,10 @@ def components(edges: DataFrame) -> DataFrame:
             F.when(extra, F.col("top")).otherwise(F.coalesce("above", "top")).alias("parent"),
             (extra | F.col("above").isNotNull()).alias("moved"),
         )
-        now = checkpointed(moved.groupBy("child", "parent").agg(F.max("moved").alias("moved")))
+        later = written(moved.groupBy("child", "parent").agg(F.max("moved").alias("moved")), "components")
+        forget(now)
+        forget(up)
+        now = later
         if now.where("moved").isEmpty():
             return now.select("child", "parent")
         now = now.select("child", "parent")
@@ -278,16 +281,14 @@ def near_duplicates(
     doc_id: str = "doc_id",
 ) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach)."""
-    prints = checkpointed(fingerprints(docs, shingle=shingle, seed=seed, text=text, doc_id=doc_id))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
-    hooked = components(links(nodes, budget))
-    rooted = checkpointed(
-        nodes.join(hooked, nodes["fp"] == hooked["child"], "left").select(
-            "fp", "first_id", "rows", F.coalesce("parent", "fp").alias("root")
-        )
-    )
-    first = checkpointed(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = checkpointed(rooted.join(first, "root").select("fp", "component_id", "rows"))
+    prints = written(fingerprints(docs, shingle=shingle, seed=seed, text=text, doc_id=doc_id), "simhash-prints")
+    with passing(docs.sparkSession):
+        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "simhash-nodes")
+        hooked = components(links(nodes, budget))
+        joined = nodes.join(hooked, nodes["fp"] == hooked["child"], "left")
+        rooted = written(joined.select("fp", "first_id", "rows", F.coalesce("parent", "fp").alias("root")), "simhash-rooted")
+        first = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-first")
+        named = written(rooted.join(first, "root").select("fp", "component_id", "rows"), "simhash-named")
     return spread_join(prints, named, "fp", size="rows", by="doc_id").select("doc_id", "fp", "component_id")
 
 

@@ -81,6 +81,14 @@ def test_a_family_without_links_and_one_with_bridges(spark):
     assert kept(docs) == Counter(i for i, root in plain_roots(texts).items() if i == root)
 
 
+def test_small_pieces_find_the_same(spark, monkeypatch):
+    """Blocks of a few mates, asked in pieces of a few hashes."""
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    monkeypatch.setattr(near_copies, "HELD", 300)
+    test_large_group_and_chains(spark)
+    test_a_family_without_links_and_one_with_bridges(spark)
+
+
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (6, "É é\x1cx y z"), (6, "É é\x1cx y z"), (None, "One two"), (None, "One two"), (9, "w " * 70000), (10, "one two three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

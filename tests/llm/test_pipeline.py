@@ -33,12 +33,41 @@ def test_run_packs_the_ids_and_leaves_only_its_result(spark):
     from tokenizers import Tokenizer
 
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
-    before = set(glob.glob(f"{folder}/pipeline-*"))
+    before = set(glob.glob(f"{folder}/*"))
     got = corpus_pipeline.run(spark, SF)
-    made = set(glob.glob(f"{folder}/pipeline-*")) - before
+    made = set(glob.glob(f"{folder}/*")) - before
     assert len(made) == 1 and "pipeline-pack-" in made.pop()
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in got.limit(50).collect():
         ids = plain.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
         assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.start : r.start + r.length]
+
+
+def test_operators_leave_only_what_their_results_read(spark):
+    import glob
+
+    from leadloom.llm import exact_dedup, mixing, near_copies, simhash
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for made_by, left in ((simhash.near_duplicates, 2), (near_copies.near_copies, 1), (mixing.mix, 1), (exact_dedup.exact_duplicates, 1)):
+        before = set(glob.glob(f"{folder}/*"))
+        got = made_by(docs)
+        assert len(set(glob.glob(f"{folder}/*")) - before) == left
+        assert got.count() or made_by is near_copies.near_copies
+
+
+def test_shuffles_of_a_written_table_go_with_its_query(spark):
+    import glob
+    import os
+
+    from leadloom.llm.common import _CLEANS, forget, written
+
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {p for d in local for p in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, setting = shuffles(), spark.conf.get(_CLEANS, None)
+    got = written(spark.range(1000).repartition(7), "shuffled")
+    assert not shuffles() - before and got.count() == 1000 and spark.conf.get(_CLEANS, None) == setting
+    forget(got)
+    assert not os.path.exists(got.inputFiles()[0].removeprefix("file:").replace("//", "/"))
