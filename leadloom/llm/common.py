@@ -19,6 +19,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
+#: Where a task holds many times the bytes of its texts.
+SMALL_BATCH = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +50,11 @@ def resident(key: tuple, make):
     return _HELD[key]
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound the texts that one Arrow batch brings into a Python worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import rows_of, small_batches, spread_join, table, written
+from leadloom.llm.common import SMALL_BATCH, rows_of, small_batches, spread_join, table, written
 
 #: Bytes of text that a task holds while it combines equal texts.
 LOCAL_BYTES = 32 << 20
@@ -105,7 +105,7 @@ def exact_duplicates(
     digest: Callable[[bytes], bytes] = sha256,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest (bytes)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, SMALL_BATCH)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("content"))
     local = source.mapInArrow(
         _local_winners(digest), "digest binary, content binary, salt int, keep_id long, group_size long"

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import fresh, resident, small_batches, table
+from leadloom.llm.common import SMALL_BATCH, fresh, resident, small_batches, table
 
 DOCS, DOC_CHARS, CHARS, ALL_CHARS = 64, 1000, 24_000, 240_000
 #: Labels learned at most, and documents wanted of each at least (with 8 by chance, one language in 3,000 gets none).
@@ -270,7 +270,7 @@ def identify(
 ) -> DataFrame:
     """The columns of ``keep`` with the language and score of every text, under the names given."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, SMALL_BATCH)
     shared = spark.sparkContext.broadcast(samples)
     (whole,) = fresh([*docs.columns, *keep], "whole")
     named = docs.select(*keep, F.col(text).cast("string").alias(whole))

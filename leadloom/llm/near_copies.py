@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import forget, passing, rows_of, small_batches, written
+from leadloom.llm.common import SMALL_BATCH, forget, passing, rows_of, small_batches, written
 from leadloom.llm.simhash import components, links, majority, shingle_hashes
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
@@ -249,7 +249,7 @@ def _members(signed: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", budget: int = 3) -> DataFrame:
     """(child, parent): each document with a smaller one in its component, and the smallest."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, SMALL_BATCH)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null")
     spark = docs.sparkSession
     with passing(spark):

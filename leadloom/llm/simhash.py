@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import forget, passing, rows_of, small_batches, spread_join, table, written
+from leadloom.llm.common import SMALL_BATCH, forget, passing, rows_of, small_batches, spread_join, table, written
 
 BITS = 64
 #: Shingles whose bits are counted at once.
@@ -82,7 +82,7 @@ def fingerprints(
     docs: DataFrame, *, shingle: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of every document."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, SMALL_BATCH)
 
     def run(batches):
         for rows in batches:
@@ -218,7 +218,7 @@ def _node(fp: Column, chosen: tuple[tuple[int, int], ...]) -> Column:
 
 def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
     """Edges (a, b) of a graph whose components are those of all links among ``fp``."""
-    small_batches(distinct.sparkSession)
+    small_batches(distinct.sparkSession, SMALL_BATCH)
     cut = stretches(budget, distinct.count())
     walks = [_node(F.col("fp"), chosen) for chosen in combinations(cut, len(cut) - budget)]
     at_node = distinct.select("fp", F.posexplode(F.array(*walks)).alias("r", "node"))
