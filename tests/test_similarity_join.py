@@ -66,3 +66,11 @@ def test_blocks_beyond_the_bound_are_refused(spark, monkeypatch):
     right = spark.createDataFrame([(i, "ab") for i in range(2)], "right_id int, right_name string")
     with pytest.raises(ValueError):
         R.blocked_pairs(left, right, "name", "right_name", "first")
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    """The files of names are small and their keys are not: a broadcast of keys filled the driver's memory."""
+    names = spark.range(2000).select(F.format_string("customer %09d", "id").alias("name"), F.col("id").alias("l"))
+    for pairs in (R.similar_pairs(names, names.withColumnRenamed("l", "r")), J.similar_forms(table(spark, ["a b c", "a c"]), table(spark, ["a b c"]), hot=0)):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
