@@ -36,22 +36,28 @@ def arrivals(history: DataFrame, as_of: date, months: int = 12, *, firm: str = "
 def rolling_flow(history: DataFrame, lo: date, hi: date, months: int = 12, *, firm: str = "firm_id", person: str = "person_id", start: str = "start_date", end: str = "end_date") -> DataFrame:
     """Departures and arrivals of the trailing ``months`` for every firm and month from lo to hi.
 
-    An event counts for exactly the ``months`` month starts from the first one at or
-    after it, so each is exploded to those and counted once; no calendar is crossed in.
+    An event counts for exactly the ``months`` month starts from the first one at or after it. A
+    person's windows that overlap count once: each begins where the one before ends. So the counts
+    are running sums of ones that come and go; no event is repeated by month, no calendar is
+    crossed in, and a firm's sums have a row a month at most.
     """
-
-    def events(col: str, name: str) -> DataFrame:
-        first = F.when(F.col(col) == F.trunc(col, "MM"), F.col(col)).otherwise(F.add_months(F.trunc(col, "MM"), 1)).cast("date")
-        spread = F.sequence(first, F.add_months(first, months - 1), F.expr("interval 1 month"))
-        rows = history.where(F.col(col).isNotNull()).select(firm, person, F.explode(spread).alias("month"))
-        rows = rows.where(F.col("month").between(F.trunc(F.lit(lo), "MM"), F.lit(hi)))
-        return rows.select(firm, "month", F.lit(name).alias("kind"), F.col(person).alias("p"))
-
-    both = events(end, "departures").unionByName(events(start, "arrivals"))
-    return both.groupBy(firm, "month").agg(
-        F.countDistinct(F.when(F.col("kind") == "departures", F.col("p"))).alias("departures"),
-        F.countDistinct(F.when(F.col("kind") == "arrivals", F.col("p"))).alias("arrivals"),
-    )
+    number = lambda d: F.year(d) * 12 + F.month(d) - 1
+    first = lambda c: number(F.col(c)) + (F.col(c) != F.trunc(c, "MM")).cast("int")
+    event = lambda c, gone: F.struct(first(c).alias("m"), F.lit(gone).alias("gone"))
+    events = history.select(F.col(firm).alias("f"), F.col(person).alias("p"), F.explode(F.array(event(end, True), event(start, False))).alias("e")).select("f", "p", "e.*").where("m is not null")
+    before = F.lag("m").over(Window.partitionBy("f", "p", "gone").orderBy("m"))
+    own = events.select("f", "p", "gone", F.greatest("m", before + months).alias("lo"), (F.col("m") + months).alias("hi")).where("lo < hi")
+    change = lambda c, n: F.struct(F.col(c).alias("m"), F.lit(n).alias("n"))
+    changes = own.select("f", "p", "gone", F.explode(F.array(change("lo", 1), change("hi", -1))).alias("c")).select("f", "c.*", (F.col("p").isNotNull() & F.col("gone")).alias("d"), (F.col("p").isNotNull() & ~F.col("gone")).alias("a"))
+    one = lambda flag: F.sum(F.when(F.col(flag), F.col("n")).otherwise(0))
+    by_month = changes.groupBy("f", "m").agg(one("d").alias("d"), one("a").alias("a"), F.sum("n").alias("n"))
+    w = Window.partitionBy("f").orderBy("m")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = by_month.select("f", "m", F.lead("m").over(w).alias("next"), *[F.sum(c).over(run).alias(c) for c in "dan"]).where("n > 0")  # a window is open
+    begin, last = F.greatest("m", number(F.lit(lo))), F.least(F.col("next") - 1, number(F.lit(hi)))
+    months_of = sums.withColumns({"_lo": begin, "_hi": last}).where("_lo <= _hi").withColumn("m", F.explode(F.sequence("_lo", "_hi")))
+    month = F.make_date((F.floor(F.col("m") / 12)).cast("int"), F.col("m") % 12 + 1, F.lit(1))
+    return months_of.select(F.col("f").alias(firm), month.alias("month"), F.col("d").alias("departures"), F.col("a").alias("arrivals"))
 
 
 def net_flow(heads: DataFrame, gone: DataFrame, come: DataFrame, firm: str = "firm_id") -> DataFrame:

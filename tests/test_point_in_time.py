@@ -123,3 +123,18 @@ def test_bootstrap_of_a_million_continuous_scores(spark):
     df = spark.range(1_000_000).select("id", F.rand(3).alias("s")).withColumn("y", (F.rand(4) < F.col("s")).cast("int"))
     got = bootstrap_lift(df, "y", "s", "id", resamples=200).first()
     assert got.resamples == 200 and got.low < got.mid < got.high and 1.88 < got.mid < 1.92 and got.p_value == 0
+
+
+def _nodes(df, name):
+    return df._jdf.queryExecution().executedPlan().toString().count(name)
+
+
+def test_an_event_is_not_repeated_by_month(spark):
+    """Overlapping windows of one person are one; counts, and rows of months that only a person unknown fills."""
+    rows = [(1, 7, "2020-01-15", "2020-03-01"), (1, 7, "2020-05-01", None), (1, 8, "2020-01-01", None), (2, None, "2020-01-01", None)]
+    hist = spark.createDataFrame(rows, "firm_id int, person_id int, start_date string, end_date string").withColumns({c: F.col(c).cast("date") for c in ("start_date", "end_date")})
+    flow = aggregates.rolling_flow(hist, date(2019, 1, 1), date(2022, 1, 1), 6)
+    got = {(r.firm_id, str(r.month)): (r.departures, r.arrivals) for r in flow.collect()}
+    want = {(1, f"2020-{m:02}-01"): (int(3 <= m <= 8), int(m <= 6) + int(2 <= m <= 10)) for m in range(1, 11)} | {(2, f"2020-{m:02}-01"): (0, 0) for m in range(1, 7)}
+    assert got == want
+    assert "distinct" not in flow._jdf.queryExecution().optimizedPlan().toString() and _nodes(flow, "Expand") == 0
