@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.numbers import clamp, safe_div
 from leadloom.operators.running import sums_before
-from leadloom.operators.windows import cumulative, quantile_values
+from leadloom.operators.windows import quantile_values
 
 
 def headcount(people: DataFrame, firm: str, person: str, min_reps: int = 1) -> DataFrame:
@@ -74,26 +74,21 @@ def net_flow(heads: DataFrame, gone: DataFrame, come: DataFrame, firm: str = "fi
 def headcount_at(history: DataFrame, at: DataFrame, *, firm: str = "firm_id", date_col: str = "at_date", person: str = "person_id", start: str = "start_date", end: str = "end_date") -> DataFrame:
     """Distinct people active at each firm's date of ``at`` (firm, date).
 
-    A person's overlapping spells at a firm become one; the count at a date is then the
-    starts so far less the ends before it: one sorted pass, no pairs of dates and spells.
+    A person's overlapping spells at a firm count once: each begins behind the last day reached by
+    those before, or not at all. The count at a date is then the starts so far less the ends before
+    it: one sorted pass, no pairs of dates and spells, nothing held but the sum.
     """
     never = F.lit("9999-12-31").cast("date")
     h = history.where(F.col(firm).isNotNull() & F.col(start).isNotNull() & F.col(person).isNotNull()).select(F.col(firm).alias("f"), F.col(person).alias("p"), F.col(start).alias("s"), F.coalesce(F.col(end), never).alias("e"))
-    h = h.where("e >= s")
-    own = Window.partitionBy("f", "p").orderBy("s", "e")
-    reached = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    parts = h.withColumn("new", F.coalesce(F.col("s") > reached, F.lit(True)).cast("int")).withColumn("i", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    spells = parts.groupBy("f", "p", "i").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    asked = at.select(F.col(firm).alias("f"), F.col(date_col).alias("d")).distinct()
-    none = F.lit(0).cast("long")
-    events = (
-        spells.select("f", F.col("s").alias("d"), F.lit(1).cast("long").alias("step"), F.lit(False).alias("asked"))
-        .unionByName(spells.where(F.col("e") < never).select("f", F.date_add("e", 1).alias("d"), F.lit(-1).cast("long").alias("step"), F.lit(False).alias("asked")))
-        .unionByName(asked.select("f", "d", none.alias("step"), F.lit(True).alias("asked")))
-    )
-    by_day = events.groupBy("f", "d").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
-    run = cumulative(by_day, "d", ["step"], groups=["f"])
-    return run.where("asked").select(F.col("f").alias(firm), F.col("d").alias(date_col), F.col("step_cum").alias("headcount"))
+    reached = F.max("e").over(Window.partitionBy("f", "p").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+    own = h.where("e >= s").select("f", "e", F.greatest("s", F.when(reached < never, F.date_add(reached, 1)).otherwise(reached)).alias("s"), reached.alias("r")).where("r is null or e > r")
+    event = lambda when, step, asked=False: F.struct(when.alias("d"), F.lit(step).cast("long").alias("step"), F.lit(asked).alias("asked"))
+    changes = F.array(event(F.col("s"), 1), F.when(F.col("e") < never, event(F.date_add("e", 1), -1)))
+    asked = at.select(F.col(firm).alias("f"), event(F.col(date_col), 0, True).alias("c")).distinct()
+    events = own.select("f", F.explode(changes).alias("c")).where("c is not null").unionByName(asked).select("f", "c.*")
+    so_far = F.sum("step").over(Window.partitionBy("f").orderBy(F.col("d").asc_nulls_last(), "asked").rowsBetween(Window.unboundedPreceding, 0))
+    run = events.withColumn("headcount", so_far)
+    return run.where("asked").select(F.col("f").alias(firm), F.col("d").alias(date_col), "headcount")
 
 
 def count_distinct_if(cond: Column, col: Column) -> Column:

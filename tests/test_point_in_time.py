@@ -138,3 +138,11 @@ def test_an_event_is_not_repeated_by_month(spark):
     want = {(1, f"2020-{m:02}-01"): (int(3 <= m <= 8), int(m <= 6) + int(2 <= m <= 10)) for m in range(1, 11)} | {(2, f"2020-{m:02}-01"): (0, 0) for m in range(1, 7)}
     assert got == want
     assert "distinct" not in flow._jdf.queryExecution().optimizedPlan().toString() and _nodes(flow, "Expand") == 0
+
+
+def test_headcount_has_no_table_of_days(spark):
+    hist = spark.createDataFrame([(1, 7, date(2020, 1, 1), date(2020, 2, 1)), (1, 7, date(2020, 1, 15), date(2020, 1, 20)), (1, 7, date(2020, 2, 1), date(2020, 2, 9)), (1, 8, date(2020, 2, 1), None)], "firm_id int, person_id int, start_date date, end_date date")
+    at = spark.createDataFrame([(1, date(2019, 12, 31)), (1, date(2020, 1, 1)), (1, date(2020, 2, 1)), (1, date(2020, 2, 9)), (1, date(2020, 2, 10))], "firm_id int, at_date date")
+    heads = aggregates.headcount_at(hist, at)
+    assert [r.headcount for r in heads.orderBy("at_date").collect()] == [0, 1, 2, 2, 1]
+    assert "sum(step" not in "".join(line for line in heads._jdf.queryExecution().executedPlan().toString().split("\n") if "HashAggregate" in line)
