@@ -15,6 +15,7 @@ from leadloom.operators.aggregates import pivot_by_rank
 from leadloom.operators.joins import active_interval, asof_join, lookback
 from leadloom.operators.running import distinct_before
 from leadloom.operators.windows import quantile_values
+from leadloom.sources.shared import written
 
 # ---- targets
 
@@ -146,7 +147,7 @@ def firm_stability(net: DataFrame, part: Sequence[str]) -> DataFrame:
     """Percentile of the net change among the rows of a part (a month), priority and tier."""
     from leadloom.operators.windows import pct_rank
 
-    ranked = pct_rank(net, part, "net_change", "net_percentile")
+    ranked = pct_rank(written(net, "net"), part, "net_change", "net_percentile")  # read twice
     return ranked.select("*", priority(F.col("net_percentile"), F.col("net_change")).alias("priority"), stability_tier(F.col("net_change")).alias("stability_tier"))
 
 
