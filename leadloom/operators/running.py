@@ -14,17 +14,16 @@ from pyspark.sql import functions as F
 
 def sums_before(left: DataFrame, events: DataFrame, by: str, at: str, sums: Mapping[str, str], firsts: Mapping[str, str] = {}) -> DataFrame:
     """Left rows with sums of event columns (null counts nothing, none is 0), and least values of others, over
-    the events of the key (``by``, ``_at``) that lie before the left date. Rows without key or date have none."""
+    the events of the key (``by``, ``_at``) that lie before the left date. Rows without key or date have none:
+    they are dealt out by a hash of their columns, where no event is, so the left rows are read once."""
     asked = F.col(by).isNotNull() & F.col(at).isNotNull()
-    marks = events.where(F.col(by).isNotNull() & F.col("_at").isNotNull()).select(by, "_at", *{*sums.values(), *firsts.values()})
-    ask = left.where(asked).select(by, F.col(at).alias("_at"), F.struct(*left.columns).alias("_left"))
+    plain = [c for c, kind in left.dtypes if "map<" not in kind]
+    marks = events.where(F.col(by).isNotNull() & F.col("_at").isNotNull()).select(by, "_at", *{*sums.values(), *firsts.values()}, F.lit(None).cast("bigint").alias("_apart"))
+    ask = left.select(by, F.col(at).alias("_at"), F.when(~asked, F.xxhash64(*plain)).alias("_apart"), F.struct(*left.columns).alias("_left"))
     both = marks.unionByName(ask, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("_at", F.when(F.col("_left").isNotNull(), 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(by, "_apart").orderBy("_at", F.when(F.col("_left").isNotNull(), 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
     found = {out: F.coalesce(F.sum(c).over(w), F.lit(0)) for out, c in sums.items()} | {out: F.min(c).over(w) for out, c in firsts.items()}
-    told = both.select("_left", *[c.alias(out) for out, c in found.items()]).where("_left is not null").select("_left.*", *found)
-    kind = {f.name: f.dataType for f in told.schema}
-    rest = left.where(~asked).select(*left.columns, *[F.lit(0).cast(kind[out]).alias(out) for out in sums], *[F.lit(None).cast(kind[out]).alias(out) for out in firsts])
-    return told.unionByName(rest)
+    return both.select("_left", *[c.alias(out) for out, c in found.items()]).where("_left is not null").select("_left.*", *found)
 
 
 def last_day_in_window(day: Column, months: int) -> Column:

@@ -39,11 +39,16 @@ class Newest:
 
 def _sweep(schema: pa.Schema, end_inclusive: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, heap, count = object(), [], 0
+        key, heap, count, open_facts = object(), [], 0, None
         for batch in batches:
             times, ends, ties = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_t", "_until", "_tie"))
             keys = batch.column(batch.schema.get_field_index("_by")).to_pylist()
-            facts, asked = batch.column(batch.schema.get_field_index("_right")).to_pylist(), batch.column(batch.schema.get_field_index("_left"))
+            asked = batch.column(batch.schema.get_field_index("_left"))
+            # facts stay in Arrow and go by their place: first the open ones of earlier batches, then the batch's own
+            facts = batch.column(batch.schema.get_field_index("_right")).cast(schema.field("_right").type)
+            before = 0 if open_facts is None else len(open_facts)
+            if before:
+                facts = pa.concat_arrays([open_facts, facts])
             places, found = [], []
             for i, is_question in enumerate(asked.is_valid().to_pylist()):
                 if keys[i] != key:
@@ -56,8 +61,10 @@ def _sweep(schema: pa.Schema, end_inclusive: bool):
                     found.append(heap[0][4] if heap else None)
                 else:
                     count += 1
-                    heappush(heap, (-t, Newest(ties[i]), count, ends[i], facts[i]))
-            yield pa.RecordBatch.from_arrays([asked.take(pa.array(places, pa.int64())), pa.array(found, schema.field("_right").type)], schema=schema)
+                    heappush(heap, (-t, Newest(ties[i]), count, ends[i], before + i))
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(places, pa.int64())), facts.take(pa.array(found, pa.int64()))], schema=schema)
+            open_facts = facts.take(pa.array([x[4] for x in heap], pa.int64()))
+            heap = [(*x[:4], k) for k, x in enumerate(heap)]  # the order stays
 
     return run
 

@@ -140,6 +140,15 @@ def test_an_event_is_not_repeated_by_month(spark):
     assert "distinct" not in flow._jdf.queryExecution().optimizedPlan().toString() and _nodes(flow, "Expand") == 0
 
 
+def test_left_rows_are_read_once(spark):
+    left = spark.createDataFrame([(1, 5), (1, None), (None, 5), (None, None), (2, 1)], "k int, t int")
+    events = spark.createDataFrame([(1, 4, 2, 9), (1, 5, 1, 8), (2, 3, 1, 7)], "k int, _at int, n int, v int")
+    got = running.sums_before(left, events, "k", "t", {"total": "n"}, {"least": "v"})
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, got.collect())) == [(-1, -1, 0, -1), (-1, 5, 0, -1), (1, -1, 0, -1), (1, 5, 2, 9), (2, 1, 0, -1)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+
+
 def test_headcount_has_no_table_of_days(spark):
     hist = spark.createDataFrame([(1, 7, date(2020, 1, 1), date(2020, 2, 1)), (1, 7, date(2020, 1, 15), date(2020, 1, 20)), (1, 7, date(2020, 2, 1), date(2020, 2, 9)), (1, 8, date(2020, 2, 1), None)], "firm_id int, person_id int, start_date date, end_date date")
     at = spark.createDataFrame([(1, date(2019, 12, 31)), (1, date(2020, 1, 1)), (1, date(2020, 2, 1)), (1, date(2020, 2, 9)), (1, date(2020, 2, 10))], "firm_id int, at_date date")
