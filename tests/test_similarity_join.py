@@ -1,12 +1,14 @@
 """The similarity join of names against all pairs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from leadloom.operators import resolution as R
 from leadloom.operators import similarity_join as J
+from leadloom.plans import names, registry
 
 
 def grams(form):
@@ -74,3 +76,26 @@ def test_no_side_that_grows_is_broadcast(spark):
     for pairs in (R.similar_pairs(names, names.withColumnRenamed("l", "r")), J.similar_forms(table(spark, ["a b c", "a c"]), table(spark, ["a b c"]), hot=0)):
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["er_eval", "er_protect", "er_tier_match", "er_ambiguity", "er_block", "er_fuzzy"])
+def test_queries_of_names_broadcast_only_grams_and_sizes(spark, monkeypatch, name):
+    """On small tables Spark broadcasts each side that no hint keeps from it, in any step; only the
+    table of grams and that of lengths, which do not grow with the lists, may go through the driver."""
+    plans = []
+
+    def noted(f):
+        def run(df, *rest):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return f(df, *rest)
+
+        return run
+
+    for module, step in ((J, "written"), (R, "checkpointed"), (names, "checkpointed")):
+        monkeypatch.setattr(module, step, noted(getattr(module, step)))
+    found = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    joins = [x for plan in plans for x in re.findall(r"(\w+Join) \[(\w+)#", plan)]
+    assert "SortMergeJoin" in {kind for kind, _ in joins}
+    assert {key for kind, key in joins if kind.startswith("Broadcast")} <= {"gram", "side"}
+    assert not any("BroadcastNestedLoopJoin" in plan for plan in plans)
