@@ -99,3 +99,15 @@ def test_queries_of_names_broadcast_only_grams_and_sizes(spark, monkeypatch, nam
     assert "SortMergeJoin" in {kind for kind, _ in joins}
     assert {key for kind, key in joins if kind.startswith("Broadcast")} <= {"gram", "side"}
     assert not any("BroadcastNestedLoopJoin" in plan for plan in plans)
+
+
+def test_bits_leave_few_pairs_to_compare(spark, monkeypatch):
+    """Pairs that share a key are many; those whose grams were compared were as many and filled the time."""
+    tables = {}
+    put = J.written
+    monkeypatch.setattr(J, "written", lambda df, name: tables.setdefault(name, put(df, name)))
+    forms = spark.range(20_000).select(F.format_string("%09d customer", "id").alias("form"))
+    similar = J.similar_forms(forms, forms.select(F.concat("form", F.lit(" llc")).alias("form"))).count()
+    compared = [df.count() for name, df in tables.items() if name.startswith("pairs")]
+    assert similar >= 20_000 and similar <= sum(compared) <= 1.5 * similar
+    assert all({"form", "grams"}.isdisjoint(df.columns) for name, df in tables.items() if name.startswith(("pairs", "met")))
