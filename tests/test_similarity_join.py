@@ -111,3 +111,12 @@ def test_bits_leave_few_pairs_to_compare(spark, monkeypatch):
     compared = [df.count() for name, df in tables.items() if name.startswith("pairs")]
     assert similar >= 20_000 and similar <= sum(compared) <= 1.5 * similar
     assert all({"form", "grams"}.isdisjoint(df.columns) for name, df in tables.items() if name.startswith(("pairs", "met")))
+
+
+def test_copies_of_a_name_are_scored_once(spark, monkeypatch):
+    """With a score at random, copies that are scored apart would differ."""
+    monkeypatch.setattr(R, "similarity", lambda a, b, mode: F.rand() + F.length(a) - F.length(a))
+    left = spark.createDataFrame([(i, n) for i, n in enumerate(["Ann Bee", "ann  bee.", "ANN BEE"])], "id int, name string")
+    right = spark.createDataFrame([(i, n) for i, n in enumerate(["ann bee", "Ann, Bee", "ann bee", "other"])], "right_id int, right_name string")
+    rows = R.scored_candidates(left, right).collect()
+    assert len(rows) == 9 and len({r.confidence for r in rows}) == 1
