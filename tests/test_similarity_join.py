@@ -120,3 +120,12 @@ def test_copies_of_a_name_are_scored_once(spark, monkeypatch):
     right = spark.createDataFrame([(i, n) for i, n in enumerate(["ann bee", "Ann, Bee", "ann bee", "other"])], "right_id int, right_name string")
     rows = R.scored_candidates(left, right).collect()
     assert len(rows) == 9 and len({r.confidence for r in rows}) == 1
+
+
+@pytest.mark.parametrize(("name", "most"), [("er_tier_match", 8), ("er_override", 11), ("er_ambiguity", 5), ("er_workbench", 5), ("er_fuzzy", 4)])
+def test_result_is_made_of_written_scores(spark, name, most):
+    """A plan that holds comparison, scores and result at once is planned anew at each of its many shuffles,
+    and filled the driver's memory."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "array_intersect" not in plan
+    assert plan.count("Exchange hashpartitioning") <= most
